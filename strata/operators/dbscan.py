@@ -34,10 +34,14 @@ SELF_NEIGHBOR_MODES = ("distance", "always")
 
 @dataclass
 class DbscanResult:
-    """``labels(node, label, core)`` for nodes in a cluster (noise absent) and counts."""
+    """``labels(node, label, core)`` for nodes in a cluster (noise absent).
+
+    ``n_core`` is known only in the ``eps >= 1`` case; otherwise -1 (not counted).
+    """
 
     labels: DataFrame
     n_core: int
+    trivial: bool = False  # every cluster is a single node: nothing merges
 
 
 def neighbours(sim: DataFrame, eps: float, self_neighbor: str = "distance", nodes: DataFrame | None = None) -> DataFrame:
@@ -61,6 +65,14 @@ def neighbour_counts(nb: DataFrame, min_samples: int) -> DataFrame:
     )
 
 
+def neighbour_stats(nb: DataFrame, min_samples: int) -> DataFrame:
+    """``(node, core, has_other)``: core flag and whether a neighbour other than itself exists."""
+    return nb.groupBy(F.col("i").alias("node")).agg(
+        (F.count(F.lit(1)) >= F.lit(int(min_samples))).alias("core"),
+        F.max((F.col("i") != F.col("j")).cast("int")).alias("has_other"),
+    )
+
+
 def dbscan(
     sim: DataFrame,
     nodes: DataFrame,
@@ -71,6 +83,8 @@ def dbscan(
     """Cluster the ``nodes`` table ``(node)`` given ``sim(i, j, sim)``.
 
     Returns labels of clustered nodes only; a node absent from the result is noise.
+    One job decides whether any core point has a neighbour other than itself;
+    when none has, every cluster is a single point and nothing else runs.
     """
     min_samples = int(min_samples)
     if eps >= 1.0:
@@ -81,12 +95,14 @@ def dbscan(
             return DbscanResult(labels, n)
         return DbscanResult(nodes.select("node", F.lit(None).cast("bigint").alias("label"),
                                          F.lit(True).alias("core")).where(F.lit(False)), 0)
-    nb = cut(neighbours(sim, eps, self_neighbor, nodes))
-    core = cut(neighbour_counts(nb, min_samples).where("core").select("node"))
-    n_core = core.count()
-    if n_core == 0:
-        empty = core.select("node", F.col("node").alias("label"), F.lit(True).alias("core")).where(F.lit(False))
-        return DbscanResult(empty, 0)
+    nb = neighbours(sim, eps, self_neighbor, nodes)
+    stats = neighbour_stats(nb, min_samples)
+    core = stats.where("core").select("node")
+    if stats.where(F.col("core") & (F.col("has_other") == 1)).limit(1).count() == 0:
+        # only isolated cores (if any): every cluster is a single node
+        labels = core.select("node", F.col("node").alias("label"), F.lit(True).alias("core"))
+        return DbscanResult(labels, -1, trivial=True)
+    core = cut(core)
     ci = core.select(F.col("node").alias("i"))
     cj = core.select(F.col("node").alias("j"))
     core_edges = nb.where(F.col("i") < F.col("j")).join(ci, "i", "left_semi").join(cj, "j", "left_semi")
@@ -94,7 +110,6 @@ def dbscan(
     core_labels = core.join(cc, "node", "left").select(
         "node", F.coalesce(F.col("label"), F.col("node")).alias("label"), F.lit(True).alias("core")
     )
-    core_labels = cut(core_labels)
     # Border points take the lowest label among adjacent cores
     border = (
         nb.where(F.col("i") != F.col("j"))
@@ -104,7 +119,7 @@ def dbscan(
         .agg(F.min("label").alias("label"))
         .select("node", "label", F.lit(False).alias("core"))
     )
-    return DbscanResult(core_labels.unionByName(border), n_core)
+    return DbscanResult(core_labels.unionByName(border), -1)
 
 
 def dbscan_labels(

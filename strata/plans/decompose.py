@@ -93,9 +93,8 @@ def cluster_step(
     """
     sim = analysis.similarity()
     res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor)
-    if res.n_core == 0:
-        empty = assign.sparkSession.createDataFrame([], "node bigint, new bigint")
-        return empty, 0, 0
+    if res.trivial:
+        return assign.sparkSession.createDataFrame([], "node bigint, new bigint"), 0, 0
     moves = cut(moves_from_labels(res.labels.select("node", "label")))
     return moves, moves.count(), res.n_core
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,18 +37,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage.
+    """Materialise ``df`` once and drop its lineage (reliable checkpoint).
 
     Iterative operators (connected components, the layer loop) call this once
     per round, so plans stay small and a lost executor only costs the current
     round: the data lives in the shared checkpoint folder, not on executors.
+    The frame is persisted first so the checkpoint write reads it back instead
+    of computing it a second time.
     """
     if not checkpoint_dir(df.sparkSession):
         raise RuntimeError(
             "strata needs spark.checkpoint.dir (a shared folder) to cut lineage in "
             "iterative jobs; set it on the session"
         )
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "strata") -> SparkSession:
