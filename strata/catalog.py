@@ -324,8 +324,7 @@ def q_stream_event_edges(spark, sf_dir):
     from .streaming.edges import stream_trace_edges
 
     ensure_checkpoint_dir(spark)
-    return stream_trace_edges(spark, f"{sf_dir.rstrip('/')}/events.parquet", "user_id", ["ts", "event_id"],
-                              "event_type")
+    return stream_trace_edges(spark, sf_dir, "user_id", ["ts", "event_id"], "event_type", glob="events.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -74,12 +74,17 @@ def stream_trace_edges(
     order: Sequence[str],
     atom: str,
     max_files_per_trigger: int | None = None,
+    glob: str | None = None,
 ) -> DataFrame:
-    """Run a stream over parquet files at ``path`` to completion and return the
-    accumulated ``(src, dst, w)`` edges."""
+    """Run a stream over the parquet files of folder ``path`` (optionally only those
+    matching ``glob``) to completion and return the accumulated ``(src, dst, w)`` edges."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).format("parquet")
+    batch_reader = spark.read
+    reader = spark.readStream.format("parquet")
+    if glob:
+        batch_reader = batch_reader.option("pathGlobFilter", glob)
+        reader = reader.option("pathGlobFilter", glob)
+    reader = reader.schema(batch_reader.parquet(path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     handle, edges_dir = make_batch_handler(spark, trace, order, atom, base)
