@@ -56,6 +56,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster only when its scan yields fewer partitions
+    than there are cores (a single-row-group file is one task).  On large inputs,
+    already split into many partitions, this is a no-op: no shuffle is added."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "strata") -> SparkSession:
     """A local session configured like the tests and the bench expect."""
     spark = (

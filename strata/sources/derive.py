@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Tokens: runs of ASCII letters in lower-cased text.  Fixed value; the SQL
 # oracle uses the same pattern.
 WORD_PATTERN = "([a-z]+)"
@@ -93,7 +95,8 @@ def tokens(text) -> object:
 def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(idx, term, n)`` occurrences of each term in each entity's text."""
     return (
-        df.select(F.col(key).alias("idx"), F.explode(tokens(F.col(text))).alias("term"))
+        spread(df.select(key, text))
+        .select(F.col(key).alias("idx"), F.explode(tokens(F.col(text))).alias("term"))
         .groupBy("idx", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
