@@ -5,16 +5,21 @@ frequent terms.  When only pairs with ``cos >= tau`` matter (a DBSCAN ladder who
 largest radius is ``eps`` needs ``tau = 1 - eps``) the candidates can be pruned
 exactly (Bayardo, Ma, Srikant: "Scaling up all pairs similarity search", 2007):
 
-* order terms globally, rarest first (document frequency, then the term);
-* the *prefix* of a unit vector keeps the terms whose suffix norm (this term and
-  all later ones) is still ``>= tau``;
-* if ``cos(a, b) >= tau`` then the first common term in the global order lies in
-  both prefixes (Cauchy-Schwarz on the suffix), so candidates are the pairs that
-  share a prefix term, found by a prefix-to-prefix join;
-* candidates are verified with the exact dot product over all common terms,
-  expanding the shorter vector of the pair only.
+* terms are ordered globally, rarest first (document frequency, then the term);
+* for each unit vector and position ``p`` in that order, ``bound(p)`` bounds the
+  dot product of the vector's terms from ``p`` on with *any* unit vector: the
+  smaller of the suffix norm (Cauchy-Schwarz) and ``sum u(t) * maxw(t)`` where
+  ``maxw(t)`` is the largest weight of ``t`` in any vector;
+* the *prefix* keeps the positions with ``bound >= tau``, the rest is the
+  *suffix*; if ``cos(a, b) >= tau`` the first common term (global order) lies in
+  both prefixes, so candidates are pairs sharing a prefix term;
+* the exact dot product is assembled without re-reading whole vectors: shared
+  prefix-prefix terms come from the candidate join itself, and the remaining
+  shared terms lie in a (short) suffix, found by expanding candidates with the
+  suffix rows of either side:
+  ``dot = P(a)&P(b) + S(a)&V(b) + P(a)&S(b)`` (each shared term exactly once).
 
-Requires non-negative weights (term weights are); otherwise fall back to the
+Requires non-negative weights (term weights are); otherwise falls back to the
 full join and a filter.
 """
 
@@ -24,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.pairs import pairs_sharing_key
+from ..session import cut
 from .similarity import _mirror, cosine_similarity, normalise
 
 # Slack for float rounding when comparing against the floor: pairs just below
@@ -31,28 +37,74 @@ from .similarity import _mirror, cosine_similarity, normalise
 FLOOR_SLACK = 1e-9
 
 
+def split_prefix(u: DataFrame, floor: float) -> DataFrame:
+    """``(node, term, u, pre)``: ``pre`` marks the prefix positions of each vector."""
+    stats = u.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("u").alias("maxw"))
+    w = Window.partitionBy("node").orderBy(F.col("df"), F.col("term")).rowsBetween(
+        Window.currentRow, Window.unboundedFollowing
+    )
+    ranked = u.join(stats, "term")
+    bound = F.least(
+        F.sqrt(F.sum(F.col("u") * F.col("u")).over(w)),
+        F.sum(F.col("u") * F.col("maxw")).over(w),
+    )
+    return ranked.select("node", "term", "u", (bound >= F.lit(floor)).alias("pre"))
+
+
 def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None = None) -> DataFrame:
-    """Symmetric ``(i, j, sim)`` of all pairs with ``cos >= tau`` (plus the diagonal)."""
+    """Symmetric ``(i, j, sim)`` of all pairs with ``cos >= tau`` (diagonal included).
+
+    ``vectors(node, term, x)`` should be materialised: it is read several times.
+    """
     floor = tau - FLOOR_SLACK
     if floor <= 0:
         return cosine_similarity(vectors, salt_threshold=salt_threshold)
     u = normalise(vectors)
     if u.where(F.col("u") < 0).limit(1).count() > 0:
         return cosine_similarity(vectors, salt_threshold=salt_threshold).where(F.col("sim") >= floor)
-    dfreq = u.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = u.join(dfreq, "term")
-    w = Window.partitionBy("node").orderBy(F.col("df"), F.col("term")).rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
+    parts = cut(split_prefix(u, floor))
+    pre = parts.where("pre").select(F.col("term").alias("k"), "node", F.col("u").alias("v"))
+    suf = parts.where(~F.col("pre")).select("node", "term", "u")
+    # candidates and the prefix-prefix part of the dot product
+    cand = pairs_sharing_key(pre, combine=lambda a, b: a * b, salt_threshold=salt_threshold)
+    cand = cand.select("i", "j", F.col("s").alias("pp"))
+    full = u.select("node", "term", "u")
+    # shared terms in the suffix of i (any side of j)
+    sa = (
+        cand.select("i", "j")
+        .join(suf.select(F.col("node").alias("i"), "term", F.col("u").alias("ui")), "i")
+        .join(full.select(F.col("node").alias("j"), "term", F.col("u").alias("uj")), ["j", "term"])
+        .groupBy("i", "j")
+        .agg(F.sum(F.col("ui") * F.col("uj")).alias("s"))
     )
-    prefix = (
-        ranked.withColumn("rest", F.sqrt(F.sum(F.col("u") * F.col("u")).over(w)))
-        .where(F.col("rest") >= F.lit(floor))
-        .select(F.col("term").alias("k"), "node", F.lit(1.0).alias("v"))
+    # shared terms in the prefix of i and the suffix of j
+    prefix_rows = parts.where("pre").select("node", "term", "u")
+    sb = (
+        cand.select("i", "j")
+        .join(suf.select(F.col("node").alias("j"), "term", F.col("u").alias("uj")), "j")
+        .join(prefix_rows.select(F.col("node").alias("i"), "term", F.col("u").alias("ui")), ["i", "term"])
+        .groupBy("i", "j")
+        .agg(F.sum(F.col("ui") * F.col("uj")).alias("s"))
+    )
+    total = (
+        cand.select("i", "j", F.col("pp").alias("s"))
+        .unionByName(sa)
+        .unionByName(sb)
+        .groupBy("i", "j")
+        .agg(F.sum("s").alias("sim"))
+        .where(F.col("sim") >= F.lit(floor))
     )
-    cand = pairs_sharing_key(prefix, combine=lambda a, b: F.lit(1.0), salt_threshold=salt_threshold)
+    return _mirror(total)
+
+
+def cosine_for_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact cosine of the given pairs ``(i, j)`` with ``i <= j``: each pair is expanded
+    with the terms of its shorter vector and looked up in the other.  Returns the
+    half matrix ``(i, j, sim)`` (zero similarities dropped)."""
+    u = normalise(vectors)
     lens = u.groupBy("node").agg(F.count(F.lit(1)).alias("len"))
-    cand = (
-        cand.select("i", "j")
+    p = (
+        pairs.select("i", "j")
         .join(lens.select(F.col("node").alias("i"), F.col("len").alias("li")), "i")
         .join(lens.select(F.col("node").alias("j"), F.col("len").alias("lj")), "j")
         .select(
@@ -62,13 +114,10 @@ def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None =
             F.when(F.col("li") <= F.col("lj"), F.col("j")).otherwise(F.col("i")).alias("other"),
         )
     )
-    probe = u.select(F.col("node").alias("probe"), "term", F.col("u").alias("up"))
-    other = u.select(F.col("node").alias("other"), "term", F.col("u").alias("uo"))
-    half = (
-        cand.join(probe, "probe")
-        .join(other, ["other", "term"])
+    return (
+        p.join(u.select(F.col("node").alias("probe"), "term", F.col("u").alias("up")), "probe")
+        .join(u.select(F.col("node").alias("other"), "term", F.col("u").alias("uo")), ["other", "term"])
         .groupBy("i", "j")
         .agg(F.sum(F.col("up") * F.col("uo")).alias("sim"))
-        .where(F.col("sim") >= F.lit(floor))
+        .where(F.col("sim") != 0)
     )
-    return _mirror(half)

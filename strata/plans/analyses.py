@@ -19,8 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefix import cosine_at_least
-from ..functions.similarity import combine_similarities, cosine_similarity, edge_similarity
+from ..functions.prefix import cosine_at_least, cosine_for_pairs
+from ..functions.similarity import _mirror, combine_similarities, cosine_similarity, edge_similarity
 from ..operators.contract import contract_edges, contract_edges_by_moves, contract_vectors_by_moves
 from ..session import cut
 
@@ -246,8 +246,37 @@ class CombinedAnalysis(Analysis):
         self._sim = None
 
     def _compute_similarity(self, floor: float) -> DataFrame:
-        # A child's pair can matter even when that child's similarity is low, so
-        # children are never pruned; only the combination is filtered.
-        sims = [c._compute_similarity(0.0) for c in self.children]
-        sim = combine_similarities(sims, self.weights)
-        return sim.where(F.col("sim") >= F.lit(floor)) if floor > 0 else sim
+        """Weighted combination above ``floor``, pruned exactly.
+
+        Edge children are computed in full (sparse by nature).  A pair outside
+        every edge child's support can only reach the floor through the term
+        children, so it needs ``cos >= floor / W_T`` in one of them (``W_T`` =
+        total weight of term children): those candidates come from the prefix
+        filter.  Every candidate pair then gets the exact cosine of every term
+        child, so the combination is exact for all pairs at or above the floor.
+        """
+        weights = self.weights or [1.0 / len(self.children)] * len(self.children)
+        terms = [(c, w) for c, w in zip(self.children, weights) if isinstance(c, TermAnalysis)]
+        w_t = sum(w for _, w in terms)
+        if floor <= 0 or not terms or w_t <= 0:
+            sims = [c._compute_similarity(0.0) for c in self.children]
+            sim = combine_similarities(sims, self.weights)
+            return sim.where(F.col("sim") >= F.lit(floor)) if floor > 0 else sim
+        edge_sims = {id(c): cut(c._compute_similarity(0.0)) for c in self.children if not isinstance(c, TermAnalysis)}
+        half = lambda df: df.where(F.col("i") <= F.col("j")).select("i", "j")
+        cands = [half(s) for s in edge_sims.values()]
+        tau_t = floor / w_t
+        if tau_t <= 1.0:
+            cands += [half(cosine_at_least(c.vectors, tau_t, salt_threshold=c.salt_threshold)) for c, _ in terms]
+        pairs = cands[0]
+        for c in cands[1:]:
+            pairs = pairs.unionByName(c)
+        pairs = cut(pairs.distinct())
+        sims = []
+        for c in self.children:
+            if isinstance(c, TermAnalysis):
+                sims.append(_mirror(cosine_for_pairs(c.vectors, pairs)))
+            else:
+                sims.append(edge_sims[id(c)])
+        sim = combine_similarities(sims, weights)
+        return sim.where(F.col("sim") >= F.lit(floor))
