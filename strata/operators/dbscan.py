@@ -79,9 +79,17 @@ def dbscan(
     eps: float,
     min_samples: int,
     self_neighbor: str = "distance",
+    cliques: DataFrame | None = None,
 ) -> DbscanResult:
     """Cluster the ``nodes`` table ``(node)`` given ``sim(i, j, sim)``.
 
+    ``cliques(node, g, m)``: groups known to be complete neighbourhoods at this
+    radius (every pair inside, self pairs included, is within ``eps``).  Their
+    pairs are not listed: a member counts ``m`` neighbours from its group, core
+    members are linked through the group's smallest core member, and a non-core
+    member borders that member's cluster.  Explicit pairs inside a group are
+    ignored (the group already covers them).
+
     Returns labels of clustered nodes only; a node absent from the result is noise.
     One job decides whether any core point has a neighbour other than itself;
     when none has, every cluster is a single point and nothing else runs.
@@ -96,7 +104,28 @@ def dbscan(
         return DbscanResult(nodes.select("node", F.lit(None).cast("bigint").alias("label"),
                                          F.lit(True).alias("core")).where(F.lit(False)), 0)
     nb = neighbours(sim, eps, self_neighbor, nodes)
-    stats = neighbour_stats(nb, min_samples)
+    cl = None
+    if cliques is not None:
+        cl = cliques.where(F.col("m") >= 2).select("node", "g", "m")
+        gi = cl.select(F.col("node").alias("i"), F.col("g").alias("gi"))
+        gj = cl.select(F.col("node").alias("j"), F.col("g").alias("gj"))
+        nb = (
+            nb.join(gi, "i", "left").join(gj, "j", "left")
+            .where(F.col("gi").isNull() | F.col("gj").isNull() | (F.col("gi") != F.col("gj")))
+            .select("i", "j")
+        )
+        ex = nb.groupBy(F.col("i").alias("node")).agg(
+            F.count(F.lit(1)).alias("c"), F.max((F.col("i") != F.col("j")).cast("int")).alias("o")
+        )
+        stats = ex.join(cl.select("node", "m"), "node", "full").select(
+            "node",
+            ((F.coalesce(F.col("c"), F.lit(0)) + F.coalesce(F.col("m"), F.lit(0))) >= F.lit(min_samples)).alias("core"),
+            F.greatest(F.coalesce(F.col("o"), F.lit(0)), (F.coalesce(F.col("m"), F.lit(0)) >= 2).cast("int")).alias(
+                "has_other"
+            ),
+        )
+    else:
+        stats = neighbour_stats(nb, min_samples)
     core = stats.where("core").select("node")
     if stats.where(F.col("core") & (F.col("has_other") == 1)).limit(1).count() == 0:
         # only isolated cores (if any): every cluster is a single node
@@ -106,18 +135,38 @@ def dbscan(
     ci = core.select(F.col("node").alias("i"))
     cj = core.select(F.col("node").alias("j"))
     core_edges = nb.where(F.col("i") < F.col("j")).join(ci, "i", "left_semi").join(cj, "j", "left_semi")
+    hubs = None
+    if cl is not None:
+        # each core member of a clique links to the clique's smallest core member
+        cmem = cl.join(core, "node", "left_semi")
+        hubs = cut(cmem.groupBy("g").agg(F.min("node").alias("hub")))
+        star = cmem.join(hubs, "g").where(F.col("node") != F.col("hub")).select(
+            F.col("hub").alias("i"), F.col("node").alias("j")
+        )
+        core_edges = core_edges.unionByName(star)
     cc = connected_components(core_edges, "i", "j")
-    core_labels = core.join(cc, "node", "left").select(
-        "node", F.coalesce(F.col("label"), F.col("node")).alias("label"), F.lit(True).alias("core")
+    core_labels = cut(
+        core.join(cc, "node", "left").select(
+            "node", F.coalesce(F.col("label"), F.col("node")).alias("label"), F.lit(True).alias("core")
+        )
     )
     # Border points take the lowest label among adjacent cores
     border = (
         nb.where(F.col("i") != F.col("j"))
         .join(ci.withColumnRenamed("i", "node"), F.col("i") == F.col("node"), "left_anti")
         .join(core_labels.select(F.col("node").alias("j"), "label"), "j")
-        .groupBy(F.col("i").alias("node"))
-        .agg(F.min("label").alias("label"))
-        .select("node", "label", F.lit(False).alias("core"))
+        .select(F.col("i").alias("node"), "label")
+    )
+    if cl is not None:
+        in_clique = (
+            cl.join(core, "node", "left_anti")
+            .join(hubs, "g")
+            .join(core_labels.select(F.col("node").alias("hub"), "label"), "hub")
+            .select("node", "label")
+        )
+        border = border.unionByName(in_clique)
+    border = border.groupBy("node").agg(F.min("label").alias("label")).select(
+        "node", "label", F.lit(False).alias("core")
     )
     return DbscanResult(core_labels.unionByName(border), -1)
 
@@ -129,10 +178,11 @@ def dbscan_labels(
     min_samples: int,
     self_neighbor: str = "distance",
     noise: int | None = -1,
+    cliques: DataFrame | None = None,
 ) -> DataFrame:
     """C1/C6 user form: ``(node, label)`` for every node; label = min node id of the
     cluster, noise gets ``noise`` (``None`` keeps the node's own id, C3)."""
-    res = dbscan(sim, nodes, eps, min_samples, self_neighbor)
+    res = dbscan(sim, nodes, eps, min_samples, self_neighbor, cliques)
     canon = res.labels.groupBy("label").agg(F.min("node").alias("cid"))
     lab = res.labels.join(canon, "label").select("node", "cid")
     fill = F.col("node") if noise is None else F.lit(int(noise)).cast("bigint")

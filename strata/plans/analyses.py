@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import duplicate_groups, expand_pairs, representatives
 from ..functions.prefix import cosine_at_least, cosine_for_pairs
 from ..functions.similarity import _mirror, combine_similarities, cosine_similarity, edge_similarity
 from ..operators.contract import contract_edges, contract_edges_by_moves, contract_vectors_by_moves
@@ -38,6 +39,10 @@ class Analysis:
         self._sim: DataFrame | None = None
         self._sim_floor: float | None = None
         self.floor = 0.0  # similarities below this are not needed by the schedule
+        # duplicate groups that are complete neighbourhoods from radius ``_clique_eps`` on
+        self._cliques: DataFrame | None = None
+        self._clique_eps: float = 0.0
+        self.collapse_duplicates = True
 
     # -- protocol -------------------------------------------------------------
     def bind(self, atoms: DataFrame) -> None:
@@ -80,10 +85,18 @@ class Analysis:
     def nodes(self) -> DataFrame:
         return self._nodes
 
+    def cliques_at(self, eps: float) -> DataFrame | None:
+        """Clique groups valid at radius ``eps`` for the cached similarity, or None."""
+        self.similarity()
+        if self._cliques is not None and eps >= self._clique_eps:
+            return self._cliques
+        return None
+
     def similarity(self, floor: float | None = None) -> DataFrame:
         """Similarity at the current contraction, cached until the next merge (rule 1)."""
         floor = self.floor if floor is None else floor
         if self._sim is None or self._sim_floor != floor:
+            self._cliques = None
             self._sim = cut(self._compute_similarity(floor))
             self._sim_floor = floor
         return self._sim
@@ -196,10 +209,34 @@ class TermAnalysis(Analysis):
             return self.vectors
         return self.vectors.join(self.counts, "node").select("node", "term", (F.col("x") / F.col("n")).alias("x"))
 
-    def _compute_similarity(self, floor: float) -> DataFrame:
+    def _cosine(self, vectors: DataFrame, floor: float) -> DataFrame:
         if floor > 0:
-            return cosine_at_least(self.vectors, floor, salt_threshold=self.salt_threshold)
-        return cosine_similarity(self.vectors, salt_threshold=self.salt_threshold)
+            return cosine_at_least(vectors, floor, salt_threshold=self.salt_threshold)
+        return cosine_similarity(vectors, salt_threshold=self.salt_threshold)
+
+    def duplicate_groups(self) -> DataFrame | None:
+        """``(node, g, m)`` of all nodes with a non-zero vector, or None if no
+        two nodes share a unit vector (or collapsing is off)."""
+        if not self.collapse_duplicates:
+            return None
+        groups = cut(duplicate_groups(self.vectors))
+        if groups.where(F.col("m") >= 2).limit(1).count() == 0:
+            return None
+        return groups
+
+    def _compute_similarity(self, floor: float) -> DataFrame:
+        groups = self.duplicate_groups()
+        if groups is None:
+            return self._cosine(self.vectors, floor)
+        # one representative per duplicate group; members of a group are a clique
+        # (cosine 1) at every radius, so only pairs across groups are listed
+        rep = self._cosine(representatives(self.vectors, groups), floor)
+        cross = expand_pairs(rep.where(F.col("i") < F.col("j")), groups)
+        single = groups.where(F.col("m") == 1).select(F.col("node").alias("i"))
+        diag = rep.where(F.col("i") == F.col("j")).join(single, "i", "left_semi")
+        self._cliques = groups.where(F.col("m") >= 2)
+        self._clique_eps = 0.0
+        return _mirror(cross.unionByName(diag.select("i", "j", "sim")))
 
 
 class CombinedAnalysis(Analysis):
@@ -259,15 +296,32 @@ class CombinedAnalysis(Analysis):
         terms = [(c, w) for c, w in zip(self.children, weights) if isinstance(c, TermAnalysis)]
         w_t = sum(w for _, w in terms)
         if floor <= 0 or not terms or w_t <= 0:
-            sims = [c._compute_similarity(0.0) for c in self.children]
+            sims = [c._cosine(c.vectors, 0.0) if isinstance(c, TermAnalysis) else c._compute_similarity(0.0)
+                    for c in self.children]
             sim = combine_similarities(sims, self.weights)
             return sim.where(F.col("sim") >= F.lit(floor)) if floor > 0 else sim
         edge_sims = {id(c): cut(c._compute_similarity(0.0)) for c in self.children if not isinstance(c, TermAnalysis)}
         half = lambda df: df.where(F.col("i") <= F.col("j")).select("i", "j")
         cands = [half(s) for s in edge_sims.values()]
         tau_t = floor / w_t
-        if tau_t <= 1.0:
-            cands += [half(cosine_at_least(c.vectors, tau_t, salt_threshold=c.salt_threshold)) for c, _ in terms]
+        groups = terms[0][0].duplicate_groups() if len(terms) == 1 else None
+        if groups is None:
+            if tau_t <= 1.0:
+                cands += [half(cosine_at_least(c.vectors, tau_t, salt_threshold=c.salt_threshold)) for c, _ in terms]
+        else:
+            # Inside a duplicate group every pair has combined similarity >= W_T, so
+            # from radius 1 - W_T on the group is a clique and needs no pairs; below
+            # that radius an intra-group pair qualifies only through an edge child,
+            # whose support is listed anyway.  Candidates from the term child are
+            # generated on one representative per group and expanded across groups.
+            t = terms[0][0]
+            if tau_t <= 1.0:
+                rep = cosine_at_least(representatives(t.vectors, groups), tau_t, salt_threshold=t.salt_threshold)
+                cands.append(expand_pairs(rep.where(F.col("i") < F.col("j")).select("i", "j"), groups))
+            single = groups.where(F.col("m") == 1).select(F.col("node").alias("i"), F.col("node").alias("j"))
+            cands.append(single)
+            self._cliques = groups.where(F.col("m") >= 2)
+            self._clique_eps = float(round(1.0 - w_t, 12))
         pairs = cands[0]
         for c in cands[1:]:
             pairs = pairs.unionByName(c)

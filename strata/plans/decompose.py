@@ -92,7 +92,7 @@ def cluster_step(
     Returns ``(moves, n_moved, n_core)``; ``moves`` is checkpointed.
     """
     sim = analysis.similarity()
-    res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor)
+    res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor, analysis.cliques_at(eps))
     if res.trivial:
         return assign.sparkSession.createDataFrame([], "node bigint, new bigint"), 0, 0
     moves = cut(moves_from_labels(res.labels.select("node", "label")))
@@ -106,7 +106,8 @@ def cluster_from_scratch(
     analysis.bind(atoms)
     identity = atoms.select("idx", F.col("idx").alias("cid"))
     analysis.seed(identity)
-    lab = dbscan_labels(analysis.similarity(), analysis.nodes(), eps, min_samples, self_neighbor, noise=-1)
+    lab = dbscan_labels(analysis.similarity(), analysis.nodes(), eps, min_samples, self_neighbor, noise=-1,
+                        cliques=analysis.cliques_at(eps))
     return atoms.select("idx").join(lab.withColumnRenamed("node", "idx"), "idx", "left").select(
         "idx", F.coalesce(F.col("label"), F.lit(-1).cast("bigint")).alias("cid")
     )

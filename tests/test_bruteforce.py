@@ -111,6 +111,30 @@ def test_dbscan_equals_scan_order(spark, ms, eps):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_term_ladder_with_duplicates_equals_dense(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 16
+    V = (rng.random((n, 6)) < 0.35) * rng.integers(1, 4, (n, 6)).astype(float)
+    V[3] = V[1]
+    V[8] = V[1]
+    V[12] = V[10]
+    V[14] = 0
+    atoms = spark.createDataFrame([(str(i), i) for i in range(n)], "atom string, idx long")
+    sem = TermAnalysis(vec_df(spark, V, key="idx"), spark.range(n).withColumnRenamed("id", "idx"))
+    res = cluster(atoms, [sem], epsilons=[0.65], min_samples=3, strategy="sequential", epsilon_step=0.1)
+    got = {}
+    for r in res.layers().collect():
+        got.setdefault(r.layer, np.zeros(n, dtype=int))[r.idx] = r.cid
+    from dense_model import canonical
+    from strata.plans.schedule import sequential
+    plan = sequential([0.65], 0.1)
+    want = run(n, [Dense("terms", V, list(range(n)))], plan, 3)
+    assert len(got) == len(want)
+    for k, w in enumerate(want):
+        assert list(got[k]) == list(canonical(w)), k
+
+
 @pytest.mark.slow
 def test_hybrid_ladder_equals_dense(spark):
     rng = np.random.default_rng(11)
@@ -120,6 +144,9 @@ def test_hybrid_ladder_equals_dense(spark):
     Xd_sup = Xd[np.ix_(dsup, dsup)]
     Xs = rand_edges(rng, n, 0.25)
     V = (rng.random((n, 5)) < 0.4) * rng.integers(1, 4, (n, 5)).astype(float)
+    V[7] = V[2]
+    V[9] = V[2]
+    V[11] = 2 * V[4]  # duplicate groups (equal unit vectors)
     atoms = spark.createDataFrame([(str(i), i) for i in range(n)], "atom string, idx long")
     sup_rows = [(int(dsup[i]), int(dsup[j]), float(Xd_sup[i, j])) for i, j in zip(*np.nonzero(Xd_sup))]
     dyn = CallAnalysis(spark.createDataFrame(sup_rows, "src long, dst long, w double"),
