@@ -38,23 +38,27 @@ FLOOR_SLACK = 1e-9
 
 
 def split_prefix(u: DataFrame, floor: float) -> DataFrame:
-    """``(node, term, u, pre)``: ``pre`` marks the prefix positions of each vector."""
+    """``(node, term, u, pre, r)``: ``pre`` marks the prefix positions of each vector,
+    ``r`` is the norm of the vector from this term on (this term included)."""
     stats = u.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("u").alias("maxw"))
     w = Window.partitionBy("node").orderBy(F.col("df"), F.col("term")).rowsBetween(
         Window.currentRow, Window.unboundedFollowing
     )
     ranked = u.join(stats, "term")
-    bound = F.least(
-        F.sqrt(F.sum(F.col("u") * F.col("u")).over(w)),
-        F.sum(F.col("u") * F.col("maxw")).over(w),
-    )
-    return ranked.select("node", "term", "u", (bound >= F.lit(floor)).alias("pre"))
+    rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(w))
+    bound = F.least(rest, F.sum(F.col("u") * F.col("maxw")).over(w))
+    return ranked.select("node", "term", "u", (bound >= F.lit(floor)).alias("pre"), rest.alias("r"))
 
 
 def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None = None) -> DataFrame:
     """Symmetric ``(i, j, sim)`` of all pairs with ``cos >= tau`` (diagonal included).
 
     ``vectors(node, term, x)`` should be materialised: it is read several times.
+    Candidates sharing a prefix term are further filtered by the suffix-norm
+    bound at their first shared term (``max r_i * r_j >= tau``: the dot product
+    lives on terms from that one on).  Survivors are verified by the cheaper of
+    two exact routes: expanding both (short) suffixes and adding the
+    prefix-prefix part from the join, or expanding the shorter whole vector.
     """
     floor = tau - FLOOR_SLACK
     if floor <= 0:
@@ -63,45 +67,51 @@ def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None =
     if u.where(F.col("u") < 0).limit(1).count() > 0:
         return cosine_similarity(vectors, salt_threshold=salt_threshold).where(F.col("sim") >= floor)
     parts = cut(split_prefix(u, floor))
-    pre = parts.where("pre").select(F.col("term").alias("k"), "node", F.col("u").alias("v"))
+    pre = parts.where("pre").select(F.col("term").alias("k"), "node", F.col("u").alias("v"), "r")
     suf = parts.where(~F.col("pre")).select("node", "term", "u")
-    # candidates and the prefix-prefix part of the dot product
-    cand = pairs_sharing_key(pre, combine=lambda a, b: a * b, salt_threshold=salt_threshold)
-    cand = cand.select("i", "j", F.col("s").alias("pp"))
-    full = u.select("node", "term", "u")
-    # shared terms in the suffix of i (any side of j)
+    sizes = parts.groupBy("node").agg(
+        F.count(F.lit(1)).alias("len"), F.sum((~F.col("pre")).cast("int")).alias("ns")
+    )
+    cand = (
+        pairs_sharing_key(pre, combine=lambda a, b: a * b, salt_threshold=salt_threshold)
+        .where(F.col("ub") >= F.lit(floor))
+        .join(sizes.select(F.col("node").alias("i"), F.col("len").alias("li"), F.col("ns").alias("si")), "i")
+        .join(sizes.select(F.col("node").alias("j"), F.col("len").alias("lj"), F.col("ns").alias("sj")), "j")
+        .select("i", "j", F.col("s").alias("pp"),
+                ((F.col("si") + F.col("sj")) <= F.least("li", "lj")).alias("by_suffix"))
+    )
+    cand = cut(cand)
+    # route 1: prefix-prefix part from the join + shared terms in either suffix
+    c1 = cand.where("by_suffix")
     sa = (
-        cand.select("i", "j")
+        c1.select("i", "j")
         .join(suf.select(F.col("node").alias("i"), "term", F.col("u").alias("ui")), "i")
-        .join(full.select(F.col("node").alias("j"), "term", F.col("u").alias("uj")), ["j", "term"])
-        .groupBy("i", "j")
-        .agg(F.sum(F.col("ui") * F.col("uj")).alias("s"))
+        .join(parts.select(F.col("node").alias("j"), "term", F.col("u").alias("uj")), ["j", "term"])
+        .select("i", "j", (F.col("ui") * F.col("uj")).alias("s"))
     )
-    # shared terms in the prefix of i and the suffix of j
-    prefix_rows = parts.where("pre").select("node", "term", "u")
     sb = (
-        cand.select("i", "j")
+        c1.select("i", "j")
         .join(suf.select(F.col("node").alias("j"), "term", F.col("u").alias("uj")), "j")
-        .join(prefix_rows.select(F.col("node").alias("i"), "term", F.col("u").alias("ui")), ["i", "term"])
-        .groupBy("i", "j")
-        .agg(F.sum(F.col("ui") * F.col("uj")).alias("s"))
+        .join(parts.where("pre").select(F.col("node").alias("i"), "term", F.col("u").alias("ui")), ["i", "term"])
+        .select("i", "j", (F.col("ui") * F.col("uj")).alias("s"))
     )
+    route1 = c1.select("i", "j", F.col("pp").alias("s")).unionByName(sa).unionByName(sb)
+    # route 2: the shorter whole vector of the pair, looked up in the other
+    route2 = cosine_for_pairs(parts.select("node", "term", F.col("u").alias("x")),
+                              cand.where(~F.col("by_suffix")), normalised=True)
     total = (
-        cand.select("i", "j", F.col("pp").alias("s"))
-        .unionByName(sa)
-        .unionByName(sb)
-        .groupBy("i", "j")
-        .agg(F.sum("s").alias("sim"))
+        route1.groupBy("i", "j").agg(F.sum("s").alias("sim"))
+        .unionByName(route2)
         .where(F.col("sim") >= F.lit(floor))
     )
     return _mirror(total)
 
 
-def cosine_for_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+def cosine_for_pairs(vectors: DataFrame, pairs: DataFrame, normalised: bool = False) -> DataFrame:
     """Exact cosine of the given pairs ``(i, j)`` with ``i <= j``: each pair is expanded
     with the terms of its shorter vector and looked up in the other.  Returns the
     half matrix ``(i, j, sim)`` (zero similarities dropped)."""
-    u = normalise(vectors)
+    u = vectors.withColumnRenamed("x", "u") if normalised else normalise(vectors)
     lens = u.groupBy("node").agg(F.count(F.lit(1)).alias("len"))
     p = (
         pairs.select("i", "j")

@@ -44,13 +44,20 @@ def pairs_sharing_key(
     combine: Callable[[Column, Column], Column],
     salt_threshold: int | None = None,
 ) -> DataFrame:
-    """Half matrix ``(i, j, s)`` with ``i <= j`` over rows ``(k, node, v)``."""
+    """Half matrix ``(i, j, s)`` with ``i <= j`` over rows ``(k, node, v[, r])``.
+
+    With an ``r`` column the result also carries ``ub = max(r_i * r_j)`` over the
+    shared keys (used as an upper bound by the prefix-filtered cosine join).
+    """
     threshold = DEFAULT_SALT_THRESHOLD if salt_threshold is None else salt_threshold
+    has_r = "r" in rows.columns
+    ra = [F.col("r").alias("ra")] if has_r else []
+    rb = [F.col("r").alias("rb")] if has_r else []
     hot = hot_keys(rows, "k", threshold)
     if hot.limit(1).count() == 0:
         hot.unpersist()
-        a = rows.select("k", F.col("node").alias("i"), F.col("v").alias("va"))
-        b = rows.select("k", F.col("node").alias("j"), F.col("v").alias("vb"))
+        a = rows.select("k", F.col("node").alias("i"), F.col("v").alias("va"), *ra)
+        b = rows.select("k", F.col("node").alias("j"), F.col("v").alias("vb"), *rb)
         joined = a.join(b, "k")
     else:
         tagged = join_bounded(rows, hot, "k", "left").withColumn(
@@ -61,16 +68,17 @@ def pairs_sharing_key(
             F.pmod(F.xxhash64("node"), F.col("nsalt")).cast("int").alias("salt"),
             F.col("node").alias("i"),
             F.col("v").alias("va"),
+            *ra,
         )
         b = tagged.select(
             "k",
             F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
             F.col("node").alias("j"),
             F.col("v").alias("vb"),
+            *rb,
         )
         joined = a.join(b, ["k", "salt"])
-    return (
-        joined.where(F.col("i") <= F.col("j"))
-        .groupBy("i", "j")
-        .agg(F.sum(combine(F.col("va"), F.col("vb"))).alias("s"))
-    )
+    aggs = [F.sum(combine(F.col("va"), F.col("vb"))).alias("s")]
+    if has_r:
+        aggs.append(F.max(F.col("ra") * F.col("rb")).alias("ub"))
+    return joined.where(F.col("i") <= F.col("j")).groupBy("i", "j").agg(*aggs)
