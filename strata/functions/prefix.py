@@ -41,8 +41,11 @@ def split_prefix(u: DataFrame, floor: float) -> DataFrame:
     """``(node, term, u, pre, r)``: ``pre`` marks the prefix positions of each vector,
     ``r`` is the norm of the vector from this term on (this term included)."""
     stats = u.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("u").alias("maxw"))
-    w = Window.partitionBy("node").orderBy(F.col("df"), F.col("term")).rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
+    # suffix sums (this term and all later ones, rarest first) as running sums over
+    # the reversed order: a running frame is linear in the vector length, whereas a
+    # frame ending at "unbounded following" is re-aggregated for every row
+    w = Window.partitionBy("node").orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
     ranked = u.join(stats, "term")
     rest = F.sqrt(F.sum(F.col("u") * F.col("u")).over(w))
