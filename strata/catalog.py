@@ -25,9 +25,9 @@ from . import oracle as Q
 from .functions.prefix import cosine_at_least
 from .functions.similarity import call_similarity, combine_similarities, cosine_similarity, cousage_similarity, incoming
 from .operators.contract import aggregate_vectors, contract_edges
-from .operators.dbscan import dbscan_labels, neighbour_counts, neighbours
+from .operators.dbscan import dbscan_labels, neighbour_counts, neighbour_counts_cliques, neighbours
 from .operators.outliers import tag_outliers
-from .plans.analyses import CallAnalysis, TermAnalysis
+from .plans.analyses import CallAnalysis, CombinedAnalysis, TermAnalysis
 from .plans.decompose import cluster
 from .plans.outputs import layers_wide, partitions
 from .plans.pipeline import decompose
@@ -258,20 +258,31 @@ def q_projection_parts(spark, sf_dir):
     return project(seeds, moves)
 
 
-def _part_combined_sims(spark, sf_dir, weights):
-    e = order_adjacency(spark, sf_dir)
-    v = part_tfidf(spark, sf_dir).withColumnRenamed("idx", "node")
-    return combine_similarities([call_similarity(e), cosine_similarity(v)], weights)
+def _part_combined_counts(spark, sf_dir, weights):
+    """M5 + P5 + A6: per part, the number of parts (itself included) whose combined
+    similarity (order-adjacency call similarity with part-name cosine) is at least
+    ``PART_COMBINED_FLOOR``.  Computed by the pruned combined analysis: same-name
+    parts are a clique counted by size, never listed pair by pair."""
+    ensure_checkpoint_dir(spark)
+    part = table(spark, sf_dir, "part")
+    atoms = part.select(F.col("p_partkey").alias("idx"))
+    sup = atoms
+    a = CombinedAnalysis([CallAnalysis(order_adjacency(spark, sf_dir), sup),
+                          TermAnalysis(part_tfidf(spark, sf_dir), sup)], weights)
+    a.bind(atoms)
+    a.seed(atoms.select("idx", F.col("idx").alias("cid")))
+    eps = 1.0 - PART_COMBINED_FLOOR
+    a.floor = PART_COMBINED_FLOOR
+    sim = a.similarity()
+    return neighbour_counts_cliques(sim, eps, a.cliques_at(eps))
 
 
 def q_combined_parts_mean(spark, sf_dir):
-    s = _part_combined_sims(spark, sf_dir, None)
-    return s.where(F.col("sim") >= PART_COMBINED_FLOOR).select("i", "j", _r("sim"))
+    return _part_combined_counts(spark, sf_dir, None)
 
 
 def q_combined_parts_weighted(spark, sf_dir):
-    s = _part_combined_sims(spark, sf_dir, [0.3, 0.7])
-    return s.where(F.col("sim") >= PART_COMBINED_FLOOR).select("i", "j", _r("sim"))
+    return _part_combined_counts(spark, sf_dir, [0.3, 0.7])
 
 
 def _doc_ladder(spark, sf_dir):
@@ -438,8 +449,14 @@ def oracle() -> dict[str, str]:
         "c1_dbscan_docs": Q.dbscan_labels(doc_sim, f"SELECT DISTINCT node FROM ({doc_vec})", DOC_DBSCAN_EPS, MIN_SAMPLES),
         "c1_dbscan_trade": Q.dbscan_labels(Q.call_similarity(Q.TRADE_EDGES), trade_nodes, TRADE_DBSCAN_EPS, MIN_SAMPLES),
         "c5_projection_parts": proj,
-        "m5_combined_parts_mean": _round(f"SELECT * FROM ({comb_mean}) WHERE sim >= {Q.dbl(PART_COMBINED_FLOOR)}", "i, j", "sim"),
-        "m5_combined_parts_weighted": _round(f"SELECT * FROM ({comb_w}) WHERE sim >= {Q.dbl(PART_COMBINED_FLOOR)}", "i, j", "sim"),
+        "m5_combined_parts_mean": (
+            f"SELECT i AS node, count(*) AS n_neighbours FROM ({comb_mean}) "
+            f"WHERE {Q.dist('sim')} <= {Q.dbl(1.0 - PART_COMBINED_FLOOR)} GROUP BY i"
+        ),
+        "m5_combined_parts_weighted": (
+            f"SELECT i AS node, count(*) AS n_neighbours FROM ({comb_w}) "
+            f"WHERE {Q.dist('sim')} <= {Q.dbl(1.0 - PART_COMBINED_FLOOR)} GROUP BY i"
+        ),
         "c9_ladder_docs": ladder,
         "c11_outliers_ladder_docs": (
             f"WITH l AS ({ladder}) SELECT layer, idx, CASE WHEN count(*) OVER (PARTITION BY layer, cid) < {MIN_SAMPLES} "

@@ -65,6 +65,27 @@ def neighbour_counts(nb: DataFrame, min_samples: int) -> DataFrame:
     )
 
 
+def neighbour_counts_cliques(sim: DataFrame, eps: float, cliques: DataFrame | None,
+                             self_neighbor: str = "distance") -> DataFrame:
+    """A6 with clique groups: ``(node, n_neighbours)`` for nodes with a neighbour;
+    a clique member counts its whole group (itself included) plus explicit pairs
+    leaving the group."""
+    nb = neighbours(sim, eps, self_neighbor)
+    if cliques is None:
+        return nb.groupBy(F.col("i").alias("node")).agg(F.count(F.lit(1)).alias("n_neighbours"))
+    cl = cliques.where(F.col("m") >= 2).select("node", "g", "m")
+    ex = (
+        nb.join(cl.select(F.col("node").alias("i"), F.col("g").alias("gi")), "i", "left")
+        .join(cl.select(F.col("node").alias("j"), F.col("g").alias("gj")), "j", "left")
+        .where(F.col("gi").isNull() | F.col("gj").isNull() | (F.col("gi") != F.col("gj")))
+        .groupBy(F.col("i").alias("node"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    return ex.join(cl.select("node", "m"), "node", "full").select(
+        "node", (F.coalesce(F.col("c"), F.lit(0)) + F.coalesce(F.col("m"), F.lit(0))).alias("n_neighbours")
+    )
+
+
 def neighbour_stats(nb: DataFrame, min_samples: int) -> DataFrame:
     """``(node, core, has_other)``: core flag and whether a neighbour other than itself exists."""
     return nb.groupBy(F.col("i").alias("node")).agg(
