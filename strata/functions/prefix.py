@@ -66,10 +66,9 @@ def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None =
     floor = tau - FLOOR_SLACK
     if floor <= 0:
         return cosine_similarity(vectors, salt_threshold=salt_threshold)
-    u = normalise(vectors)
-    if u.where(F.col("u") < 0).limit(1).count() > 0:
+    if vectors.where(F.col("x") < 0).limit(1).count() > 0:
         return cosine_similarity(vectors, salt_threshold=salt_threshold).where(F.col("sim") >= floor)
-    parts = cut(split_prefix(u, floor))
+    parts = cut(split_prefix(normalise(vectors), floor))
     pre = parts.where("pre").select(F.col("term").alias("k"), "node", F.col("u").alias("v"), "r")
     suf = parts.where(~F.col("pre")).select("node", "term", "u")
     sizes = parts.groupBy("node").agg(
