@@ -86,12 +86,20 @@ def cluster_step(
     eps: float,
     min_samples: int,
     self_neighbor: str = "distance",
+    clusterer=None,
 ) -> tuple[DataFrame, int, int]:
     """C4: one seeded step on an analysis whose state matches ``assign``.
 
     Returns ``(moves, n_moved, n_core)``; ``moves`` is checkpointed.
     """
     sim = analysis.similarity()
+    if clusterer is not None:
+        # Any callable (sim, nodes, eps, min_samples) -> (node, label); label
+        # -1 or null is noise, other labels name clusters (any values)
+        lab = clusterer(sim, analysis.nodes(), eps, min_samples)
+        lab = lab.where(F.col("label").isNotNull() & (F.col("label") != -1)).select("node", "label")
+        moves = cut(moves_from_labels(lab))
+        return moves, moves.count(), -1
     res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor, analysis.cliques_at(eps))
     if res.trivial:
         return assign.sparkSession.createDataFrame([], "node bigint, new bigint"), 0, 0
@@ -134,11 +142,13 @@ def cluster(
     include_outliers: bool = False,
     self_neighbor: str = "distance",
     log=None,
+    clusterer=None,
 ) -> Layers:
     """Run a strategy over ``pipeline`` and return every layer.
 
     ``atoms(idx, ...)`` is the universe; layer 0 puts every atom in its own
-    cluster.  Defaults are those of the low-level call (K8).
+    cluster.  Defaults are those of the low-level call (K8).  ``clusterer``
+    replaces DBSCAN by a user callable (O12).
     """
     sched.validate(strategy, len(pipeline), epsilons)
     if self_neighbor not in SELF_NEIGHBOR_MODES:
@@ -159,7 +169,7 @@ def cluster(
         nonlocal assign
         t0 = time.time()
         a = pipeline[stage]
-        moves, n_moved, n_core = cluster_step(a, assign, eps, min_samples, self_neighbor)
+        moves, n_moved, n_core = cluster_step(a, assign, eps, min_samples, self_neighbor, clusterer)
         if n_moved:
             assign = cut(project(assign, moves))
             for b in pipeline:
