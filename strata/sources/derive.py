@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 # Tokens: runs of ASCII letters in lower-cased text.  Fixed value; the SQL
 # oracle uses the same pattern.
@@ -119,14 +119,25 @@ def tfidf(counts: DataFrame, n_docs: int | None = None) -> DataFrame:
 def index_atoms(df: DataFrame, col: str) -> DataFrame:
     """``(atom, idx)`` -- distinct keys numbered 0.. in sorted order.
 
-    Distributed: a range-partitioned sort, then ``zipWithIndex`` (one pass to
-    count rows per partition, one to number them); nothing goes through the
-    driver but per-partition counts.
+    JVM-only and distributed: keys are range-partitioned and sorted, each row
+    gets its position inside its partition from ``monotonically_increasing_id``
+    (partition id in the upper bits), and a per-partition offset -- a table with
+    one row per partition, so its broadcast is bounded -- makes the numbers dense.
     """
-    keys = df.select(F.col(col).alias("atom")).where(F.col("atom").isNotNull()).distinct().orderBy("atom")
     spark = df.sparkSession
-    schema = "atom " + keys.schema["atom"].dataType.simpleString() + ", idx bigint"
-    return spark.createDataFrame(keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), schema)
+    n_parts = max(1, spark.sparkContext.defaultParallelism)
+    keys = (
+        df.select(F.col(col).alias("atom")).where(F.col("atom").isNotNull()).distinct()
+        .repartitionByRange(n_parts, "atom").sortWithinPartitions("atom")
+        .select("atom", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    )
+    keys = cut(keys)
+    counts = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return keys.join(F.broadcast(offsets), "_p").select(
+        "atom", (F.col("_off") + F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)).alias("idx")
+    )
 
 
 def atoms_from_list(spark, names: Sequence[str]) -> DataFrame:
