@@ -13,8 +13,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from strata import catalog as C  # noqa: E402
 from strata.plans.pipeline import decompose  # noqa: E402
 from strata.session import local_session  # noqa: E402
@@ -72,7 +70,6 @@ def main() -> None:
         "cpus": int(cpus),
         **extra,
     }))
-    _ = F
 
 
 if __name__ == "__main__":

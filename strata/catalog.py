@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as Q
 from .functions.prefix import cosine_at_least
-from .functions.similarity import call_similarity, combine_similarities, cosine_similarity, cousage_similarity, incoming
+from .functions.similarity import call_similarity, cousage_similarity, incoming
 from .operators.contract import aggregate_vectors, contract_edges
 from .operators.dbscan import dbscan_labels, neighbour_counts, neighbour_counts_cliques, neighbours
 from .operators.outliers import tag_outliers
