@@ -114,6 +114,8 @@ def cluster_from_scratch(
     analysis.bind(atoms)
     identity = atoms.select("idx", F.col("idx").alias("cid"))
     analysis.seed(identity)
+    # pairs farther than eps are never neighbours: prune below 1 - eps
+    analysis.floor = max(0.0, 1.0 - eps) if eps < 1.0 else 0.0
     lab = dbscan_labels(analysis.similarity(), analysis.nodes(), eps, min_samples, self_neighbor, noise=-1,
                         cliques=analysis.cliques_at(eps))
     return atoms.select("idx").join(lab.withColumnRenamed("node", "idx"), "idx", "left").select(
