@@ -6,9 +6,13 @@ Rows of ordered traces arrive in micro-batches.  Each batch is processed with
 1. the batch's rows are unioned with the *last row seen* of each trace that
    appears in the batch (kept in a state table in the checkpoint folder);
 2. transitions are counted inside that union (window per trace, as in R1);
-3. counts are added to the running edge table (counts are additive, so the
-   running table is a union of per-batch counts re-aggregated on read);
-4. the state table is replaced by the new last row per trace.
+3. the batch's counts are written as the partition of its epoch (counts are
+   additive, so the running table is the union of per-epoch counts
+   re-aggregated on read);
+4. the new last row per trace is written as the state of this epoch.
+
+Both outputs are keyed by the epoch id, so a batch re-run after a restart is
+idempotent.
 
 Rows of a trace must arrive in order across batches (a row older than the
 trace's last seen row would need re-sequencing and is rejected by the
@@ -22,6 +26,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -37,32 +42,37 @@ def _batch_edges(rows: DataFrame, trace: str, order: Sequence[str], atom: str) -
     )
 
 
+def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def make_batch_handler(spark: SparkSession, trace: str, order: Sequence[str], atom: str, base: str):
-    """``foreachBatch`` function; state and counts live under ``base``."""
+    """``foreachBatch`` function; state and counts live under ``base``.
+
+    Everything is keyed by the epoch id, so a batch re-run after a restart reads
+    the same previous state and overwrites its own outputs: the handler is
+    idempotent and the running totals never double count.
+    """
     state_dir = f"{base}/last"
     edges_dir = f"{base}/edges"
-    version = {"n": 0}
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         rows = batch.select(trace, *order, atom).where(F.col(atom).isNotNull())
-        if version["n"] > 0:
-            last = spark.read.parquet(f"{state_dir}/v{version['n']}")
-            prev = last.join(rows.select(trace).distinct(), trace, "left_semi")
-            rows_all = rows.unionByName(prev)
-        else:
-            last = None
-            rows_all = rows
-        _batch_edges(rows_all, trace, order, atom).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(
-            edges_dir
+        last = _read_if_present(spark, f"{state_dir}/e{epoch_id - 1}") if epoch_id > 0 else None
+        rows_all = rows if last is None else rows.unionByName(
+            last.join(rows.select(trace).distinct(), trace, "left_semi")
         )
+        _batch_edges(rows_all, trace, order, atom).write.mode("overwrite").parquet(f"{edges_dir}/epoch={epoch_id}")
         key = F.struct(*[F.col(c) for c in order])
         newest = rows.groupBy(trace).agg(F.max_by(F.struct(*order, atom), key).alias("r")).select(
             trace, *[F.col(f"r.{c}").alias(c) for c in order], F.col(f"r.{atom}").alias(atom)
         )
         if last is not None:
             newest = last.join(newest.select(trace), trace, "left_anti").unionByName(newest)
-        version["n"] += 1
-        newest.write.mode("overwrite").parquet(f"{state_dir}/v{version['n']}")
+        newest.write.mode("overwrite").parquet(f"{state_dir}/e{epoch_id}")
 
     return handle, edges_dir
 
@@ -100,5 +110,5 @@ def stream_trace_edges(
 
 
 def accumulated_edges(spark: SparkSession, edges_dir: str) -> DataFrame:
-    """Running total of the per-batch counts."""
+    """Running total of the per-batch counts (one partition per epoch)."""
     return spark.read.parquet(edges_dir).groupBy("src", "dst").agg(F.sum("w").alias("w"))
