@@ -53,6 +53,20 @@ class Layers:
     steps: list[StepInfo] = field(default_factory=list)
     include_outliers: bool = False
     min_samples: int = 2
+    deltas: list[DataFrame] = field(default_factory=list)
+
+    def changes(self) -> DataFrame:
+        """``(layer, idx, cid)`` only for atoms whose cluster changed at that layer.
+
+        The compact form of :meth:`layers` (which holds every atom in every
+        layer): layer 0 is the identity, and layer ``k`` equals layer ``k-1``
+        overwritten by these rows.  Built from the moves, without another pass.
+        """
+        spark = self.handles[0].sparkSession
+        out = spark.createDataFrame([], "layer int, idx bigint, cid bigint")
+        for d in self.deltas:
+            out = out.unionByName(d)
+        return out
 
     def layers(self) -> DataFrame:
         """``(layer INT, idx BIGINT, cid BIGINT)`` for every layer (layer 0 = singletons)."""
@@ -173,6 +187,12 @@ def cluster(
         a = pipeline[stage]
         moves, n_moved, n_core = cluster_step(a, assign, eps, min_samples, self_neighbor, clusterer)
         if n_moved:
+            layer_no = len(result.handles)
+            result.deltas.append(
+                assign.join(moves.select(F.col("node").alias("cid"), "new"), "cid").select(
+                    F.lit(layer_no).alias("layer"), "idx", F.col("new").alias("cid")
+                )
+            )
             assign = cut(project(assign, moves))
             for b in pipeline:
                 b.apply_moves(moves)

@@ -144,6 +144,19 @@ def test_g6_static_and_hybrid(spark):
         18: [[0, 1, 2, 3], [4], [5], [6]],
         22: [[0, 1, 2, 3], [4, 5], [6]],
     }
+    # the compact form rebuilds every layer
+    cur = {k: k for k in range(7)}
+    deltas = {}
+    for r in h.run.changes().collect():
+        deltas.setdefault(r.layer, []).append((r.idx, r.cid))
+    full = {}
+    for r in h.layers.collect():
+        full.setdefault(r.layer, {})[r.idx] = r.cid
+    for k in range(27):
+        for idx, cid in deltas.get(k, []):
+            cur[idx] = cid
+        assert cur == full[k], k
+    assert sorted(deltas) == [17, 18, 22]
     final = {r.idx: r.cid for r in hybrid.final.collect()}
     assert final[6] == -1 and final[4] == final[5] != -1
     meta = hybrid.metadata.first()
