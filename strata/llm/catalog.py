@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.html_extract import extract_main_text
+from strata.llm.inverted_multi_index import search
 from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.quality_rules import quality_rules
 from strata.llm.token_counts import LIMIT_TOKENS, count_tokens
@@ -24,6 +26,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = word_sizes(docs, "text", "size", ["doc_id", "source"])
@@ -42,6 +53,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op3_inverted_multi_index": op3_inverted_multi_index,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
