@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata.llm.html_extract import extract_main_text
 from strata.llm.inverted_multi_index import search
 from strata.llm.mixing import mix_documents, word_sizes
+from strata.llm.piece_transducer import encode_decode
 from strata.llm.quality_rules import quality_rules
 from strata.llm.token_counts import LIMIT_TOKENS, count_tokens
 from strata.session import ensure_checkpoint_dir
@@ -35,6 +36,10 @@ def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op4_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), carry=["doc_id"])
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = word_sizes(docs, "text", "size", ["doc_id", "source"])
@@ -55,6 +60,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_inverted_multi_index": op3_inverted_multi_index,
+    "op4_piece_transducer": op4_piece_transducer,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
