@@ -13,6 +13,8 @@ from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
 from strata.llm.quality_rules import quality_rules
 from strata.llm.token_counts import LIMIT_TOKENS, count_tokens
+from strata.llm.warc_revisits import ORACLE as WARC_ORACLE
+from strata.llm.warc_revisits import captures_of_pages, resolve_revisits
 from strata.session import ensure_checkpoint_dir
 
 
@@ -40,6 +42,15 @@ def op4_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), carry=["doc_id"])
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_revisits(captures_of_pages(_table(spark, sf_dir, "pages")))
+    header = lambda name: F.col("headers")[name]
+    return resolved.select(
+        "record_id", "url", "canonical", "full_id", "verdict", header("etag").alias("etag"),
+        header("cache-control").alias("cache_control"), header("content-type").alias("content_type"),
+        header("server").alias("server"))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = word_sizes(docs, "text", "size", ["doc_id", "source"])
@@ -61,9 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_inverted_multi_index": op3_inverted_multi_index,
     "op4_piece_transducer": op4_piece_transducer,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_warc_revisits": WARC_ORACLE,
+}

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.llm.schema_safe import own_name
 from strata.llm.text_arrays import chunks, text_column
@@ -272,7 +273,6 @@ def encode_decode(
                     [batch.column(i).slice(lo, hi - lo) for i in range(at)] + cols, names=keep + list(added))
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
+    schema = T.StructType([*schema, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in added.items())])
     slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(sent))
     return slim.mapInArrow(run, schema)
