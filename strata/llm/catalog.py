@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.html_extract import extract_main_text
 from strata.llm.inverted_multi_index import search
+from strata.llm.kneser_ney import perplexity_filter
 from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
 from strata.llm.quality_rules import quality_rules
@@ -68,6 +69,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT_TOKENS)
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexity_filter(_table(spark, sf_dir, "documents"), trusted).select(
+        "doc_id", "code", "trusted", "n_words", "n_symbols", "perplexity", "threshold", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op3_inverted_multi_index": op3_inverted_multi_index,
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_entropy_mix": op6_entropy_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLE: dict[str, str] = {
