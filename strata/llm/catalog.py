@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strata.llm.html_extract import extract_main_text
 from strata.llm.inverted_multi_index import search
 from strata.llm.kneser_ney import perplexity_filter
+from strata.llm.line_dedup import repeated_lines
 from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
 from strata.llm.quality_rules import quality_rules
@@ -69,6 +70,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT_TOKENS)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(_table(spark, sf_dir, "documents")).withColumn("n_dropped", F.size("dropped").cast("long"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return perplexity_filter(_table(spark, sf_dir, "documents"), trusted).select(
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_entropy_mix": op6_entropy_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_line_dedup": op9_line_dedup,
     "op10_kneser_ney": op10_kneser_ney,
 }
 

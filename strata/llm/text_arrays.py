@@ -18,9 +18,10 @@ CHUNK_BYTES = 2 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_MULT = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
-_INV = pow(_MULT, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+# Two independent families of span hashes; odd multipliers have an inverse modulo 2**64.
+_MULT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_INV = tuple(pow(m, -1, 1 << 64) for m in _MULT)
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -104,18 +105,27 @@ class Flat:
         per = np.diff(np.append(before, len(cut))) + 1
         return start, end, np.repeat(np.arange(self.n), per)
 
-    def prefix_hash(self) -> np.ndarray:
+    def prefix_hash(self, family: int = 0) -> np.ndarray:
         """``h[i]``: sum over the first i bytes of value * mult**position, modulo 2**64."""
         out = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buf] * _power_table(_MULT, len(self.buf) + 1)[: len(self.buf)], out=out[1:])
+        powers = _power_table(_MULT[family], len(self.buf) + 1)[: len(self.buf)]
+        np.cumsum(_BYTE[family][self.buf] * powers, out=out[1:])
         return out
 
     @staticmethod
-    def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
         """A 64-bit hash of the bytes ``start:end``, the same wherever the span stands."""
-        inv = _power_table(_INV, len(prefix))
+        inv = _power_table(_INV[family], len(prefix))
         return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64))
 
+    @staticmethod
+    def hash_without(prefix: np.ndarray, start, cut, after, end, family: int = 0) -> np.ndarray:
+        """The span hash of the bytes ``start:cut`` followed by ``after:end``."""
+        inv = _power_table(_INV[family], len(prefix))
+        gap = (after - cut).astype(np.int64)
+        raw = (prefix[cut] - prefix[start]) * inv[start] + (prefix[end] - prefix[after]) * inv[start + gap]
+        return mix(raw + (end - start - gap).astype(np.uint64))
+
     def code_points(self) -> np.ndarray:
         """``c[i]``: code points among the first i bytes."""
         out = np.zeros(len(self.buf) + 1, dtype=np.int64)
