@@ -13,6 +13,7 @@ from strata.llm.kneser_ney import perplexity_filter
 from strata.llm.line_dedup import repeated_lines
 from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
+from strata.llm.prob_minhash import near_duplicate_classes
 from strata.llm.quality_rules import quality_rules
 from strata.llm.token_counts import LIMIT_TOKENS, count_tokens
 from strata.llm.warc_revisits import ORACLE as WARC_ORACLE
@@ -35,6 +36,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
 
 
+def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
@@ -82,6 +87,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_prob_minhash": op2_prob_minhash,
     "op3_inverted_multi_index": op3_inverted_multi_index,
     "op4_piece_transducer": op4_piece_transducer,
     "op5_warc_revisits": op5_warc_revisits,
