@@ -26,8 +26,18 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return path
 
 
+def find_package_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless a path is set.
+
+    On a cluster the package is installed or sent with ``--py-files``; then this changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured checkpoint folder; set a scratch one only when unset."""
+    find_package_on_workers(spark)
     path = checkpoint_dir(spark)
     if path:
         return path
