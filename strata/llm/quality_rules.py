@@ -159,7 +159,8 @@ def reference_counts(
                 items, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.rint(np.bincount(inv, weights=np.concatenate([p[1] for p in parts]))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([code] * len(items)), pa.array([kind] * len(items)), pa.array(items.astype(np.int64)),
+                    [pa.array([code] * len(items), pa.string()), pa.array([kind] * len(items), pa.string()),
+                     pa.array(items.astype(np.int64)),
                      pa.array(n)], names=["code", "kind", "item", "n"])
             held.clear()
 
