@@ -156,18 +156,42 @@ def solve_dual(
 
 
 def _settle(bound: float):
-    """Change copies of one source's settlers, largest first, until the rest of its miss is used up."""
+    """Change copies of one source's settlers until its tokens are near the target.
+
+    First single copies, largest documents first, while they fit in the miss; then, while the miss
+    shrinks, the single change or the exchange of two documents that leaves the least.
+    """
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "mark", "key"], ascending=[False, True, True], kind="stable")
         miss = float(part["miss"].iloc[0])
         size, copies = part["size"].to_numpy(), part["copies"].to_numpy().copy()
         step = 1 if miss > 0 else -1
-        left = abs(miss)
         for i in range(len(size)):
-            if size[i] and size[i] <= left and 0 <= copies[i] + step <= bound:
+            if size[i] and size[i] <= abs(miss) and 0 <= copies[i] + step <= bound:
                 copies[i] += step
-                left -= size[i]
+                miss -= step * size[i]
+        for _ in range(32):
+            more = np.flatnonzero((size > 0) & (copies + 1 <= bound))
+            less = np.flatnonzero((size > 0) & (copies >= 1))
+            # an exchange adds one document and takes another; index -1 stands for none
+            up, down = np.append(more, -1), np.append(less, -1)
+            gain, loss = np.append(size[more], 0), np.append(size[less], 0)
+            order = np.argsort(loss, kind="stable")
+            at = np.searchsorted(loss[order], gain - miss)
+            best = (abs(miss) - 0.5, -1, -1)
+            for near in (np.clip(at - 1, 0, len(loss) - 1), np.clip(at, 0, len(loss) - 1)):
+                left = np.abs(miss - gain + loss[order][near])
+                left[up == down[order][near]] = np.inf
+                i = int(np.argmin(left))
+                if left[i] < best[0]:
+                    best = (float(left[i]), int(up[i]), int(down[order][near][i]))
+            if best[1] == best[2]:
+                break
+            for i, change in ((best[1], 1), (best[2], -1)):
+                if i >= 0:
+                    copies[i] += change
+                    miss -= change * size[i]
         return part.assign(copies=copies)
 
     return settle
@@ -180,7 +204,7 @@ def mix_documents(
     share: float = SHARE,
     bound: float = BOUND,
     settlers: int = SETTLERS,
-    shard_rows: int = 20_000,
+    shard_rows: int = 2_000,
 ) -> DataFrame:
     """``(key, source, size, source_size, target, rate, copies, taken)`` of a table ``(key, source, size)``.
 
