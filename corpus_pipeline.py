@@ -22,6 +22,7 @@ from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
 from strata.llm.prob_minhash import keep_one_per_class
 from strata.llm.quality_rules import quality_rules
+from strata.llm.schema_safe import own_name
 from strata.session import ensure_checkpoint_dir
 
 
@@ -41,12 +42,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its copies; one whose copies are 0 is not in the mix."""
+    """Each document as often as its copies; one whose copies are 0 is not in the mix.
+
+    Rows that repeat a ``doc_id`` (null included) are copied alike, by the most that one of them gets.
+    """
     ensure_checkpoint_dir(spark)
-    mix = mix_documents(word_sizes(docs, "text", "size", ["doc_id", "source"]), "doc_id")
-    copies = mix.groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    rows = docs.join(copies, "doc_id")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    mix = mix_documents(word_sizes(docs.select("doc_id", "source", "text"), "text", "size", ["doc_id", "source"]), "doc_id")
+    key, times = own_name(docs, "mixed_id", "mixed_copies")
+    copies = mix.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(times)).where(F.col(times) > 0)
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    (turn,) = own_name(rows, "mixed_turn")
+    rows = rows.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
