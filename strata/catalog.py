@@ -31,7 +31,6 @@ from .plans.analyses import CallAnalysis, CombinedAnalysis, TermAnalysis
 from .plans.decompose import cluster
 from .plans.outputs import layers_wide, partitions
 from .plans.pipeline import decompose
-from .plans.schedule import sequential
 from .session import cut, ensure_checkpoint_dir
 from .sources.derive import atoms_from_keys, relation_edges, tfidf, trace_edges, word_counts
 from .sources.readers import unpivot_matrix
@@ -46,6 +45,8 @@ PART_BRAND_EPS = 0.95
 PART_COMBINED_FLOOR = 0.5
 LADDER_MAX_EPS = 0.15
 LADDER_STEP = 0.05
+# The radii of that ladder, written out for the oracle.
+LADDER_RADII = [1e-10, 0.0500000001, 0.1000000001]
 MIN_SAMPLES = 2
 
 
@@ -254,7 +255,7 @@ def q_projection_parts(spark, sf_dir):
     from .plans.decompose import cluster_step
     from .operators.project import project
 
-    moves, _, _ = cluster_step(a, seeds, PART_BRAND_EPS, MIN_SAMPLES)
+    moves, _ = cluster_step(a, seeds, PART_BRAND_EPS, MIN_SAMPLES)
     return project(seeds, moves)
 
 
@@ -272,8 +273,7 @@ def _part_combined_counts(spark, sf_dir, weights):
     a.bind(atoms)
     a.seed(atoms.select("idx", F.col("idx").alias("cid")))
     eps = 1.0 - PART_COMBINED_FLOOR
-    a.floor = PART_COMBINED_FLOOR
-    sim = a.similarity()
+    sim = a.similarity(eps)
     return neighbour_counts_cliques(sim, eps, a.cliques_at(eps))
 
 
@@ -384,8 +384,7 @@ def _round(sql: str, cols: str, dcol: str) -> str:
 
 
 def _ladder_sql() -> str:
-    plan = [e for _, e in sequential([LADDER_MAX_EPS], LADDER_STEP)]
-    return Q.term_ladder(Q.DOC_TFIDF, "SELECT doc_id AS idx FROM documents", plan, MIN_SAMPLES)
+    return Q.term_ladder(Q.DOC_TFIDF, "SELECT doc_id AS idx FROM documents", LADDER_RADII, MIN_SAMPLES)
 
 
 def oracle() -> dict[str, str]:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.pairs import pairs_sharing_key
@@ -24,6 +24,8 @@ from ..operators.pairs import pairs_sharing_key
 # orders (Spark vs. an SQL oracle, or partial vs. final aggregation) cannot move a
 # pair across a radius.  Fixed value shared by engine and oracle.
 DISTANCE_DECIMALS = 12
+# Slack of size bounds against float rounding: pairs at a bound are kept.  Fixed value.
+SIZE_SLACK = 1e-9
 
 
 def distance(sim: Column) -> Column:
@@ -31,6 +33,14 @@ def distance(sim: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.lit(1.0) - sim), DISTANCE_DECIMALS)
 
 
+def within(sim: Column, reach: float) -> Column:
+    """The one radius test: the rounded distance is at most ``reach``, rounded alike.
+
+    A table cut at ``reach`` keeps every pair that the neighbour test passes at any radius up to it.
+    """
+    return distance(sim) <= F.lit(round(float(reach), DISTANCE_DECIMALS))
+
+
 def _mirror(half: DataFrame) -> DataFrame:
     """Half matrix ``i <= j`` -> both orientations (diagonal once)."""
     return half.select(
@@ -90,22 +100,46 @@ def call_similarity(edges: DataFrame) -> DataFrame:
     ).where(F.col("sim") != 0)
 
 
-def cousage_similarity(edges: DataFrame, salt_threshold: int | None = None) -> DataFrame:
+def cousage_similarity(edges: DataFrame, salt_threshold: int | None = None, reach: float = 1.0) -> DataFrame:
     """M2: Jaccard similarity of the sets of callers (non-zero column pattern).
 
     ``|C(i) & C(j)| / |C(i) | C(j)|``; the diagonal is 1 for every node with at
     least one caller.  Intersections come from a self-join on the caller, salted
     for hub callers so no task holds a hot caller's pair list alone.
+
+    With a ``reach`` below 1 only pairs of similarity ``t = 1 - reach`` or more are needed.  Two such
+    sets of sizes n and m share a caller among the first ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1``
+    of either in any common order; callers are ordered by how many nodes they call, so hubs
+    come last and hardly enter the join.  The pairs found are then counted in full.
     """
     nz = edges.where(F.col("w") != 0).select(F.col("src").alias("k"), F.col("dst").alias("node")).distinct()
     n = nz.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    inter = pairs_sharing_key(nz.withColumn("v", F.lit(1.0)), salt_threshold=salt_threshold,
-                              combine=lambda a, b: F.lit(1.0))
+    t = 1.0 - reach
+    if t <= SIZE_SLACK:
+        inter = pairs_sharing_key(nz.withColumn("v", F.lit(1.0)), salt_threshold=salt_threshold,
+                                  combine=lambda a, b: F.lit(1.0))
+    else:
+        degree = nz.groupBy("k").agg(F.count(F.lit(1)).alias("deg"))
+        at = F.row_number().over(Window.partitionBy("node").orderBy("deg", "k"))
+        rows = nz.join(degree, "k").join(n, "node").withColumn("at", at)
+        first = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(SIZE_SLACK)) + 1
+        some = pairs_sharing_key(rows.where(F.col("at") <= first).select("k", "node", F.lit(1.0).alias("v")),
+                                 salt_threshold=salt_threshold, combine=lambda a, b: F.lit(1.0)).select("i", "j")
+        some = some.join(n.select(F.col("node").alias("i"), F.col("n").alias("ni")), "i").join(
+            n.select(F.col("node").alias("j"), F.col("n").alias("nj")), "j")
+        some = some.where(F.least("ni", "nj") >= F.greatest("ni", "nj") * F.lit(t) - F.lit(SIZE_SLACK)).select(
+            "i", "j", (F.col("ni") <= F.col("nj")).alias("small_i"))
+        probe = some.select("i", "j", F.when(F.col("small_i"), F.col("i")).otherwise(F.col("j")).alias("node"),
+                            F.when(F.col("small_i"), F.col("j")).otherwise(F.col("i")).alias("other"))
+        inter = probe.join(nz, "node").join(nz.withColumnRenamed("node", "other"), ["other", "k"]).groupBy("i", "j").agg(
+            F.count(F.lit(1)).cast("double").alias("s"))
     half = inter.join(n.select(F.col("node").alias("i"), F.col("n").alias("ni")), "i").join(
         n.select(F.col("node").alias("j"), F.col("n").alias("nj")), "j"
     ).select(
         "i", "j", (F.col("s") / (F.col("ni") + F.col("nj") - F.col("s"))).alias("sim")
     )
+    if t > SIZE_SLACK:
+        half = half.where(within(F.col("sim"), reach))
     return _mirror(half)
 
 
@@ -162,5 +196,5 @@ SIMILARITIES = {"call": call_similarity, "cousage": cousage_similarity}
 def edge_similarity(name: str):
     """M6: similarity by name; unknown names are rejected."""
     if name not in SIMILARITIES:
-        raise ValueError(f'Unsupported similarity function "{name}"')
+        raise ValueError(f"no edge similarity is called {name!r}; there are {sorted(SIMILARITIES)}")
     return SIMILARITIES[name]

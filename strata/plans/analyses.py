@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import duplicate_groups, expand_pairs, representatives
-from ..functions.prefix import cosine_at_least, cosine_for_pairs
-from ..functions.similarity import _mirror, combine_similarities, cosine_similarity, edge_similarity
+from ..functions.prefix import FLOOR_SLACK, cosine_at_least, cosine_for_pairs
+from ..functions.similarity import _mirror, combine_similarities, cosine_similarity, edge_similarity, within
 from ..operators.contract import contract_edges, contract_edges_by_moves, contract_vectors_by_moves
 from ..session import cut
 
@@ -37,8 +37,7 @@ class Analysis:
         self._support: DataFrame | None = None
         self._nodes: DataFrame | None = None
         self._sim: DataFrame | None = None
-        self._sim_floor: float | None = None
-        self.floor = 0.0  # similarities below this are not needed by the schedule
+        self._sim_reach: float | None = None
         # duplicate groups that are complete neighbourhoods from radius ``_clique_eps`` on
         self._cliques: DataFrame | None = None
         self._clique_eps: float = 0.0
@@ -55,7 +54,8 @@ class Analysis:
     def _move_state(self, moves: DataFrame) -> None:
         raise NotImplementedError
 
-    def _compute_similarity(self, floor: float) -> DataFrame:
+    def _compute_similarity(self, reach: float) -> DataFrame:
+        """Pairs whose distance is at most ``reach`` (all non-zero pairs from radius 1 on)."""
         raise NotImplementedError
 
     # -- driver-facing ----------------------------------------------------------
@@ -86,21 +86,36 @@ class Analysis:
         return self._nodes
 
     def cliques_at(self, eps: float) -> DataFrame | None:
-        """Clique groups valid at radius ``eps`` for the cached similarity, or None."""
-        self.similarity()
+        """Clique groups valid at radius ``eps`` for the similarity asked for last, or None."""
         if self._cliques is not None and eps >= self._clique_eps:
             return self._cliques
         return None
 
-    def similarity(self, floor: float | None = None) -> DataFrame:
-        """Similarity at the current contraction, cached until the next merge (rule 1)."""
-        floor = self.floor if floor is None else floor
-        if self._sim is None or self._sim_floor != floor:
+    def similarity(self, reach: float = 1.0) -> DataFrame:
+        """Similarity of the pairs within ``reach`` at the current contraction.
+
+        Cached until the next merge (rule 1); a table made for a larger reach serves a smaller one,
+        because the neighbour test is applied to it again at every step.
+        """
+        reach = min(float(reach), 1.0)
+        if self._sim is None or self._sim_reach < reach:
             self._cliques = None
-            self._sim = cut(self._compute_similarity(floor))
-            self._sim_floor = floor
+            self._sim = cut(self._compute_similarity(reach))
+            self._sim_reach = reach
         return self._sim
 
+    def full_similarity(self) -> DataFrame:
+        """Every non-zero pair, members of duplicate groups included: what a user's clusterer gets."""
+        collapse, self.collapse_duplicates = self.collapse_duplicates, False
+        try:
+            return cut(self._compute_similarity(1.0))
+        finally:
+            self.collapse_duplicates = collapse
+
+
+def _within(sim: DataFrame, reach: float) -> DataFrame:
+    return sim.where(within(F.col("sim"), reach)) if reach < 1.0 else sim
+
 
 def _support_from(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = None
@@ -149,12 +164,12 @@ class CallAnalysis(Analysis):
     def _move_state(self, moves: DataFrame) -> None:
         self.edges = cut(contract_edges_by_moves(self.edges, moves).where(F.col("w") != 0))
 
-    def _compute_similarity(self, floor: float) -> DataFrame:
+    def _compute_similarity(self, reach: float) -> DataFrame:
         if self.similarity_name == "cousage":
-            sim = self._fn(self.edges, salt_threshold=self.salt_threshold)
+            sim = self._fn(self.edges, salt_threshold=self.salt_threshold, reach=reach)
         else:
             sim = self._fn(self.edges)
-        return sim.where(F.col("sim") >= F.lit(floor)) if floor > 0 else sim
+        return _within(sim, reach)
 
 
 class TermAnalysis(Analysis):
@@ -172,7 +187,7 @@ class TermAnalysis(Analysis):
                  salt_threshold: int | None = None) -> None:
         super().__init__()
         if aggregation not in AGGREGATIONS:
-            raise ValueError(f'Unsupported aggregation method "{aggregation}"')
+            raise ValueError(f"vectors are aggregated by one of {AGGREGATIONS}, not by {aggregation!r}")
         self.aggregation = aggregation
         self.raw_vectors = vectors.select(
             F.col("idx").cast("bigint").alias("idx"), F.col("term").cast("string").alias("term"),
@@ -209,9 +224,9 @@ class TermAnalysis(Analysis):
             return self.vectors
         return self.vectors.join(self.counts, "node").select("node", "term", (F.col("x") / F.col("n")).alias("x"))
 
-    def _cosine(self, vectors: DataFrame, floor: float) -> DataFrame:
-        if floor > 0:
-            return cosine_at_least(vectors, floor, salt_threshold=self.salt_threshold)
+    def _cosine(self, vectors: DataFrame, reach: float) -> DataFrame:
+        if reach < 1.0:
+            return cosine_at_least(vectors, 1.0 - reach, salt_threshold=self.salt_threshold)
         return cosine_similarity(vectors, salt_threshold=self.salt_threshold)
 
     def duplicate_groups(self) -> DataFrame | None:
@@ -224,13 +239,13 @@ class TermAnalysis(Analysis):
             return None
         return groups
 
-    def _compute_similarity(self, floor: float) -> DataFrame:
+    def _compute_similarity(self, reach: float) -> DataFrame:
         groups = self.duplicate_groups()
         if groups is None:
-            return self._cosine(self.vectors, floor)
+            return self._cosine(self.vectors, reach)
         # one representative per duplicate group; members of a group are a clique
         # (cosine 1) at every radius, so only pairs across groups are listed
-        rep = self._cosine(representatives(self.vectors, groups), floor)
+        rep = self._cosine(representatives(self.vectors, groups), reach)
         cross = expand_pairs(rep.where(F.col("i") < F.col("j")), groups)
         single = groups.where(F.col("m") == 1).select(F.col("node").alias("i"))
         diag = rep.where(F.col("i") == F.col("j")).join(single, "i", "left_semi")
@@ -250,9 +265,7 @@ class CombinedAnalysis(Analysis):
             raise ValueError("a combined analysis needs at least two children")
         if weights is not None:
             if len(weights) != len(children):
-                raise ValueError(
-                    f"analyses and weights must have the same shape. Found {len(children)} and {len(weights)}"
-                )
+                raise ValueError(f"{len(children)} children need as many weights, not {len(weights)}")
             if abs(sum(weights) - 1.0) > 1e-9:
                 raise ValueError(f"weights must sum to 1, got {sum(weights)}")
         self.children = list(children)
@@ -282,31 +295,32 @@ class CombinedAnalysis(Analysis):
         self._nodes = self.children[0].nodes()
         self._sim = None
 
-    def _compute_similarity(self, floor: float) -> DataFrame:
-        """Weighted combination above ``floor``, pruned exactly.
+    def _compute_similarity(self, reach: float) -> DataFrame:
+        """Weighted combination of the pairs within ``reach``, pruned exactly.
 
         Edge children are computed in full (sparse by nature).  A pair outside
-        every edge child's support can only reach the floor through the term
-        children, so it needs ``cos >= floor / W_T`` in one of them (``W_T`` =
+        every edge child's support can only reach the radius through the term
+        children, so it needs ``cos >= (1 - reach) / W_T`` in one of them (``W_T`` =
         total weight of term children): those candidates come from the prefix
         filter.  Every candidate pair then gets the exact cosine of every term
-        child, so the combination is exact for all pairs at or above the floor.
+        child, so the combination is exact for all pairs within the radius.
         """
         weights = self.weights or [1.0 / len(self.children)] * len(self.children)
         terms = [(c, w) for c, w in zip(self.children, weights) if isinstance(c, TermAnalysis)]
         w_t = sum(w for _, w in terms)
-        if floor <= 0 or not terms or w_t <= 0:
-            sims = [c._cosine(c.vectors, 0.0) if isinstance(c, TermAnalysis) else c._compute_similarity(0.0)
+        if reach >= 1.0 or not terms or w_t <= 0:
+            sims = [c._cosine(c.vectors, 1.0) if isinstance(c, TermAnalysis) else c._compute_similarity(1.0)
                     for c in self.children]
-            sim = combine_similarities(sims, self.weights)
-            return sim.where(F.col("sim") >= F.lit(floor)) if floor > 0 else sim
-        edge_sims = {id(c): cut(c._compute_similarity(0.0)) for c in self.children if not isinstance(c, TermAnalysis)}
+            return _within(combine_similarities(sims, self.weights), reach)
+        edge_sims = {id(c): cut(c._compute_similarity(1.0)) for c in self.children if not isinstance(c, TermAnalysis)}
         half = lambda df: df.where(F.col("i") <= F.col("j")).select("i", "j")
         cands = [half(s) for s in edge_sims.values()]
-        tau_t = floor / w_t
-        groups = terms[0][0].duplicate_groups() if len(terms) == 1 else None
+        # cosines are at most 1 but for rounding: a floor of 1 is still reached by equal directions
+        tau_t = (1.0 - reach) / w_t
+        reachable, tau_t = tau_t <= 1.0 + FLOOR_SLACK, min(tau_t, 1.0)
+        groups = terms[0][0].duplicate_groups() if len(terms) == 1 and self.collapse_duplicates else None
         if groups is None:
-            if tau_t <= 1.0:
+            if reachable:
                 cands += [half(cosine_at_least(c.vectors, tau_t, salt_threshold=c.salt_threshold)) for c, _ in terms]
         else:
             # Inside a duplicate group every pair has combined similarity >= W_T, so
@@ -315,7 +329,7 @@ class CombinedAnalysis(Analysis):
             # whose support is listed anyway.  Candidates from the term child are
             # generated on one representative per group and expanded across groups.
             t = terms[0][0]
-            if tau_t <= 1.0:
+            if reachable:
                 rep = cosine_at_least(representatives(t.vectors, groups), tau_t, salt_threshold=t.salt_threshold)
                 cands.append(expand_pairs(rep.where(F.col("i") < F.col("j")).select("i", "j"), groups))
             single = groups.where(F.col("m") == 1).select(F.col("node").alias("i"), F.col("node").alias("j"))
@@ -332,5 +346,4 @@ class CombinedAnalysis(Analysis):
                 sims.append(_mirror(cosine_for_pairs(c.vectors, pairs)))
             else:
                 sims.append(edge_sims[id(c)])
-        sim = combine_similarities(sims, weights)
-        return sim.where(F.col("sim") >= F.lit(floor))
+        return _within(combine_similarities(sims, weights), reach)

@@ -18,10 +18,11 @@ reuses its predecessor's handle.
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dbscan import SELF_NEIGHBOR_MODES, dbscan, dbscan_labels
@@ -40,7 +41,6 @@ class StepInfo:
     layer: int
     stage: int
     eps: float
-    n_core: int
     n_moved: int
     seconds: float
 
@@ -66,7 +66,7 @@ class Layers:
         out = spark.createDataFrame([], "layer int, idx bigint, cid bigint")
         for d in self.deltas:
             out = out.unionByName(d)
-        return out
+        return out  # clusters as merged; outlier tags are a view of :meth:`layers` and :meth:`final`
 
     def layers(self) -> DataFrame:
         """``(layer INT, idx BIGINT, cid BIGINT)`` for every layer (layer 0 = singletons)."""
@@ -101,24 +101,26 @@ def cluster_step(
     min_samples: int,
     self_neighbor: str = "distance",
     clusterer=None,
-) -> tuple[DataFrame, int, int]:
+    reach: float | None = None,
+) -> tuple[DataFrame, int]:
     """C4: one seeded step on an analysis whose state matches ``assign``.
 
-    Returns ``(moves, n_moved, n_core)``; ``moves`` is checkpointed.
+    ``reach`` is the largest radius that later steps on this analysis use (default: this step's), so
+    that one similarity table serves them all.  Returns ``(moves, n_moved)``; ``moves`` is checkpointed.
     """
-    sim = analysis.similarity()
     if clusterer is not None:
         # Any callable (sim, nodes, eps, min_samples) -> (node, label); label
-        # -1 or null is noise, other labels name clusters (any values)
-        lab = clusterer(sim, analysis.nodes(), eps, min_samples)
+        # -1 or null is noise, other labels name clusters (any values).  It gets every non-zero pair.
+        lab = clusterer(analysis.full_similarity(), analysis.nodes(), eps, min_samples)
         lab = lab.where(F.col("label").isNotNull() & (F.col("label") != -1)).select("node", "label")
         moves = cut(moves_from_labels(lab))
-        return moves, moves.count(), -1
+        return moves, moves.count()
+    sim = analysis.similarity(max(eps, eps if reach is None else reach))
     res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor, analysis.cliques_at(eps))
     if res.trivial:
-        return assign.sparkSession.createDataFrame([], "node bigint, new bigint"), 0, 0
+        return assign.sparkSession.createDataFrame([], "node bigint, new bigint"), 0
     moves = cut(moves_from_labels(res.labels.select("node", "label")))
-    return moves, moves.count(), res.n_core
+    return moves, moves.count()
 
 
 def cluster_from_scratch(
@@ -128,23 +130,17 @@ def cluster_from_scratch(
     analysis.bind(atoms)
     identity = atoms.select("idx", F.col("idx").alias("cid"))
     analysis.seed(identity)
-    # pairs farther than eps are never neighbours: prune below 1 - eps
-    analysis.floor = max(0.0, 1.0 - eps) if eps < 1.0 else 0.0
-    lab = dbscan_labels(analysis.similarity(), analysis.nodes(), eps, min_samples, self_neighbor, noise=-1,
+    sim = analysis.similarity(eps)
+    lab = dbscan_labels(sim, analysis.nodes(), eps, min_samples, self_neighbor, noise=-1,
                         cliques=analysis.cliques_at(eps))
     return atoms.select("idx").join(lab.withColumnRenamed("node", "idx"), "idx", "left").select(
         "idx", F.coalesce(F.col("label"), F.lit(-1).cast("bigint")).alias("cid")
     )
 
 
-def _floors(plan: list[tuple[int, float]], n: int) -> list[float]:
-    top = [0.0] * n
-    used = [False] * n
-    for k, e in plan:
-        top[k] = max(top[k], e)
-        used[k] = True
-    # Pairs farther than the largest radius of the stage are never neighbours.
-    return [max(0.0, 1.0 - t) if u and t < 1.0 else 0.0 for t, u in zip(top, used)]
+def _reaches(pipeline: Sequence[Analysis], radii: Sequence[Sequence[float]]) -> list[float]:
+    """Per stage the largest radius that any stage with the same analysis uses."""
+    return [max(e for other, own in zip(pipeline, radii) if other is a for e in own or [0.0]) for a in pipeline]
 
 
 def cluster(
@@ -170,12 +166,14 @@ def cluster(
     if self_neighbor not in SELF_NEIGHBOR_MODES:
         raise ValueError(f"self_neighbor must be one of {SELF_NEIGHBOR_MODES}")
     if not isinstance(min_samples, int):
+        warnings.warn(f"min_samples {min_samples!r} is taken as {int(min_samples)}", stacklevel=2)
         min_samples = int(min_samples)
     if epsilons is None:
         epsilons = [DEFAULT_EPSILON] * len(pipeline)
 
     assign = cut(atoms.select("idx", F.col("idx").alias("cid")))
-    for a in pipeline:
+    distinct = list({id(a): a for a in pipeline}.values())  # an analysis may serve several stages
+    for a in distinct:
         a.bind(atoms)
         a.seed(assign)
 
@@ -185,7 +183,7 @@ def cluster(
         nonlocal assign
         t0 = time.time()
         a = pipeline[stage]
-        moves, n_moved, n_core = cluster_step(a, assign, eps, min_samples, self_neighbor, clusterer)
+        moves, n_moved = cluster_step(a, assign, eps, min_samples, self_neighbor, clusterer, reach[stage])
         if n_moved:
             layer_no = len(result.handles)
             result.deltas.append(
@@ -194,40 +192,25 @@ def cluster(
                 )
             )
             assign = cut(project(assign, moves))
-            for b in pipeline:
+            for b in distinct:
                 b.apply_moves(moves)
         result.handles.append(assign)
-        info = StepInfo(len(result.handles) - 1, stage, eps, n_core, n_moved, time.time() - t0)
+        info = StepInfo(len(result.handles) - 1, stage, eps, n_moved, time.time() - t0)
         result.steps.append(info)
         if log:
             log(info)
         return n_moved
 
     if strategy == "alternating":
-        for a, e in zip(pipeline, epsilons):
-            a.floor = max(0.0, 1.0 - e) if e < 1.0 else 0.0
-        moved_in_round = 0
-        current = 0
-        for r, k, e in sched.alternating(epsilons, max_iterations):
-            if r != current:
-                if current >= 1 and moved_in_round == 0:
-                    break
-                current, moved_in_round = r, 0
-            moved_in_round += run(k, e)
+        reach = _reaches(pipeline, [[e] for e in epsilons])
+        for turn in range(max_iterations):
+            merged = sum(run(stage, eps) for stage, eps in enumerate(epsilons))
+            if turn and not merged:
+                break
         return result
 
-    plan = (
-        sched.alternating_epsilon(epsilons, epsilon_step)
-        if strategy == "alternating_epsilon"
-        else sched.sequential(epsilons, epsilon_step)
-    )
-    for a, f in zip(pipeline, _floors(plan, len(pipeline))):
-        a.floor = f
-    for k, e in plan:
-        run(k, e)
+    ladders = [sched.radii(top, epsilon_step, whole=strategy == "alternating_epsilon") for top in epsilons]
+    reach = _reaches(pipeline, ladders)
+    for stage, eps in sched.plan(strategy, epsilons, epsilon_step):
+        run(stage, eps)
     return result
-
-
-def singletons(spark: SparkSession, n: int) -> DataFrame:
-    """``(idx, cid)`` identity assignment over ``0..n-1`` (small fixtures)."""
-    return spark.range(n).select(F.col("id").alias("idx"), F.col("id").alias("cid"))

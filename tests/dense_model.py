@@ -102,20 +102,11 @@ class Dense:
         return out
 
 
-def ladder(max_eps, step):
-    eps = [1e-10 for _ in max_eps]
-    out, going = [], True
-    while going:
-        going = False
-        for k in range(len(max_eps)):
-            out.append((k, eps[k]))
-            nxt = eps[k] + step
-            if nxt >= max_eps[k]:
-                eps[k] = max_eps[k]
-            else:
-                eps[k] = nxt
-                going = True
-    return out
+# Radii of the default schedule (step 0.05, maximum 0.65), written out by hand.
+DEFAULT_RADII = [
+    1e-10, 0.0500000001, 0.1000000001, 0.1500000001, 0.2000000001, 0.2500000001, 0.3000000001, 0.3500000001,
+    0.4000000001, 0.4500000001, 0.5000000001, 0.5500000001, 0.6000000001]
+DEFAULT_HYBRID_PLAN = [(stage, e) for e in DEFAULT_RADII for stage in (0, 1)]
 
 
 def run(n: int, stages, plan, min_samples: int):

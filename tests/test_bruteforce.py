@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from dense_model import Dense, call_sim, cosine_sim, cousage_sim, dbscan, ladder, run
+from dense_model import Dense, call_sim, cosine_sim, cousage_sim, dbscan, DEFAULT_HYBRID_PLAN, run
 from strata.functions.prefix import cosine_at_least
 from strata.functions.similarity import call_similarity, cosine_similarity, cousage_similarity
 from strata.operators.components import connected_components
@@ -127,8 +127,7 @@ def test_term_ladder_with_duplicates_equals_dense(spark, seed):
     for r in res.layers().collect():
         got.setdefault(r.layer, np.zeros(n, dtype=int))[r.idx] = r.cid
     from dense_model import canonical
-    from strata.plans.schedule import sequential
-    plan = sequential([0.65], 0.1)
+    plan = [(0, e) for e in (1e-10, 0.1000000001, 0.2000000001, 0.3000000001, 0.4000000001, 0.5000000001, 0.6000000001)]
     want = run(n, [Dense("terms", V, list(range(n)))], plan, 3)
     assert len(got) == len(want)
     for k, w in enumerate(want):
@@ -162,7 +161,7 @@ def test_hybrid_ladder_equals_dense(spark):
     Dd[np.ix_(dsup, dsup)] = Xd_sup
     stages = [Dense("call", Dd, dsup), Dense("sum", children=[Dense("call", Xs, list(range(n))),
                                                               Dense("terms", V, list(range(n)))])]
-    want = run(n, stages, ladder([0.65, 0.65], 0.05), 2)
+    want = run(n, stages, DEFAULT_HYBRID_PLAN, 2)
     assert len(got) == len(want) == 27
     for k, w in enumerate(want):
         assert list(got[k]) == list(w), k

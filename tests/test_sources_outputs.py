@@ -13,7 +13,7 @@ from strata.plans.analyses import CallAnalysis, CombinedAnalysis, TermAnalysis
 from strata.plans.decompose import cluster, cluster_from_scratch
 from strata.plans.outputs import layer_arrays, layers_wide, partition_lists, partitions, write_layers, write_metadata
 from strata.plans.pipeline import build_analysis, decompose
-from strata.plans.schedule import alternating_epsilon, sequential, validate
+from strata.plans.schedule import plan, radii, validate
 from strata.sources.derive import (
     atoms_from_json,
     atoms_from_list,
@@ -104,7 +104,11 @@ def test_config_merge_expand_validate():
     assert m["clustering"]["min_samples"] == 3 and m["clustering"]["epsilon_step"] == 0.05 and m["extra"] == {"a": 1}
     stages = K.expand_pipeline(K.PIPELINES["hybrid"], m)
     assert [k for k, _ in stages] == ["dynamic", "sum"]
-    assert set(stages[1][1]["analysis"]) == {"structural", "semantic"}
+    assert [k for k, _ in stages[1][1]["analysis"]] == ["structural", "semantic"]
+    nested = K.expand_pipeline([["structural", ["semantic", "dynamic"]]], m)[0][1]["analysis"]
+    assert [k for k, _ in nested] == ["structural", "sum"] and [k for k, _ in nested[1][1]["analysis"]] == ["semantic", "dynamic"]
+    with pytest.raises(ValueError):
+        K.expand_pipeline(["unheard"], m)
     with pytest.raises(ValueError):
         validate("bogus", 1, None)
     with pytest.raises(ValueError):
@@ -114,14 +118,15 @@ def test_config_merge_expand_validate():
 
 
 def test_schedules():
-    lad = alternating_epsilon([0.65], 0.05)
-    assert len(lad) == 13 and lad[0][1] == 1e-10 and lad[-1][1] == pytest.approx(0.6000000001)
-    assert len(alternating_epsilon([0.65, 0.65], 0.05)) == 26
-    assert len(alternating_epsilon([0.03], 0.05)) == 1
-    two = alternating_epsilon([0.2, 0.65], 0.05)
+    expected = [1e-10] + [round(0.05 * k, 2) + 1e-10 for k in range(1, 13)]
+    assert radii(0.65, 0.05) == pytest.approx(expected, abs=1e-14)
+    assert radii(0.03, 0.05) == [1e-10] and radii(1e-10, 0.05) == [] and radii(0.0, 0.05, whole=True) == [1e-10]
+    both = plan("alternating_epsilon", [0.65, 0.65], 0.05)
+    assert [k for k, _ in both] == [0, 1] * 13 and [e for k, e in both if k == 1] == pytest.approx(expected, abs=1e-14)
+    two = plan("alternating_epsilon", [0.2, 0.65], 0.05)
     assert len(two) == 26 and [e for k, e in two if k == 0][4:] == [0.2] * 9
-    seq = sequential([0.65, 0.65], 0.05)
-    assert len(seq) == 26 and all(e < 0.65 for _, e in seq)
+    one = plan("sequential", [0.65, 0.03], 0.05)
+    assert one == [(0, e) for e in radii(0.65, 0.05)] + [(1, 1e-10)]
 
 
 def test_analysis_errors(spark):
