@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -20,25 +19,26 @@ from ..session import cut, spread
 # Tokens: runs of ASCII letters in lower-cased text.  Fixed value; the SQL
 # oracle uses the same pattern.
 WORD_PATTERN = "([a-z]+)"
-# Traces longer than this are cut into contiguous ranges of their first
-# ordering column so no single task sorts a huge trace.  Fixed default.
+# Traces longer than this are cut into contiguous pieces so no single task sorts a
+# huge trace, at every so-many-th of the sampled order keys.  Fixed defaults.
 HOT_TRACE_ROWS = 2_000_000
+CUT_SAMPLE = 32
 
 
-def _hot_cuts(base: DataFrame, trace: str, first: str, threshold: int) -> DataFrame | None:
-    sizes = base.groupBy(trace).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold).cache()
-    top = sizes.agg(F.max("n")).first()[0]
-    if top is None:
-        sizes.unpersist()
-        return None
-    pieces = int(math.ceil(top / threshold))
-    probs = [k / pieces for k in range(1, pieces)]
-    cuts = (
-        base.join(sizes.select(trace), trace, "left_semi")
-        .groupBy(trace)
-        .agg(F.percentile_approx(F.col(first), probs, 10_000).alias("_cuts"))
-    )
-    return cuts
+def _cuts(base: DataFrame, trace: str, order: list[str], threshold: int) -> DataFrame:
+    """``(trace, cuts)`` of every trace longer than ``threshold``: ascending order keys that cut it into pieces.
+
+    The keys are real rows' keys, the whole order as a struct, so any orderable types will do and rows
+    that tie in the first columns are still split.  They come from rows chosen by a hash, about
+    ``CUT_SAMPLE`` per piece; an uneven choice makes uneven pieces, never another result.
+    """
+    key = F.struct(*[F.col(c) for c in order])
+    long = base.groupBy(F.col(trace).alias("_trace")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold)
+    rows = base.join(long, F.col(trace).eqNullSafe(F.col("_trace")))
+    lot = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.where(lot * threshold < CUT_SAMPLE).select("_trace", key.alias("_key"))
+    keys = some.groupBy("_trace").agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
+    return keys.select("_trace", F.filter("_keys", lambda k, i: i % CUT_SAMPLE == CUT_SAMPLE - 1).alias("_cuts"))
 
 
 def trace_edges(
@@ -50,34 +50,25 @@ def trace_edges(
 ) -> DataFrame:
     """``(src, dst, w)`` = number of times ``dst`` directly follows ``src``.
 
-    ``order`` must break every tie inside a trace.  Ordinary traces use one
-    window partitioned by trace.  A trace with more than ``hot_threshold`` rows
-    is cut at approximate quantiles of ``order[0]`` (rows with equal values stay
-    together); each piece is ordered on its own and the last row of a piece is
-    linked to the first row of the next non-empty piece, so the result is exact.
+    ``order`` must break every tie inside a trace.  A trace with more than ``hot_threshold`` rows is
+    cut into pieces along its whole order; each piece is ordered on its own, and the last row of a
+    piece is linked to the first row of the next one that has rows.  So the result is exact and
+    the same for every threshold.  A null trace is a trace like any other; rows of a null atom
+    are left out.
     """
     order = list(order)
     base = df.select(trace, *order, atom).where(F.col(atom).isNotNull())
-    cuts = _hot_cuts(base, trace, order[0], hot_threshold)
-    if cuts is None:
-        w = Window.partitionBy(trace).orderBy(*order)
-        pairs = base.select(F.col(atom).alias("src"), F.lead(atom).over(w).alias("dst")).where(
-            F.col("dst").isNotNull()
-        )
-    else:
-        piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter(F.col("_cuts"), lambda c: c <= F.col(order[0])))
-        )
-        tagged = base.join(cuts, trace, "left").withColumn("_piece", piece).drop("_cuts")
-        w = Window.partitionBy(trace, "_piece").orderBy(*order)
-        within = tagged.select(F.col(atom).alias("src"), F.lead(atom).over(w).alias("dst"))
-        key = F.struct(*[F.col(c) for c in order])
-        ends = tagged.groupBy(trace, "_piece").agg(
-            F.min_by(atom, key).alias("first"), F.max_by(atom, key).alias("last")
-        )
-        wp = Window.partitionBy(trace).orderBy("_piece")
-        across = ends.select(F.col("last").alias("src"), F.lead("first").over(wp).alias("dst"))
-        pairs = within.unionByName(across).where(F.col("dst").isNotNull())
+    key = F.struct(*[F.col(c) for c in order])
+    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= key)), F.lit(0))
+    tagged = base.join(_cuts(base, trace, order, hot_threshold), F.col(trace).eqNullSafe(F.col("_trace")), "left")
+    # dealt by trace and piece: the pieces of one trace may go to different tasks
+    tagged = tagged.select(trace, *order, atom, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece).alias("_piece"))
+    w = Window.partitionBy(trace, "_piece").orderBy(*order)
+    within = tagged.select(F.col(trace).alias("_t"), "_piece", F.col(atom).alias("src"), F.lead(atom).over(w).alias("dst"))
+    ends = tagged.groupBy(trace, "_piece").agg(F.min_by(atom, key).alias("first"), F.max_by(atom, key).alias("last"))
+    wp = Window.partitionBy(trace).orderBy("_piece")
+    across = ends.select(F.col("last").alias("src"), F.lead("first").over(wp).alias("dst"))
+    pairs = within.select("src", "dst").unionByName(across).where(F.col("dst").isNotNull())
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
@@ -156,10 +147,30 @@ def atoms_from_keys(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col).cast("string").alias("atom"), F.col(col).cast("bigint").alias("idx")).distinct()
 
 
-def to_index(df: DataFrame, atoms: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace atom names in ``cols`` by their index (inner join: unknown names drop)."""
+def to_index(df: DataFrame, atoms: DataFrame, cols: Sequence[str], unknown: str = "drop") -> DataFrame:
+    """Replace atom names in ``cols`` by their index.
+
+    Names outside ``atoms`` are dropped with their rows (P1) or, with ``unknown="raise"``, an error (P2).
+    """
+    if unknown not in ("drop", "raise"):
+        raise ValueError("unknown names are either dropped or an error")
     out = df
     for c in cols:
         a = atoms.select(F.col("atom").alias(c), F.col("idx").alias(f"_{c}_idx"))
+        if unknown == "raise" and out.join(a, c, "left_anti").limit(1).count():
+            raise ValueError(f"column {c} names atoms that are not in the universe")
         out = out.join(a, c).drop(c).withColumnRenamed(f"_{c}_idx", c)
     return out
+
+
+def universe(names: DataFrame | None = None, semantic_names: DataFrame | None = None) -> DataFrame:
+    """``(atom, idx)`` from explicit names, else from those of the semantic input.
+
+    Names with a column ``idx`` keep it; others are numbered in sorted order.
+    """
+    chosen = names if names is not None else semantic_names
+    if chosen is None:
+        raise ValueError("an atom universe needs explicit names or a semantic input with names")
+    if "idx" in chosen.columns:
+        return chosen.select("atom", F.col("idx").cast("bigint").alias("idx"))
+    return index_atoms(chosen, "atom")

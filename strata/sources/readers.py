@@ -13,12 +13,12 @@ the long form; a ``.npy`` matrix (S8) is read in row blocks by the tasks.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 FORMATS = ("parquet", "csv", "json")
 ANALYSIS_KINDS = ("dynamic", "structural", "semantic", "sum")
@@ -60,7 +60,17 @@ def analysis_path(base: str, analysis: str, granularity: str, what: str) -> str:
     """S9 path convention."""
     if granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
-    return os.path.join(base, analysis, FILE_NAMES[what].format(granularity))
+    return "/".join([base.rstrip("/"), analysis, FILE_NAMES[what].format(granularity)])
+
+
+def _read_or_none(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    """The table, or None where Spark's file system has no such path (any scheme)."""
+    try:
+        return read_table(spark, path, fmt)
+    except AnalysisException as ex:
+        if ex.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def load_inputs(
@@ -76,40 +86,44 @@ def load_inputs(
     """``(features, names)`` from explicit paths, else the folder convention,
     else ``derive()`` (R1-R5 computed by the caller); otherwise ``ValueError``."""
     if analysis not in ("dynamic", "structural", "semantic"):
-        raise ValueError(f"Unrecognized analysis approach '{analysis}'!")
+        raise ValueError(f"{analysis!r} has no input tables")
     what = "tfidf" if analysis == "semantic" else "calls"
     if features_path and names_path:
         return read_table(spark, features_path, fmt), read_table(spark, names_path, fmt)
-    if base_path and os.path.exists(os.path.join(base_path, analysis)):
-        return (
-            read_table(spark, analysis_path(base_path, analysis, granularity, what), fmt),
-            read_table(spark, analysis_path(base_path, analysis, granularity, "names"), fmt),
-        )
+    if base_path:
+        features = _read_or_none(spark, analysis_path(base_path, analysis, granularity, what), fmt)
+        names = _read_or_none(spark, analysis_path(base_path, analysis, granularity, "names"), fmt)
+        if features is not None and names is not None:
+            return features, names
     if derive is not None:
         return derive()
-    raise ValueError(f"{analysis.capitalize()} analysis data not found in input nor locally!")
+    raise ValueError(f"neither the paths nor {base_path!r} hold tables for the {analysis} analysis")
 
 
 def save_inputs(features: DataFrame, names: DataFrame, base: str, analysis: str, granularity: str = "class") -> str:
     """Store an analysis' features and names under the folder convention."""
     if analysis not in ("dynamic", "structural", "semantic"):
-        raise ValueError(f"Unknown analysis type {analysis}!")
+        raise ValueError(f"{analysis!r} has no input tables")
     what = "tfidf" if analysis == "semantic" else "calls"
     features.write.mode("overwrite").parquet(analysis_path(base, analysis, granularity, what))
     names.write.mode("overwrite").parquet(analysis_path(base, analysis, granularity, "names"))
-    return os.path.join(base, analysis)
+    return f"{base.rstrip('/')}/{analysis}"
 
 
-def edges_from_npy(spark: SparkSession, npy_path: str, rows_per_task: int = 4096) -> DataFrame:
+def edges_from_npy(spark: SparkSession, npy_path: str, block_bytes: int = 64 << 20) -> DataFrame:
     """A dense ``.npy`` matrix on a shared path -> ``(src_pos, dst_pos, w)`` non-zeros.
 
-    The driver reads only the header (shape); each task memory-maps the file and
-    scans its own block of rows.
+    The driver reads only the header (shape); a task memory-maps the file and scans blocks of
+    at most ``block_bytes`` as doubles: some rows, or a slice of the columns of one long row.
+    The file must be on a path that driver and executors mount alike (``file:`` is taken off).
     """
     import numpy as np
 
-    n_rows = int(np.load(npy_path, mmap_mode="r").shape[0])
-    starts = spark.range(0, n_rows, rows_per_task, numPartitions=max(1, -(-n_rows // rows_per_task)))
+    local = npy_path.removeprefix("file://").removeprefix("file:")
+    n_rows, n_cols = (int(x) for x in np.load(local, mmap_mode="r").shape)
+    cells = max(1, block_bytes // 8)
+    rows = max(1, cells // max(1, n_cols))
+    starts = spark.range(0, n_rows, rows, numPartitions=max(1, -(-n_rows // rows)))
     schema = T.StructType(
         [T.StructField("src_pos", T.LongType()), T.StructField("dst_pos", T.LongType()), T.StructField("w", T.DoubleType())]
     )
@@ -118,15 +132,16 @@ def edges_from_npy(spark: SparkSession, npy_path: str, rows_per_task: int = 4096
         import numpy as np
         import pyarrow as pa
 
-        m = np.load(npy_path, mmap_mode="r")
+        m = np.load(local, mmap_mode="r")
         for b in batches:
             for s in b.column(0).to_pylist():
-                block = np.asarray(m[s : s + rows_per_task], dtype="float64")
-                r, c = np.nonzero(block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.astype("int64") + s), pa.array(c.astype("int64")), pa.array(block[r, c])],
-                    schema=pa.schema([("src_pos", pa.int64()), ("dst_pos", pa.int64()), ("w", pa.float64())]),
-                )
+                for at in range(0, n_cols, cells):
+                    block = np.asarray(m[s : s + rows, at : at + cells], dtype="float64")
+                    r, c = np.nonzero(block)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(r.astype("int64") + s), pa.array(c.astype("int64") + at), pa.array(block[r, c])],
+                        schema=pa.schema([("src_pos", pa.int64()), ("dst_pos", pa.int64()), ("w", pa.float64())]),
+                    )
 
     return starts.mapInArrow(scan, schema)
 
@@ -139,12 +154,3 @@ def positions_to_names(edges_pos: DataFrame, names: DataFrame) -> DataFrame:
         .join(n.select(F.col("idx").alias("dst_pos"), F.col("atom").alias("dst")), "dst_pos")
         .select("src", "dst", "w")
     )
-
-
-def wide_columns_guard(n: int, max_columns: int, what: str) -> None:
-    if n > max_columns:
-        raise ValueError(f"{what}: {n} columns exceed the limit of {max_columns}; use the long form")
-
-
-def names_in_order(names: Sequence[str]) -> list[str]:
-    return list(names)

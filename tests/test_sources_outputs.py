@@ -81,7 +81,7 @@ def test_unpivot_npy_and_readers(spark, tmp_path):
     X = np.array([[0, 2, 0], [1, 0, 0], [0, 0, 5]], dtype=float)
     path = str(tmp_path / "m.npy")
     np.save(path, X)
-    pos = edges_from_npy(spark, path, rows_per_task=2)
+    pos = edges_from_npy(spark, path, block_bytes=40)
     names = atoms_from_list(spark, ["u", "v", "w"])
     got = sorted(tuple(r) for r in positions_to_names(pos, names).collect())
     assert got == [("u", "v", 2.0), ("v", "u", 1.0), ("w", "w", 5.0)]
