@@ -8,11 +8,12 @@ The symbols are characters: a word is the sequence of its characters and an end
 mark, and n-grams stay within a word.  So words are sequences of their own, weighted by
 how often they occur, and a task works on distinct words.
 
-A first pass counts the n-grams of all documents, the trusted ones' occurrences apart, and from
-these counts joins by n-gram give the model's tables and the score of every n-gram of the corpus.
-Then documents are dealt into blocks by a hash of their key.  A block asks for the scores of its
-distinct n-grams by a join sharded by n-gram, and the answers meet its documents again.  The model
-is never collected or broadcast, and it is counted over all trusted text.
+A first pass counts the n-grams of all documents, the trusted ones' occurrences apart; from these
+counts joins by n-gram give the model's tables and the score of every n-gram of the corpus, length by
+length.  A second pass turns blocks of documents of one language into sparse counts (document, n-gram) and
+splits them by n-gram into shards; each meets its shard of the scores, and the partial sums of a
+document are added up.  Blocks are dealt over ``turns`` copies of the scores, so a task holds a bounded part of both
+sides.  Texts are never shuffled, the model is never collected or broadcast, and it is counted over all trusted text.
 
 Model, for n-grams up to ``order``: an n-gram that is as long as ``order`` or begins with the start mark counts its
 occurrences; a shorter one counts the distinct symbols in front of it.  With t1 to t4 the numbers
@@ -28,20 +29,26 @@ keys are scored row by row; extra columns are not read; an empty table gives an
 
 from __future__ import annotations
 
+import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.quality_rules import language_code
-from strata.llm.text_arrays import Flat, chunks, text_column
+from strata.llm.text_arrays import Flat, chunks, mix, text_column
 from strata.session import checkpoint_dir
 
 ORDER = 5
 BLOCK_BYTES = 8 << 20
+#: Text whose sparse counts one task of the second pass takes.
+TASK_BYTES = 32 << 20
 QUANTILE = 0.995
 MIN_WORDS = 20
 #: Up to so many trusted keys (16 MB) are broadcast; more are joined by a shuffle.
@@ -103,30 +110,61 @@ class BlockGrams:
         return np.rint(np.bincount(self.event, weights=np.repeat(times, self.n_events),
                                    minlength=len(self.grams))).astype(np.int64)
 
-    def scores(self, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: summed log probability (``logp``: per distinct n-gram) and number of symbols."""
+    def sparse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, n-gram and count of every pair that occurs, sorted; and the symbols of each text."""
         n = len(self.doc_words)
-        total, symbols = np.zeros(n), np.zeros(n)
-        if len(self.hashes):
-            word_logp = np.add.reduceat(logp[self.event], self.first_event)
-            for word, owner in self.uses:
-                total += np.bincount(owner, weights=word_logp[word], minlength=n)
-                symbols += np.bincount(owner, weights=self.n_events[word], minlength=n)
-        return total, symbols.astype(np.int64)
-
-
-def _by_code(table: pa.Table, order: int) -> Iterator[tuple[str, np.ndarray, BlockGrams]]:
-    codes = np.asarray(table.column("code").to_pylist(), dtype=object)
-    texts = text_column(table.select(["text"]).combine_chunks().to_batches()[0], "text") if len(codes) else None
-    for code in sorted(set(codes)):
-        rows = np.flatnonzero(codes == code)
-        yield code, rows, BlockGrams(texts.take(pa.array(rows)), order)
+        symbols = np.zeros(n, dtype=np.int64)
+        parts = []
+        for word, owner in self.uses:
+            symbols += np.rint(np.bincount(owner, weights=self.n_events[word], minlength=n)).astype(np.int64)
+            for lo in range(0, len(word), 1 << 17):  # a bounded number of symbols at a time
+                w, o = word[lo : lo + (1 << 17)], owner[lo : lo + (1 << 17)]
+                size = self.n_events[w]
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first_event[w], size)
+                pair, count = np.unique(np.repeat(o, size) * len(self.grams) + self.event[at], return_counts=True)
+                parts.append((pair, count))
+        if not parts:
+            z = np.zeros(0, dtype=np.int64)
+            return z, z, z, symbols
+        pair, inv = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        count = np.rint(np.bincount(inv, weights=np.concatenate([c for _, c in parts]))).astype(np.int64)
+        return pair // max(len(self.grams), 1), pair % max(len(self.grams), 1), count, symbols
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, pa.Table, pa.LargeStringArray]]:
+    """Documents of one language, up to ``limit`` bytes of text (one document at least): code, rows, texts."""
+    held: dict[str, list[pa.RecordBatch]] = {}
+    size: dict[str, int] = {}
+
+    def take(code):
+        size.pop(code)
+        table = pa.Table.from_batches(held.pop(code)).combine_chunks()
+        return code, table, text_column(table.to_batches()[0], "text")
+
+    for batch in batches:
+        texts = text_column(batch, "text")
+        for lo, hi in chunks(texts):
+            part = batch.slice(lo, hi - lo)
+            codes = np.asarray(part.column(part.schema.get_field_index("code")).to_pylist(), dtype=object)
+            bytes_ = np.asarray([len(x) if x else 0 for x in texts.slice(lo, hi - lo).to_pylist()])
+            for code in sorted(set(codes)):
+                rows = np.flatnonzero(codes == code)
+                held.setdefault(code, []).append(part.take(pa.array(rows)))
+                size[code] = size.get(code, 0) + int(bytes_[rows].sum())
+                if size[code] >= limit:
+                    yield take(code)
+    for code in sorted(held):
+        yield take(code)
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    if not checkpoint_dir(df.sparkSession):
+    """``df``, written as Parquet next to the checkpoints and read again: cuts the lineage, compressed."""
+    folder = checkpoint_dir(df.sparkSession)
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/kneser-ney-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def corpus_grams(rows: DataFrame, keys: DataFrame, order: int, small: int) -> DataFrame:
@@ -141,41 +179,38 @@ def corpus_grams(rows: DataFrame, keys: DataFrame, order: int, small: int) -> Da
         "code", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_column(batch, "text")
-            for lo, hi in chunks(texts, BLOCK_BYTES):
-                table = pa.Table.from_batches([batch.slice(lo, hi - lo)])
-                marks = table.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-                for code, at, grams in _by_code(table, order):
-                    n = len(grams.grams)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([code] * n, pa.string()), pa.array(grams.grams.astype(object), pa.string()),
-                         pa.array(grams.counts(marks[at]), pa.int64())], names=["code", "gram", "n"])
+        for code, table, texts in _blocks(batches, BLOCK_BYTES):
+            grams = BlockGrams(texts, order)
+            n = len(grams.grams)
+            marks = table.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([code] * n, pa.string()), pa.array(grams.grams.astype(object), pa.string()),
+                 pa.array(grams.counts(marks), pa.int64())], names=["code", "gram", "n"])
 
     return marked.mapInArrow(count, "code string, gram string, n long").groupBy("code", "gram").agg(
         F.sum("n").alias("n"))
 
 
-def _tails(grams: DataFrame, least: int) -> DataFrame:
-    """Every tail of at least ``least`` symbols of every n-gram, with its context."""
-    out = grams.withColumn("k", F.explode(F.sequence(F.lit(least), F.length("gram"))))
-    return out.withColumn("tail", F.expr("right(gram, k)")).withColumn("h", F.expr("left(right(gram, k), k - 1)"))
-
-
-def train(counted: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The model's tables: ``(code, gram, own)``, ``(code, h, gamma)`` and ``(code, lower)``.
+def gram_scores(counted: DataFrame, order: int) -> DataFrame:
+    """``(code, gram, logp)`` of every n-gram of the corpus: its last symbol after the ones before.
 
-    ``own`` is the discounted share of an n-gram among those of its context, ``gamma`` what the
-    context passes on to the shorter n-gram, ``lower`` the uniform probability.
+    ``a`` is the count of an n-gram in the model, 0 if trusted text has it not.  Lengths are worked off from long to
+    short for the counts, from short to long for the probabilities:
+    p(g) = max(a - discount, 0) / s(context) + gamma(context) p(g without its first symbol).
     """
-    seen = counted.where("n > 0")
-    whole = seen.where((F.length("gram") == order) | F.col("gram").startswith(START))
-    tails = _tails(seen, 2).select("code", "tail").distinct()
-    front = tails.groupBy("code", F.expr("substring(tail, 2)").alias("gram")).agg(F.count("*").alias("a"))
-    counts = front.unionByName(whole.select("code", "gram", F.col("n").alias("a")))
-    counts = _kept(counts.select("code", "gram", "a", F.length("gram").alias("k"),
-                                 F.expr("left(gram, length(gram) - 1)").alias("h")))
-    t = counts.groupBy("code", "k").agg(*[
+    level: dict[int, DataFrame] = {}
+    for k in range(order, 0, -1):
+        here = counted.where(F.length("gram") == k).select("code", "gram", F.col("n").alias("a"))
+        if k < order:
+            longer = level[k + 1].groupBy("code", F.expr("substring(gram, 2)").alias("gram")).agg(
+                F.sum((F.col("a") > 0).cast("long")).alias("a"))
+            here = longer.unionByName(here)
+        level[k] = _kept(here)
+    seen = level[order].withColumn("k", F.lit(order))
+    for k in range(order - 1, 0, -1):
+        seen = seen.unionByName(level[k].withColumn("k", F.lit(k)))
+    seen = seen.where("a > 0")
+    t = seen.groupBy("code", "k").agg(*[
         F.sum((F.col("a") == i).cast("double")).alias(f"t{i}") for i in (1, 2, 3, 4)])
     y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
 
@@ -183,27 +218,27 @@ def train(counted: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFra
         d = i - (i + 1) * y * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}"))
         return F.when((d > 0) & (d < i), d).otherwise(F.lit(0.5)).alias(f"d{i}")
 
-    d = t.select("code", "k", *[discount(i) for i in (1, 2, 3)])
-    cut = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-    counts = _kept(counts.join(d, ["code", "k"]).withColumn("cut", cut))
-    contexts = _kept(counts.groupBy("code", "h").agg(F.sum("a").alias("s"), F.sum("cut").alias("lost")))
-    own = counts.join(contexts, ["code", "h"]).select(
-        "code", "gram", ((F.col("a") - F.col("cut")) / F.col("s")).alias("own"))
-    gamma = contexts.select("code", "h", (F.col("lost") / F.col("s")).alias("gamma"))
-    lower = counts.where("k = 1").groupBy("code").agg((1 / (F.count("*") + 1)).alias("lower"))
-    return own, gamma, lower
-
-
-def gram_scores(counted: DataFrame, order: int) -> DataFrame:
-    """``(code, gram, logp)`` of every n-gram of the corpus: its last symbol after the ones before."""
-    own, gamma, lower = train(counted, order)
-    steps = _tails(counted.select("code", "gram"), 1)
-    steps = steps.join(own.withColumnRenamed("gram", "tail"), ["code", "tail"], "left").join(gamma, ["code", "h"], "left")
-    per = steps.groupBy("code", "gram").agg(F.array_sort(F.collect_list(F.struct(
-        "k", F.coalesce("own", F.lit(0.0)).alias("own"), "gamma"))).alias("steps"))
-    p = F.aggregate("steps", F.col("lower"), lambda acc, s: F.when(s["gamma"].isNull(), acc).otherwise(
-        s["own"] + s["gamma"] * acc))
-    return per.join(lower, "code").select("code", "gram", F.log(p).alias("logp"))
+    d = _kept(t.select("code", "k", *[discount(i) for i in (1, 2, 3)]))
+    cut = F.when(F.col("a") == 0, F.lit(0.0)).when(F.col("a") == 1, F.col("d1")).when(
+        F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+    h = F.expr("left(gram, length(gram) - 1)").alias("h")
+    contexts = _kept(seen.join(d, ["code", "k"]).groupBy("code", h).agg(
+        F.sum("a").alias("s"), F.sum(cut).alias("lost")))
+    # below the unigrams: uniform over the language's symbols and one more
+    below = level[1].where("a > 0").groupBy("code").agg((1 / (F.count("*") + 1)).alias("q"))
+    on, scores = ["code"], None
+    for k in range(1, order + 1):
+        rows = level[k].join(d.where(F.col("k") == k).drop("k"), "code", "left").select(
+            "code", "gram", F.expr("substring(gram, 2)").alias("tail"), h, "a", cut.alias("cut"))
+        rows = rows.join(contexts, ["code", "h"], "left").join(below, on)
+        p = F.when(F.col("s").isNull(), F.col("q")).otherwise(
+            F.when(F.col("a") > 0, (F.col("a") - F.col("cut")) / F.col("s")).otherwise(0.0)
+            + F.col("lost") / F.col("s") * F.col("q"))
+        here = _kept(rows.select("code", "gram", p.alias("p")))
+        asked = here if k == order else here.where(F.col("gram").startswith(START))
+        scores = asked if scores is None else scores.unionByName(asked)
+        below, on = here.select("code", F.col("gram").alias("tail"), F.col("p").alias("q")), ["code", "tail"]
+    return scores.select("code", "gram", F.log("p").alias("logp"))
 
 
 def score_documents(
@@ -214,62 +249,123 @@ def score_documents(
     lang: str = "lang",
     order: int = ORDER,
     block_bytes: int = BLOCK_BYTES,
+    task_bytes: int = TASK_BYTES,
     small: int = SMALL_KEYS,
 ) -> DataFrame:
     """``(key, code, trusted, n_words, n_symbols, log_prob, perplexity)`` of every document.
 
     ``trusted`` has a column ``key`` with the keys of the training documents.
     """
-    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
-    rows = docs.select(block.alias("block"), F.col(key).alias("key"), language_code(F.col(lang)).alias("code"),
-                       F.col(text).cast("string").alias("text"))
-    keys = trusted.where(F.col(key).isNotNull()).select(block.alias("block"), F.col(key).alias("key")).distinct()
     key_type = docs.schema[key].dataType.simpleString()
-
-    counted = _kept(corpus_grams(rows.drop("block"), keys, order, small))
+    rows = docs.select(F.col(key).alias("key"), language_code(F.col(lang)).alias("code"),
+                       F.col(text).cast("string").alias("text"))
+    keys = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
+    counted = _kept(corpus_grams(rows, keys, order, small))
     scores = _kept(gram_scores(counted, order))
-
-    def ask(own: pa.Table) -> pa.Table:
-        parts = [(code, grams.grams) for code, _, grams in _by_code(own, order)]
-        n = sum(len(g) for _, g in parts)
+    # the square root of the tasks' number for either side keeps what is sent twice small
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    shards = turns = max(1, math.ceil(math.sqrt(total / task_bytes)))
+
+    def shard_of(grams: np.ndarray) -> np.ndarray:
+        code = np.ascontiguousarray(grams).view(np.uint32).reshape(len(grams), -1) if len(grams) else np.zeros((0, 1))
+        acc = np.zeros(len(grams), dtype=np.uint64)
+        for k in range(code.shape[1]):
+            acc = mix(acc + code[:, k].astype(np.uint64) + np.uint64(1))
+        return (acc % np.uint64(shards)).astype(np.int32)
+
+    def pack(x: np.ndarray) -> bytes:
+        return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, (code, table, texts) in enumerate(_blocks(batches, block_bytes)):
+            grams = BlockGrams(texts, order)
+            doc, gram, count, symbols = grams.sparse()
+            # the same block has the same id when a task runs again
+            print_ = hashlib.blake2b(f"{task} {number} {table.column('key').to_pylist()}".encode(), digest_size=8)
+            block = int.from_bytes(print_.digest(), "little", signed=True)
+            shard = shard_of(grams.grams)
+            out: dict[str, list] = {n: [] for n in ("shard", "grams", "docs", "gram", "n", "size")}
+            for s in range(shards):
+                own = np.flatnonzero(shard == s)
+                local = np.cumsum(shard == s) - 1
+                hit = np.flatnonzero(shard[gram] == s)
+                out["shard"].append(s)
+                out["grams"].append(grams.grams[own].tolist())
+                out["docs"].append(pack(np.bincount(doc[hit], minlength=len(table)).astype(np.int32)))
+                out["gram"].append(pack(local[gram[hit]].astype(np.int32)))
+                out["n"].append(pack(count[hit].astype(np.int32)))
+                out["size"].append(len(hit))
+            first = [s == 0 for s in out["shard"]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([code] * shards, pa.string()), pa.array(out["shard"], pa.int32()),
+                 pa.array([block % turns] * shards, pa.int32()), pa.array([block] * shards, pa.int64()),
+                 pa.array([len(table)] * shards, pa.int64()), pa.array(out["size"], pa.int64()),
+                 pa.array(out["grams"], pa.list_(pa.string())), pa.array(out["docs"], pa.binary()),
+                 pa.array(out["gram"], pa.binary()), pa.array(out["n"], pa.binary()),
+                 pa.array([table.column("key").to_pylist() if f else None for f in first],
+                          pa.list_(table.schema.field("key").type)),
+                 pa.array([grams.doc_words.tolist() if f else None for f in first], pa.list_(pa.int64())),
+                 pa.array([symbols.tolist() if f else None for f in first], pa.list_(pa.int64()))],
+                names=["code", "shard", "turn", "block", "rows", "size", "grams", "docs", "gram", "n", "keys", "words",
+                       "symbols"])
+
+    sparse = rows.mapInArrow(
+        spread, "code string, shard int, turn int, block long, rows long, size long, grams array<string>, docs binary, "
+                f"gram binary, n binary, keys array<{key_type}>, words array<long>, symbols array<long>")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = np.array(batch.column(1).to_pylist(), dtype=f"<U{order}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard_of(texts))],
+                                             names=["code", "gram", "logp", "shard"])
+
+    model = scores.select("code", "gram", "logp").mapInArrow(
+        number, "code string, gram string, logp double, shard int")
+    model = model.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+
+    def add(mine: pa.Table, known: pa.Table) -> pa.Table:
+        def unpack(x, n, kind):
+            return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind)
+
+        have = known.column("gram").combine_chunks()
+        logp = np.append(known.column("logp").to_numpy(), np.nan)
+        out: dict[str, list] = {n: [] for n in ("block", "row", "log_prob", "key", "n_words", "n_symbols")}
+        for r in mine.to_pylist():
+            n = r["rows"]
+            size = unpack(r["docs"], n, np.int32)
+            gram, count = unpack(r["gram"], r["size"], np.int32), unpack(r["n"], r["size"], np.int32)
+            at = pc.index_in(pa.array(r["grams"], pa.string()), value_set=have).fill_null(len(have)).to_numpy()
+            value = logp[at][gram] * count if len(gram) else np.zeros(0)
+            out["block"].append(np.full(n, r["block"]))
+            out["row"].append(np.arange(n))
+            out["log_prob"].append(np.bincount(np.repeat(np.arange(n), size), weights=value, minlength=n))
+            out["key"] += r["keys"] or [None] * n
+            out["n_words"] += r["words"] or [None] * n
+            out["n_symbols"] += r["symbols"] or [None] * n
+        flat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
+        code = mine.column("code")[0].as_py() if len(mine) else None
         return pa.table({
-            "block": pa.array(np.full(n, own.column("block")[0].as_py() if len(own) else 0, dtype=np.int32)),
-            "code": pa.array([c for c, g in parts for _ in range(len(g))], pa.string()),
-            "gram": pa.array([x for _, g in parts for x in g.tolist()], pa.string())})
-
-    asked = rows.groupBy("block").applyInArrow(ask, "block int, code string, gram string")
-    answers = asked.join(scores, ["code", "gram"])
-    # documents and their trust travel with the texts: the second pass reads the same exchange as the first
-    marked = answers.select("block", "code", "gram", "logp", F.lit(None).cast(key_type).alias("key")).unionByName(
-        keys.select("block", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("gram"),
-                    F.lit(None).cast("double").alias("logp"), "key"))
-
-    def answer(own: pa.Table, got: pa.Table) -> pa.Table:
-        n = len(own)
-        words, symbols, total_logp = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.nan)
-        got_code = np.asarray(got.column("code").to_pylist(), dtype=object)
-        for code, at, grams in _by_code(own, order):
-            mine = got.filter(pa.array(got_code == code))
-            known = dict(zip(mine.column("gram").to_pylist(), mine.column("logp").to_pylist()))
-            words[at] = grams.doc_words
-            logp = np.array([known.get(g, np.nan) for g in grams.grams.tolist()], dtype=float)
-            total_logp[at], symbols[at] = grams.scores(logp)
-        mark = set(got.column("key").to_pylist()) - {None}
-        keys_ = own.column("key").to_pylist()
-        fine = (symbols > 0) & np.isfinite(total_logp)
-        ppl = np.exp(-np.where(fine, total_logp, 0) / np.maximum(symbols, 1))
-        none = lambda x: pa.array(x, pa.float64(), mask=~fine)
-        return pa.table({"key": own.column("key"), "code": own.column("code"),
-                         "trusted": pa.array([k in mark for k in keys_], pa.bool_()),
-                         "n_words": pa.array(words), "n_symbols": pa.array(symbols),
-                         "log_prob": none(total_logp), "perplexity": none(ppl)})
-
-    out = rows.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(
-        answer, f"key {key_type}, code string, trusted boolean, n_words long, n_symbols long, log_prob double, "
-                "perplexity double")
-    return out.withColumnRenamed("key", key)
+            "block": flat(out["block"], pa.int64()), "row": flat(out["row"], pa.int64()),
+            "code": pa.array([code] * len(out["key"]), pa.string()),
+            "key": pa.array(out["key"], mine.schema.field("keys").type.value_type),
+            "n_words": pa.array(out["n_words"], pa.int64()), "n_symbols": pa.array(out["n_symbols"], pa.int64()),
+            "log_prob": flat(out["log_prob"], pa.float64())})
+
+    place = ["code", "shard", "turn"]
+    parts = sparse.groupBy(*place).cogroup(model.groupBy(*place)).applyInArrow(
+        add, f"block long, row long, code string, key {key_type}, n_words long, n_symbols long, log_prob double")
+    whole = parts.groupBy("block", "row").agg(
+        F.first("code", True).alias("code"), F.first("key", True).alias("key"), F.max("n_words").alias("n_words"),
+        F.max("n_symbols").alias("n_symbols"), F.sum("log_prob").alias("sum"), F.count("*").alias("n_parts"))
+    checked = F.when(F.col("n_parts") == shards, F.col("sum")).otherwise(
+        F.raise_error(F.lit("a document lost a part: its block was built twice from different rows")).cast("double"))
+    fine = (F.col("n_symbols") > 0) & ~F.isnan(checked)
+    whole = whole.select("key", "code", "n_words", "n_symbols", F.when(fine, checked).alias("log_prob"))
+    whole = whole.join(keys.select(F.col("key"), F.lit(True).alias("trusted")), "key", "left")
+    return whole.select(
+        F.col("key").alias(key), "code", F.coalesce("trusted", F.lit(False)).alias("trusted"), "n_words", "n_symbols",
+        "log_prob", F.exp(-F.col("log_prob") / F.col("n_symbols")).alias("perplexity"))
 
 
 def perplexity_filter(
