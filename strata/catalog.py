@@ -23,16 +23,18 @@ from pyspark.sql import functions as F
 
 from . import oracle as Q
 from .functions.prefix import cosine_at_least
-from .functions.similarity import call_similarity, cousage_similarity, incoming
+from .functions.similarity import (
+    call_similarity, combine_similarities, cosine_similarity, cousage_similarity, incoming)
 from .operators.contract import aggregate_vectors, contract_edges
 from .operators.dbscan import dbscan_labels, neighbour_counts, neighbour_counts_cliques, neighbours
 from .operators.outliers import tag_outliers
 from .plans.analyses import CallAnalysis, CombinedAnalysis, TermAnalysis
-from .plans.decompose import cluster
-from .plans.outputs import layers_wide, partitions
+from .operators.project import project
+from .plans.decompose import cluster, cluster_from_scratch, cluster_step
+from .plans.outputs import decomposition_table, layer_blocks, layers_wide, partition_blocks, partitions
 from .plans.pipeline import decompose
 from .session import cut, ensure_checkpoint_dir
-from .sources.derive import atoms_from_keys, relation_edges, tfidf, trace_edges, word_counts
+from .sources.derive import atoms_from_keys, index_atoms, relation_edges, tfidf, trace_edges, word_counts
 from .sources.readers import unpivot_matrix
 
 R6 = 6  # decimals kept in double outputs (fixed)
@@ -48,6 +50,8 @@ LADDER_STEP = 0.05
 # The radii of that ladder, written out for the oracle.
 LADDER_RADII = [1e-10, 0.0500000001, 0.1000000001]
 MIN_SAMPLES = 2
+SCRATCH_EPS, SCRATCH_MIN_SAMPLES = 0.3, 3
+COUSAGE_REACH = 0.95
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,9 +256,6 @@ def q_projection_parts(spark, sf_dir):
     a.bind(atoms)
     seeds = brand_seeds(spark, sf_dir)
     a.seed(seeds)
-    from .plans.decompose import cluster_step
-    from .operators.project import project
-
     moves, _ = cluster_step(a, seeds, PART_BRAND_EPS, MIN_SAMPLES)
     return project(seeds, moves)
 
@@ -344,6 +345,122 @@ def q_stream_event_edges(spark, sf_dir):
     return stream_trace_edges(spark, sf_dir, "user_id", ["ts", "event_id"], "event_type", glob="events.parquet")
 
 
+# --- documents on shelves: several stages, several merging steps --------------------------------
+
+# The radii of the growing schedules with step 0.15 up to 0.65, written out for the oracle.
+SHELF_STEP = 0.15
+SHELF_RADII = [1e-10, 0.1500000001, 0.3000000001, 0.4500000001, 0.6000000001]
+SHELF_PARAMS = {"clustering": {"epsilon_step": SHELF_STEP}}
+
+
+def shelved(spark, sf_dir):
+    """Documents with the atom (language, source, digits of the length) they stand on, and its index."""
+    d = table(spark, sf_dir, "documents").withColumn(
+        "atom", F.concat_ws("/", "lang", "source", F.length(F.col("n_chars").cast("string")).cast("string")))
+    atoms = cut(index_atoms(d, "atom"))
+    return d.join(atoms, "atom"), atoms
+
+
+def shelf_inputs(spark, sf_dir):
+    """``dynamic``: sequences by source, English shelves only; ``structural``: sequences by language; ``semantic``."""
+    ensure_checkpoint_dir(spark)
+    d, atoms = shelved(spark, sf_dir)
+    every = atoms.select("idx")
+    english = atoms.where(F.col("atom").startswith("en/")).select("idx")
+    return atoms, {
+        "dynamic": (cut(trace_edges(d.where("lang = 'en'"), "source", ["doc_id"], "idx")), english),
+        "structural": (cut(trace_edges(d, "lang", ["doc_id"], "idx")), every),
+        "semantic": (cut(tfidf(word_counts(d, "idx", "text"))), every),
+    }
+
+
+def q_index_shelves(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    return shelved(spark, sf_dir)[1].select("atom", "idx")
+
+
+def _shelf_run(spark, sf_dir, pipeline, params=None):
+    atoms, inputs = shelf_inputs(spark, sf_dir)
+    return atoms, decompose(spark, atoms, inputs, pipeline=pipeline, params=params or SHELF_PARAMS, app="shelves")
+
+
+def q_hybrid_shelves(spark, sf_dir):
+    return _shelf_run(spark, sf_dir, "hybrid")[1].layers
+
+
+def q_static_shelves(spark, sf_dir):
+    return _shelf_run(spark, sf_dir, "static")[1].layers
+
+
+def q_unequal_shelves(spark, sf_dir):
+    params = {"clustering": {"epsilon_step": SHELF_STEP}, "dynamic": {"epsilon": 0.2}}
+    return _shelf_run(spark, sf_dir, "hybrid", params)[1].layers
+
+
+def q_alternating_shelves(spark, sf_dir):
+    params = {"clustering": {"strategy": "alternating", "max_iterations": 4}, "semantic": {"epsilon": 0.3},
+              "structural": {"epsilon": 0.7}}
+    return _shelf_run(spark, sf_dir, ["semantic", "structural"], params)[1].final
+
+
+def q_scratch_shelves(spark, sf_dir):
+    atoms, inputs = shelf_inputs(spark, sf_dir)
+    return cluster_from_scratch(TermAnalysis(*inputs["semantic"]), atoms, SCRATCH_EPS, SCRATCH_MIN_SAMPLES)
+
+
+def q_table_shelves(spark, sf_dir):
+    atoms, res = _shelf_run(spark, sf_dir, "static")
+    return decomposition_table(res.final, atoms, "shelves", "text", "class")
+
+
+def q_partition_blocks_shelves(spark, sf_dir):
+    atoms, res = _shelf_run(spark, sf_dir, "static")
+    return partition_blocks(res.final, atoms, 50).select(
+        "partition", "cid", "block", F.array_join("members", ",").alias("members"))
+
+
+def q_layer_blocks_shelves(spark, sf_dir):
+    atoms, res = _shelf_run(spark, sf_dir, "static")
+    return layer_blocks(res.layers, 50).select(
+        "name", "layer", "block", F.array_join(F.transform("clusters", lambda x: x.cast("string")), ",").alias("clusters"))
+
+
+def q_combined_values_shelves(spark, sf_dir):
+    atoms, inputs = shelf_inputs(spark, sf_dir)
+    cos = cosine_similarity(inputs["semantic"][0].withColumnRenamed("idx", "node"))
+    return combine_similarities([call_similarity(inputs["structural"][0]), cos], [0.3, 0.7]).select("i", "j", _r("sim"))
+
+
+def q_dbscan_border_docs(spark, sf_dir):
+    """With four samples some documents border a cluster without being core."""
+    ensure_checkpoint_dir(spark)
+    v = doc_tfidf(spark, sf_dir).withColumnRenamed("idx", "node")
+    sim = cut(cosine_at_least(v, 1.0 - DOC_DBSCAN_EPS))
+    return dbscan_labels(sim, _nodes(v, "node"), DOC_DBSCAN_EPS, 4, noise=-1).select(
+        F.col("node").alias("idx"), F.col("label").alias("cid"))
+
+
+def q_projection_some_brands(spark, sf_dir):
+    """Brands without any supported part keep their cluster."""
+    ensure_checkpoint_dir(spark)
+    part = table(spark, sf_dir, "part")
+    a = CallAnalysis(order_adjacency(spark, sf_dir),
+                     part.where("p_brand < 'Brand#40'").select(F.col("p_partkey").alias("idx")))
+    a.bind(part.select(F.col("p_partkey").alias("idx")))
+    seeds = brand_seeds(spark, sf_dir)
+    a.seed(seeds)
+    moves, _ = cluster_step(a, seeds, PART_BRAND_EPS, MIN_SAMPLES)
+    return project(seeds, moves)
+
+
+def q_pruned_cousage_customers(spark, sf_dir):
+    """M2 with a floor: customers who bought the same parts."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    edges = relation_edges(li.join(o, li.l_orderkey == o.o_orderkey), "l_partkey", "o_custkey")
+    return cousage_similarity(edges, reach=COUSAGE_REACH).select("i", "j", _r("sim"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r1_event_trace_edges": q_event_trace_edges,
     "r1_order_adjacency_edges": q_order_adjacency,
@@ -374,6 +491,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k1_hybrid_parts": q_hybrid_parts,
     "c7_alternating_trade": q_alternating_trade,
     "r6_stream_event_edges": q_stream_event_edges,
+    "r5_index_shelves": q_index_shelves,
+    "k1_hybrid_shelves": q_hybrid_shelves,
+    "k2_static_shelves": q_static_shelves,
+    "c8_unequal_shelves": q_unequal_shelves,
+    "c7_alternating_shelves": q_alternating_shelves,
+    "c6_scratch_shelves": q_scratch_shelves,
+    "w4_table_shelves": q_table_shelves,
+    "a9_blocks_shelves": q_partition_blocks_shelves,
+    "w5_blocks_shelves": q_layer_blocks_shelves,
+    "m5_values_shelves": q_combined_values_shelves,
+    "j8_border_docs": q_dbscan_border_docs,
+    "j7_projection_some_brands": q_projection_some_brands,
+    "m2_pruned_customers": q_pruned_cousage_customers,
 }
 
 
@@ -409,6 +539,23 @@ def oracle() -> dict[str, str]:
     WITH RECURSIVE {Q.dbscan_ctes('d', Q.call_similarity(contracted), sup_nodes, PART_BRAND_EPS, MIN_SAMPLES)}
     SELECT s.idx, coalesce(m.new, s.cid) AS cid FROM ({brand}) s LEFT JOIN d_moves m ON m.node = s.cid
     """
+    shelf_in = {"dynamic": Q.SHELF_BY_SOURCE, "structural": Q.SHELF_BY_LANG, "semantic": Q.SHELF_TFIDF}
+    both = [("call", "structural"), ("cosine", "semantic")]
+    run = lambda stages, plan: Q.layers_of_plan(shelf_in, Q.SHELVES, stages, plan, MIN_SAMPLES)
+    hybrid_plan = [(k, e) for e in SHELF_RADII for k in (0, 1)]
+    static_plan = [(0, e) for e in SHELF_RADII]
+    unequal_plan = [(k, min(e, 0.2) if k == 0 else e) for k, e in hybrid_plan]
+    static = run([both], static_plan)
+    last = f"WITH RECURSIVE {static}\n"
+    turns = [(k, (0.3, 0.7)[k]) for _ in range(4) for k in (0, 1)]
+    some_edges = (
+        f"SELECT e.* FROM ({Q.ORDER_ADJACENCY}) e JOIN part a ON a.p_partkey = e.src AND a.p_brand < 'Brand#40' "
+        f"JOIN part b ON b.p_partkey = e.dst AND b.p_brand < 'Brand#40'")
+    some_contracted = (
+        f"SELECT si.cid AS src, sj.cid AS dst, sum(e.w) AS w FROM ({some_edges}) e "
+        f"JOIN ({brand}) si ON si.idx = e.src JOIN ({brand}) sj ON sj.idx = e.dst GROUP BY ALL HAVING sum(e.w) <> 0")
+    bought = ("SELECT DISTINCT l.l_partkey AS src, o.o_custkey AS dst, 1.0 AS w FROM lineitem l "
+              "JOIN orders o ON l.l_orderkey = o.o_orderkey")
     comb_mean = Q.combined([Q.call_similarity(Q.ORDER_ADJACENCY), Q.cosine_similarity(part_vec)], [0.5, 0.5])
     comb_w = Q.combined([Q.call_similarity(Q.ORDER_ADJACENCY), Q.cosine_similarity(part_vec)], [0.3, 0.7])
     return {
@@ -465,6 +612,37 @@ def oracle() -> dict[str, str]:
             f"WITH l AS ({ladder}) SELECT 'partition' || CAST(cid AS VARCHAR) AS partition, cid, idx, "
             f"CAST(idx AS VARCHAR) AS atom FROM l WHERE layer = (SELECT max(layer) FROM l)"
         ),
+        "r5_index_shelves": Q.SHELVES,
+        "k1_hybrid_shelves": Q.all_layers(run([[("call", "dynamic")], both], hybrid_plan), len(hybrid_plan)),
+        "k2_static_shelves": Q.all_layers(static, len(static_plan)),
+        "c8_unequal_shelves": Q.all_layers(run([[("call", "dynamic")], both], unequal_plan), len(unequal_plan)),
+        "c7_alternating_shelves": (
+            "WITH RECURSIVE " + run([[("cosine", "semantic")], [("call", "structural")]], turns)
+            + f"\nSELECT idx, cid FROM a{len(turns)}"),
+        "c6_scratch_shelves": Q.dbscan_labels(
+            Q.cosine_similarity(f"SELECT idx AS node, term, x FROM ({Q.SHELF_TFIDF})"),
+            f"SELECT idx AS node FROM ({Q.SHELVES})", SCRATCH_EPS, SCRATCH_MIN_SAMPLES),
+        "w4_table_shelves": last + (
+            f"SELECT 'shelves' AS app, 'text' AS language, 'class' AS level, 'partition' || CAST(a.cid AS VARCHAR) AS partition, "
+            f"a.cid, a.idx, n.atom FROM a{len(static_plan)} a JOIN ({Q.SHELVES}) n USING (idx)"),
+        "a9_blocks_shelves": last + (
+            f"SELECT 'partition' || CAST(a.cid AS VARCHAR) AS partition, a.cid, a.idx // 50 AS block, "
+            f"string_agg(n.atom, ',' ORDER BY a.idx) AS members FROM a{len(static_plan)} a JOIN ({Q.SHELVES}) n USING (idx) "
+            f"GROUP BY a.cid, a.idx // 50"),
+        "w5_blocks_shelves": (
+            f"SELECT 'layer_' || CAST(layer AS VARCHAR) AS name, layer, idx // 50 AS block, "
+            f"string_agg(CAST(cid AS VARCHAR), ',' ORDER BY idx) AS clusters "
+            f"FROM ({Q.all_layers(static, len(static_plan))}) GROUP BY layer, idx // 50"),
+        "m5_values_shelves": _round(Q.combined(
+            [Q.call_similarity(Q.SHELF_BY_LANG),
+             Q.cosine_similarity(f"SELECT idx AS node, term, x FROM ({Q.SHELF_TFIDF})")], [0.3, 0.7]), "i, j", "sim"),
+        "j8_border_docs": Q.dbscan_labels(doc_sim, f"SELECT DISTINCT node FROM ({doc_vec})", DOC_DBSCAN_EPS, 4),
+        "j7_projection_some_brands": f"""
+    WITH RECURSIVE {Q.dbscan_ctes('d', Q.call_similarity(some_contracted), '', PART_BRAND_EPS, MIN_SAMPLES)}
+    SELECT s.idx, coalesce(m.new, s.cid) AS cid FROM ({brand}) s LEFT JOIN d_moves m ON m.node = s.cid
+    """,
+        "m2_pruned_customers": _round(
+            f"SELECT * FROM ({Q.cousage_similarity(bought)}) WHERE {Q.dist('sim')} <= {Q.dbl(COUSAGE_REACH)}", "i, j", "sim"),
         "r6_stream_event_edges": Q.trace_edges("events", "user_id", ["ts", "event_id"], "event_type", cast=None),
     }
 

@@ -177,3 +177,54 @@ def term_ladder(vectors: str, atoms: str, plan: Sequence[float], min_samples: in
         )
     union = " UNION ALL ".join(f"SELECT {k} AS layer, idx, cid FROM a{k}" for k in range(len(plan) + 1))
     return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT CAST(layer AS INTEGER) AS layer, idx, cid FROM ({union})"
+
+
+# --- several stages ---------------------------------------------------------------------------
+
+def _child(kind: str, features: str, prev: str) -> str:
+    """The similarity of one child at the assignment ``prev(idx, cid)``."""
+    if kind == "cosine":
+        return cosine_similarity(
+            f"SELECT p.cid AS node, v.term, sum(v.x) AS x FROM ({features}) v JOIN {prev} p USING (idx) GROUP BY ALL")
+    edges = (f"SELECT s.cid AS src, d.cid AS dst, sum(e.w) AS w FROM ({features}) e "
+             f"JOIN {prev} s ON s.idx = e.src JOIN {prev} d ON d.idx = e.dst GROUP BY ALL")
+    return call_similarity(edges) if kind == "call" else cousage_similarity(edges)
+
+
+def layers_of_plan(inputs: dict[str, str], atoms: str, stages: Sequence[Sequence[tuple[str, str]]],
+                   plan: Sequence[tuple[int, float]], min_samples: int) -> str:
+    """CTEs and the last assignment's number of a run over several stages.
+
+    ``inputs``: name -> feature query; ``stages``: per stage its children ``(kind, input name)``, the
+    mean of their similarities counts.  Text to put after WITH RECURSIVE; layer k is table ``a{k}(idx, cid)``.
+    """
+    ctes = [f"in_{name} AS MATERIALIZED ({sql})" for name, sql in inputs.items()]
+    ctes.append(f"a0 AS MATERIALIZED (SELECT CAST(idx AS BIGINT) AS idx, CAST(idx AS BIGINT) AS cid FROM ({atoms}))")
+    for k, (stage, eps) in enumerate(plan, start=1):
+        prev, children = f"a{k - 1}", stages[stage]
+        sims = []
+        for c, (kind, name) in enumerate(children):
+            ctes.append(f"s{k}_{c} AS MATERIALIZED ({_child(kind, f'SELECT * FROM in_{name}', prev)})")
+            sims.append(f"SELECT * FROM s{k}_{c}")
+        sim = sims[0] if len(sims) == 1 else combined(sims, [1.0 / len(sims)] * len(sims))
+        ctes.append(f"t{k} AS MATERIALIZED ({sim})")
+        ctes.append(dbscan_ctes(f"d{k}", f"SELECT * FROM t{k}", "", eps, min_samples).strip())
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT p.idx, coalesce(m.new, p.cid) AS cid FROM {prev} p "
+                    f"LEFT JOIN d{k}_moves m ON m.node = p.cid)")
+    return ",\n".join(ctes)
+
+
+def all_layers(ctes: str, n_steps: int) -> str:
+    union = " UNION ALL ".join(f"SELECT {k} AS layer, idx, cid FROM a{k}" for k in range(n_steps + 1))
+    return f"WITH RECURSIVE {ctes}\nSELECT CAST(layer AS INTEGER) AS layer, idx, cid FROM ({union})"
+
+
+# Documents on shelves: language, source and the number of digits of the length.
+SHELVED = (
+    "SELECT doc_id, text, lang, source, lang || '/' || source || '/' || CAST(length(CAST(n_chars AS VARCHAR)) AS VARCHAR) "
+    "AS atom, dense_rank() OVER (ORDER BY lang || '/' || source || '/' || CAST(length(CAST(n_chars AS VARCHAR)) AS VARCHAR)) "
+    "- 1 AS idx FROM documents")
+SHELVES = f"SELECT DISTINCT atom, CAST(idx AS BIGINT) AS idx FROM ({SHELVED})"
+SHELF_TFIDF = tfidf(word_counts(f"({SHELVED})", "idx", "text"))
+SHELF_BY_LANG = trace_edges(f"({SHELVED})", "lang", ["doc_id"], "idx")
+SHELF_BY_SOURCE = trace_edges(f"(SELECT * FROM ({SHELVED}) WHERE lang = 'en')", "source", ["doc_id"], "idx")
