@@ -31,14 +31,3 @@ def project(assign: DataFrame, moves: DataFrame) -> DataFrame:
     """Apply ``moves`` to an assignment ``(idx, cid)``."""
     m = moves.select(F.col("node").alias("cid"), "new")
     return assign.join(m, "cid", "left").select("idx", F.coalesce(F.col("new"), F.col("cid")).alias("cid"))
-
-
-def seeds_of_support(assign: DataFrame, support: DataFrame) -> DataFrame:
-    """The seed cluster of every supported atom, ``(idx, cid)``."""
-    return assign.join(support.select("idx"), "idx", "left_semi")
-
-
-def canonical(assign: DataFrame, label: str = "cid") -> DataFrame:
-    """Relabel an arbitrary assignment so each cluster id is its smallest member index."""
-    low = assign.groupBy(label).agg(F.min("idx").alias("_low"))
-    return assign.join(low, label).select("idx", F.col("_low").alias("cid"))
