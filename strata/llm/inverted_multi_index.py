@@ -93,7 +93,11 @@ def distinct_vectors(vectors: DataFrame, vec_id: str, embedding: str, depth: int
 
 def fit_codebooks(entries: DataFrame, k: int, sample: int, rounds: int) -> np.ndarray | None:
     """Two arrays of half centroids by Lloyd's rounds on at most ``sample`` distinct vectors (None: no vectors)."""
-    got = entries.select("v").orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(sample).collect()
+    lot = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30))
+    # about twice the sample is looked at, so tasks send few rows; the smallest hashes of them are taken
+    share = 2 * sample / max(entries.count(), 1)
+    got = entries.where(lot < F.lit(share * (1 << 30))).select("v", lot.alias("lot"), "h1", "h2")
+    got = got.orderBy("lot", "h1", "h2").limit(sample).collect()
     if not got:
         return None
     x = np.array([r["v"] for r in got], dtype=float)
