@@ -59,6 +59,12 @@ class Analysis:
         raise NotImplementedError
 
     # -- driver-facing ----------------------------------------------------------
+    def bind_once(self, atoms: DataFrame) -> None:
+        """:meth:`bind`, unless this very universe is bound already."""
+        if getattr(self, "_universe", None) is not atoms:
+            self.bind(atoms)
+            self._universe = atoms
+
     @property
     def support(self) -> DataFrame:
         if self._support is None:

@@ -174,7 +174,7 @@ def cluster(
     assign = cut(atoms.select("idx", F.col("idx").alias("cid")))
     distinct = list({id(a): a for a in pipeline}.values())  # an analysis may serve several stages
     for a in distinct:
-        a.bind(atoms)
+        a.bind_once(atoms)
         a.seed(assign)
 
     result = Layers([assign], include_outliers=include_outliers, min_samples=min_samples)
