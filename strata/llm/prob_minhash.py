@@ -14,15 +14,15 @@ Classes are the connected components of the links, pairs with an exactly compute
 at least ``threshold``.  Pairs are not listed:
 
 1. Documents with equal shingles and weights are one node (their smallest key).
-2. In each band bucket every node is paired with the bucket's smallest node only, and verified: first
+2. In each band bucket every node is paired with the bucket's hub only, its lightest node, and verified: first
    with the smallest of its partners, then with the others that are not yet in its component.
 3. A bucket whose nodes are still in several components is contested: a link may exist between
-   nodes other than the smallest.  The contested nodes are joined exactly by prefixes: of two linked documents at
+   nodes other than the hub.  The contested nodes are joined exactly by prefixes: of two linked documents at
    least ``threshold`` of either's weight is on shared shingles, so with shingles in any common order both
    have their first shared shingle among those that make up the first ``1 - threshold`` of their weight.
    The order is by frequency among the contested, so a passage that many documents share comes last;
    a document with more than that weight on shingles of its own drops out at once.  Only pairs from
-   different components are listed and verified.
+   different components that pass the size bound at a shingle they meet under are listed and verified.
 
 No bucket is capped and no row is dropped; a bucket of any size costs what its rows cost.
 
@@ -112,7 +112,7 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
 
 
 def sketch_table(docs: DataFrame, key: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """``(key, n_shingles, f1, f2, bands)`` per row: a 128-bit print of the weighted shingles, and the band hashes."""
+    """``(key, n_shingles, weight, f1, f2, bands)`` per row: a 128-bit print of the weighted shingles, the band hashes."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +134,13 @@ def sketch_table(docs: DataFrame, key: str, text: str, size: int, bands: int, ro
                     band = mix(band + reg[:, :, k])
                 off = pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(count.astype(np.int64)), pa.array(prints[0]),
-                     pa.array(prints[1]), pa.ListArray.from_arrays(off, pa.array(band.ravel().view(np.int64)))],
-                    names=["key", "n_shingles", "f1", "f2", "bands"])
+                    [batch.column(0).slice(lo, n), pa.array(count.astype(np.int64)),
+                     pa.array(np.rint(np.bincount(owner, weights=weight, minlength=n)).astype(np.int64)),
+                     pa.array(prints[0]), pa.array(prints[1]), pa.ListArray.from_arrays(off, pa.array(band.ravel().view(np.int64)))],
+                    names=["key", "n_shingles", "weight", "f1", "f2", "bands"])
 
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(sketch, f"key {key_type}, n_shingles long, f1 long, f2 long, bands array<long>")
+    return slim.mapInArrow(sketch, f"key {key_type}, n_shingles long, weight long, f1 long, f2 long, bands array<long>")
 
 
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -219,28 +220,40 @@ def _contested_pairs(texts: DataFrame, labels: DataFrame, size: int, threshold:
             for lo, hi in chunks(whole):
                 owner, shingle, weight = weighted_shingles(Flat(whole, lo, hi), size)
                 total = np.bincount(owner, weights=weight, minlength=hi - lo)
+                distinct = np.bincount(owner, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(shingle.view(np.int64)),
-                     pa.array(weight.astype(np.int64)), pa.array(total[owner].astype(np.int64))],
-                    names=["node", "shingle", "w", "total"])
+                     pa.array(weight.astype(np.int64)), pa.array(total[owner].astype(np.int64)),
+                     pa.array(distinct[owner].astype(np.int64))],
+                    names=["node", "shingle", "w", "total", "n"])
 
-    rows = texts.select("key", "text").mapInArrow(explode, f"node {key_type}, shingle long, w long, total long")
+    rows = texts.select("key", "text").mapInArrow(explode, f"node {key_type}, shingle long, w long, total long, n long")
     often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(often, "shingle")
     every, before = Window.partitionBy("node"), Window.partitionBy("node").orderBy("df", "shingle").rowsBetween(
         Window.unboundedPreceding, -1)
     shared = shared.withColumn("own", F.col("total") - F.sum("w").over(every))
     shared = shared.withColumn("ahead", F.col("own") + F.coalesce(F.sum("w").over(before), F.lit(0)))
-    prefix = shared.where(F.col("ahead") <= (1 - threshold) * F.col("total") + 1e-9).select("node", "shingle")
+    prefix = shared.where(F.col("ahead") <= (1 - threshold) * F.col("total") + 1e-9)
+    # Of two documents without repeated shingles that meet under their first shared shingle, at most what follows it is
+    # shared, so similarity t needs the other's size to be at most (1 + 1 / t) * (size - ahead) - size.
+    plain = F.col("n") == F.col("total")
+    cap = (1 + 1 / threshold) * (F.col("total") - F.col("ahead")) - F.col("total") + 1e-6
+    prefix = prefix.select("node", "shingle", F.when(plain, F.col("total")).otherwise(0).cast("double").alias("least"),
+                           F.when(plain, cap).otherwise(F.lit(float("inf"))).alias("cap"))
     prefix = _kept(prefix.join(labels, "node"))
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h")
     prefix = prefix.join(mixed.select("shingle"), "shingle", "left_semi")
-    # components that meet under a shingle first, then their nodes: nodes of one component are never paired
-    met = prefix.select("shingle", "label").distinct()
-    met = met.withColumnRenamed("label", "la").join(met.withColumnRenamed("label", "lb"), "shingle").where("la < lb")
-    left = prefix.select("shingle", F.col("label").alias("la"), F.col("node").alias("a"))
-    right = prefix.select("shingle", F.col("label").alias("lb"), F.col("node").alias("b"))
-    return met.join(left, ["shingle", "la"]).join(right, ["shingle", "lb"]).select("a", "b").distinct()
+    # components that meet under a shingle and may hold a link first, then their nodes: nodes of one component are
+    # never paired
+    side = lambda rows, x: rows.select(
+        "shingle", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "shingle"])
+    may = "least_a <= cap_b and least_b <= cap_a"
+    met = prefix.groupBy("shingle", "label").agg(F.min("least").alias("least"), F.max("cap").alias("cap"))
+    met = side(met, "a").join(side(met, "b"), "shingle").where(f"label_a < label_b and {may}").select(
+        "shingle", "label_a", "label_b")
+    pairs = met.join(side(prefix, "a"), ["shingle", "label_a"]).join(side(prefix, "b"), ["shingle", "label_b"])
+    return pairs.where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicate_classes(
@@ -256,10 +269,13 @@ def near_duplicate_classes(
     """``(key, copy_of, class_id, n_shingles)`` per key: the smallest key of its exact copies and of its class."""
     sketches = _kept(sketch_table(docs, key, text, size, bands, rows))
     full = sketches.where("n_shingles > 0")
-    copies = _kept(full.groupBy("f1", "f2").agg(F.min("key").alias("node"), F.first("bands").alias("bands")))
-    in_band = copies.select("node", F.explode("bands").alias("band"))
-    buckets = in_band.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top")
-    member = _kept(in_band.join(buckets.select("band", "hub"), "band"))
+    copies = _kept(full.groupBy("f1", "f2").agg(F.min("key").alias("node"), F.first("weight").alias("weight"),
+                                                   F.first("bands").alias("bands")))
+    in_band = copies.select("node", "weight", F.explode("bands").alias("band"))
+    buckets = in_band.groupBy("band").agg(
+        F.min(F.struct("weight", "node")).alias("least"), F.min("node").alias("low"), F.max("node").alias("top"))
+    buckets = buckets.where("low != top").select("band", F.col("least.node").alias("hub"))
+    member = _kept(in_band.select("node", "band").join(buckets, "band"))
     pairs = member.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     nodes = member.select("node").distinct()
     texts = _kept(_texts_of(docs, key, text, nodes.select(F.col("node").alias("key")), small))
