@@ -251,8 +251,9 @@ def _contested_pairs(texts: DataFrame, labels: DataFrame, size: int, threshold:
     may = "least_a <= cap_b and least_b <= cap_a"
     met = prefix.groupBy("shingle", "label").agg(F.min("least").alias("least"), F.max("cap").alias("cap"))
     met = side(met, "a").join(side(met, "b"), "shingle").where(f"label_a < label_b and {may}").select(
-        "shingle", "label_a", "label_b")
-    pairs = met.join(side(prefix, "a"), ["shingle", "label_a"]).join(side(prefix, "b"), ["shingle", "label_b"])
+        "shingle", "label_a", "label_b", F.col("least_b").alias("least_lb"), F.col("cap_b").alias("cap_lb"))
+    pairs = met.join(side(prefix, "a"), ["shingle", "label_a"]).where("least_a <= cap_lb and least_lb <= cap_a")
+    pairs = pairs.drop("least_lb", "cap_lb").join(side(prefix, "b"), ["shingle", "label_b"])
     return pairs.where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
