@@ -46,7 +46,8 @@ from strata.llm.text_arrays import Flat, chunks, mix, text_column
 from strata.session import checkpoint_dir
 
 ORDER = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+SLICE_WORDS = 1 << 15
 #: Text whose sparse counts one task of the second pass takes.
 TASK_BYTES = 32 << 20
 QUANTILE = 0.995
@@ -76,7 +77,7 @@ class BlockGrams:
         self.hashes, at = np.unique(every, return_index=True)
         words = [spans[i].decode("utf-8", "replace") for i in at.tolist()]
         #: (word number, text) of every word of the block
-        self.uses = [(np.searchsorted(self.hashes, w), o) for w, o in owners]
+        self.uses = [(np.searchsorted(self.hashes, w).astype(np.int32), o.astype(np.int32)) for w, o in owners]
         line = np.frombuffer("".join(START + w + END for w in words).encode("utf-32-le"), dtype=np.uint32)
         begins = np.flatnonzero(line == ord(START))
         sizes = np.diff(np.append(begins, len(line)))
@@ -92,8 +93,10 @@ class BlockGrams:
         for k in range(order):
             key = key * np.uint64(0x9E3779B97F4A7C15) + grams[:, k].astype(np.uint64) + np.uint64(1)
             key ^= key >> np.uint64(29)
-        _, pick, self.event = np.unique(key, return_index=True, return_inverse=True)
+        _, pick, event = np.unique(key, return_index=True, return_inverse=True)
+        self.event = event.astype(np.int32)
         chosen = grams[pick]
+        del key, grams, line, depth
         # strings pad with zeros behind, so shift the shorter ones to the front
         short = (chosen == 0).sum(axis=1)
         for k in range(1, order):
@@ -111,24 +114,55 @@ class BlockGrams:
                                    minlength=len(self.grams))).astype(np.int64)
 
     def sparse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, n-gram and count of every pair that occurs, sorted; and the symbols of each text."""
-        n = len(self.doc_words)
+        """Text, n-gram and count of every pair that occurs, sorted; and the symbols of each text.
+
+        Worked off in slices of whole texts, which bounds the memory by a slice, or the largest text.
+        """
+        n, wide = len(self.doc_words), max(len(self.grams), 1)
         symbols = np.zeros(n, dtype=np.int64)
-        parts = []
+        parts = [(np.zeros(0, np.int32),) * 3]
         for word, owner in self.uses:
             symbols += np.rint(np.bincount(owner, weights=self.n_events[word], minlength=n)).astype(np.int64)
-            for lo in range(0, len(word), 1 << 17):  # a bounded number of symbols at a time
-                w, o = word[lo : lo + (1 << 17)], owner[lo : lo + (1 << 17)]
+            lo = 0
+            while lo < len(word):
+                # the last text that begins within the slice ends it
+                hi = int(np.searchsorted(owner, owner[min(lo + SLICE_WORDS, len(owner) - 1)], side="left"))
+                hi = len(word) if lo + SLICE_WORDS >= len(word) else hi
+                hi = hi if hi > lo else int(np.searchsorted(owner, owner[lo], side="right"))
+                w, o = word[lo:hi], owner[lo:hi]
                 size = self.n_events[w]
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first_event[w], size)
-                pair, count = np.unique(np.repeat(o, size) * len(self.grams) + self.event[at], return_counts=True)
-                parts.append((pair, count))
-        if not parts:
-            z = np.zeros(0, dtype=np.int64)
-            return z, z, z, symbols
-        pair, inv = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-        count = np.rint(np.bincount(inv, weights=np.concatenate([c for _, c in parts]))).astype(np.int64)
-        return pair // max(len(self.grams), 1), pair % max(len(self.grams), 1), count, symbols
+                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.first_event[w], size)
+                pair = np.repeat(o.astype(np.int64) * wide, size) + self.event[at]
+                pair, count = np.unique(pair, return_counts=True)
+                parts.append(((pair // wide).astype(np.int32), (pair % wide).astype(np.int32), count.astype(np.int32)))
+                lo = hi
+        return (*(np.concatenate(x) for x in zip(*parts)), symbols)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Small non-negative 32-bit integers, compressed byte by byte: the high bytes are mostly 0."""
+    planes = np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(len(x), 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def steps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; where ``first`` is set, the value itself."""
+    out = np.diff(x, prepend=0)
+    out[first] = x[first]
+    return out
+
+
+def from_steps(d: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of runs of ``size`` whose differences are ``d``."""
+    total = np.cumsum(d)
+    start = np.cumsum(size) - size
+    before = np.where(start > 0, total[np.maximum(start, 1) - 1], 0) if len(total) else start * 0
+    return total - np.repeat(before, size)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, pa.Table, pa.LargeStringArray]]:
@@ -138,6 +172,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
 
     def take(code):
         size.pop(code)
+        pa.default_memory_pool().release_unused()
         table = pa.Table.from_batches(held.pop(code)).combine_chunks()
         return code, table, text_column(table.to_batches()[0], "text")
 
@@ -146,7 +181,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str
         for lo, hi in chunks(texts):
             part = batch.slice(lo, hi - lo)
             codes = np.asarray(part.column(part.schema.get_field_index("code")).to_pylist(), dtype=object)
-            bytes_ = np.asarray([len(x) if x else 0 for x in texts.slice(lo, hi - lo).to_pylist()])
+            bytes_ = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset + lo : texts.offset + hi + 1])
             for code in sorted(set(codes)):
                 rows = np.flatnonzero(codes == code)
                 held.setdefault(code, []).append(part.take(pa.array(rows)))
@@ -273,9 +308,6 @@ def score_documents(
             acc = mix(acc + code[:, k].astype(np.uint64) + np.uint64(1))
         return (acc % np.uint64(shards)).astype(np.int32)
 
-    def pack(x: np.ndarray) -> bytes:
-        return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, (code, table, texts) in enumerate(_blocks(batches, block_bytes)):
@@ -290,11 +322,14 @@ def score_documents(
                 own = np.flatnonzero(shard == s)
                 local = np.cumsum(shard == s) - 1
                 hit = np.flatnonzero(shard[gram] == s)
+                text, slot = doc[hit], local[gram[hit]]
+                begins = np.ones(len(hit), dtype=bool)
+                begins[1:] = text[1:] != text[:-1]
                 out["shard"].append(s)
                 out["grams"].append(grams.grams[own].tolist())
-                out["docs"].append(pack(np.bincount(doc[hit], minlength=len(table)).astype(np.int32)))
-                out["gram"].append(pack(local[gram[hit]].astype(np.int32)))
-                out["n"].append(pack(count[hit].astype(np.int32)))
+                out["docs"].append(pack(np.bincount(text, minlength=len(table))))
+                out["gram"].append(pack(steps(slot, begins)))
+                out["n"].append(pack(count[hit]))
                 out["size"].append(len(hit))
             first = [s == 0 for s in out["shard"]]
             yield pa.RecordBatch.from_arrays(
@@ -325,16 +360,13 @@ def score_documents(
     model = model.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
 
     def add(mine: pa.Table, known: pa.Table) -> pa.Table:
-        def unpack(x, n, kind):
-            return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind)
-
         have = known.column("gram").combine_chunks()
         logp = np.append(known.column("logp").to_numpy(), np.nan)
         out: dict[str, list] = {n: [] for n in ("block", "row", "log_prob", "key", "n_words", "n_symbols")}
         for r in mine.to_pylist():
             n = r["rows"]
-            size = unpack(r["docs"], n, np.int32)
-            gram, count = unpack(r["gram"], r["size"], np.int32), unpack(r["n"], r["size"], np.int32)
+            size = unpack(r["docs"], n)
+            gram, count = from_steps(unpack(r["gram"], r["size"]), size), unpack(r["n"], r["size"])
             at = pc.index_in(pa.array(r["grams"], pa.string()), value_set=have).fill_null(len(have)).to_numpy()
             value = logp[at][gram] * count if len(gram) else np.zeros(0)
             out["block"].append(np.full(n, r["block"]))

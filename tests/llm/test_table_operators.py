@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strata.llm.inverted_multi_index import nearest_cells, search
-from strata.llm.kneser_ney import perplexity_filter, score_documents
+from strata.llm.kneser_ney import from_steps, pack, perplexity_filter, score_documents, steps, unpack
 from strata.llm.line_dedup import drop_repeated_lines, repeated_lines
 from strata.llm.mixing import mix_documents, source_targets, word_sizes
 from strata.llm.prob_minhash import (
@@ -448,6 +448,16 @@ def test_perplexity_equals_plain_model(documents, document_rows, small):
             assert sum(p(h + x) for x in symbols) + p(h + "\0") == pytest.approx(1.0)
 
 
+def test_packed_runs():
+    r = np.random.default_rng(0)
+    size = r.integers(0, 5, 50)
+    values = np.concatenate([np.sort(r.choice(90_000, k, replace=False)) for k in size]).astype(np.int32)
+    text = np.repeat(np.arange(50), size)
+    first = np.append(True, text[1:] != text[:-1])
+    assert (from_steps(unpack(pack(steps(values, first)), len(values)), size) == values).all()
+    assert len(from_steps(unpack(pack(np.zeros(0, np.int32)), 0), np.zeros(3, dtype=int))) == 0
+
+
 def test_perplexity_finds_labelled_junk(spark, small_dir, documents):
     labels = spark.read.parquet(f"{small_dir}/labels.parquet")
     out = perplexity_filter(documents, labels.where("quality = 1").select("doc_id")).join(labels, "doc_id").collect()
