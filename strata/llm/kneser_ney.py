@@ -4,9 +4,12 @@ An interpolated modified Kneser-Ney model per language is trained on the trusted
 documents, whole texts, and gives every document its perplexity; a document is kept if its perplexity is
 at most a quantile of that of its language's trusted documents.
 
-The symbols are characters: a word is the sequence of its characters and an end mark, after a start
-mark, and n-grams stay within a word.  So words are sequences of their own, weighted by
-how often they occur, and a task works on distinct words.
+The symbols are characters.  A text is one sequence: a start mark, its words with one separator between
+two of them (whatever white space stands there), and an end mark; n-grams run across word borders, so
+the order of words and their repetition count.  A task works on distinct units: a word, the symbol behind it and
+the ``order - 1`` symbols in front of it, which fix all n-grams that end in the word.
+
+With ``across=False`` every word is a sequence of its own between the marks: a bag of words.
 
 A first pass counts the n-grams of all documents, the trusted ones' occurrences apart; from these
 counts joins by n-gram give the model's tables and the score of every n-gram of the corpus, length by
@@ -54,37 +57,69 @@ QUANTILE = 0.995
 MIN_WORDS = 20
 #: Up to so many trusted keys (16 MB) are broadcast; more are joined by a shuffle.
 SMALL_KEYS = 2_000_000
-START, END = " ", "\n"  # never part of a word
+START, END, BETWEEN = " ", "\n", "\t"  # never part of a word
+
+
+def running(flat: Flat, start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> tuple[Flat, np.ndarray, np.ndarray]:
+    """The texts as sequences of their words, marks and separators; where each word starts and ends there."""
+    first = np.ones(len(owner), dtype=bool)
+    first[1:] = owner[1:] != owner[:-1]
+    last = np.append(first[1:], True)[: len(owner)]
+    size = end - start
+    to = np.cumsum(size + 1 + first) - size - 1
+    buf = np.empty(int(to[-1] + size[-1] + 1) if len(to) else 0, dtype=np.uint8)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    buf[np.repeat(to, size) + within] = flat.buf[np.repeat(start, size) + within]
+    buf[to[first] - 1] = ord(START)
+    buf[to + size] = np.where(last, ord(END), ord(BETWEEN))
+    off = np.zeros(flat.n + 1, dtype=np.int64)
+    np.cumsum(np.bincount(owner, weights=size + 1 + first, minlength=flat.n), out=off[1:])
+    line = pa.LargeStringArray.from_buffers(flat.n, pa.py_buffer(off), pa.py_buffer(buf))
+    return Flat(line), to, to + size
 
 
 class BlockGrams:
-    """Distinct words of the texts of one language and the n-grams that end at each of their symbols."""
+    """Distinct units of the texts of one language and the n-grams that end at each of their symbols.
+
+    A unit is a word with the symbols in front of it that its n-grams reach, and the symbol behind it.
+    """
 
-    def __init__(self, texts: pa.LargeStringArray, order: int):
+    def __init__(self, texts: pa.LargeStringArray, order: int, across: bool):
         self.doc_words = np.zeros(len(texts), dtype=np.int64)
-        heads, owners, spans = [], [], []
+        heads, owners, spans, fronts = [], [], [], []
         for lo, hi in chunks(texts):
             flat = Flat(texts, lo, hi)
             start, end, owner = flat.words()
-            word = Flat.span_hash(flat.prefix_hash(), start, end)
             self.doc_words[lo:hi] = np.bincount(owner, minlength=hi - lo)
+            front = np.ones(len(start), dtype=np.int64)
+            if across:
+                flat, start, end = running(flat, start, end, owner)
+                points = flat.code_points()
+                at = np.flatnonzero((flat.buf & 0xC0) != 0x80)
+                front = np.minimum(points[start] - points[flat.off[owner]], order - 1)
+                start, end = at[points[start] - front] if len(at) else start, end + 1
+            word = Flat.span_hash(flat.prefix_hash(), start, end)
             distinct, first = np.unique(word, return_index=True)
             raw = flat.buf.tobytes()
             spans += [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+            fronts.append(front[first])
             heads.append(distinct)
             owners.append((word, owner + lo))
         every = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
         self.hashes, at = np.unique(every, return_index=True)
         words = [spans[i].decode("utf-8", "replace") for i in at.tolist()]
-        #: (word number, text) of every word of the block
+        words = words if across else [START + w + END for w in words]
+        front = np.concatenate(fronts)[at] if fronts else np.zeros(0, np.int64)
+        #: (unit number, text) of every word of the block
         self.uses = [(np.searchsorted(self.hashes, w).astype(np.int32), o.astype(np.int32)) for w, o in owners]
-        line = np.frombuffer("".join(START + w + END for w in words).encode("utf-32-le"), dtype=np.uint32)
-        begins = np.flatnonzero(line == ord(START))
-        sizes = np.diff(np.append(begins, len(line)))
-        depth = np.arange(len(line)) - np.repeat(begins, sizes)  # symbols in front, the start mark included
-        at = np.flatnonzero(depth > 0)
-        self.first_event = np.concatenate([[0], np.cumsum(sizes - 1)])[:-1]
-        self.n_events = sizes - 1
+        line = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        depth = np.arange(len(line)) - np.repeat(begins, sizes)  # symbols of the unit in front
+        at = np.flatnonzero(depth >= np.repeat(front, sizes))
+        self.n_events = sizes - front
+        self.first_event = np.cumsum(self.n_events) - self.n_events
+        del words, spans
         grams = np.zeros((len(at), order), dtype=np.uint32)
         for k in range(order):
             has = depth[at] >= k
@@ -202,7 +237,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def corpus_grams(rows: DataFrame, keys: DataFrame, order: int, small: int) -> DataFrame:
+def corpus_grams(rows: DataFrame, keys: DataFrame, order: int, small: int, across: bool) -> DataFrame:
     """``(code, gram, n)``: every n-gram of the corpus and its occurrences in trusted documents.
 
     ``keys`` marks the trusted documents.  Up to ``small`` keys they are sent to the tasks (the
@@ -215,7 +250,7 @@ def corpus_grams(rows: DataFrame, keys: DataFrame, order: int, small: int) -> Da
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for code, table, texts in _blocks(batches, BLOCK_BYTES):
-            grams = BlockGrams(texts, order)
+            grams = BlockGrams(texts, order, across)
             n = len(grams.grams)
             marks = table.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
@@ -286,16 +321,18 @@ def score_documents(
     block_bytes: int = BLOCK_BYTES,
     task_bytes: int = TASK_BYTES,
     small: int = SMALL_KEYS,
+    across: bool = False,
 ) -> DataFrame:
     """``(key, code, trusted, n_words, n_symbols, log_prob, perplexity)`` of every document.
 
-    ``trusted`` has a column ``key`` with the keys of the training documents.
+    ``trusted`` has a column ``key`` with the keys of the training documents; with ``across``
+    n-grams run across word borders, else every word is a sequence of its own.
     """
     key_type = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), language_code(F.col(lang)).alias("code"),
                        F.col(text).cast("string").alias("text"))
     keys = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
-    counted = _kept(corpus_grams(rows, keys, order, small))
+    counted = _kept(corpus_grams(rows, keys, order, small, across))
     scores = _kept(gram_scores(counted, order))
     # the square root of the tasks' number for either side keeps what is sent twice small
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
@@ -311,7 +348,7 @@ def score_documents(
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, (code, table, texts) in enumerate(_blocks(batches, block_bytes)):
-            grams = BlockGrams(texts, order)
+            grams = BlockGrams(texts, order, across)
             doc, gram, count, symbols = grams.sparse()
             # the same block has the same id when a task runs again
             print_ = hashlib.blake2b(f"{task} {number} {table.column('key').to_pylist()}".encode(), digest_size=8)
@@ -410,13 +447,14 @@ def perplexity_filter(
     quantile: float = QUANTILE,
     min_words: int = MIN_WORDS,
     block_bytes: int = BLOCK_BYTES,
+    across: bool = True,
 ) -> DataFrame:
-    """:func:`score_documents` with the language's ``threshold`` and ``kept``.
+    """:func:`score_documents`, by default across word borders, with the language's ``threshold`` and ``kept``.
 
     The threshold is the ``quantile`` of the perplexities of the language's trusted documents of
     at least ``min_words`` words (a mergeable sketch with relative rank error 1e-4).
     """
-    scored = _kept(score_documents(docs, trusted, key, text, lang, order, block_bytes))
+    scored = _kept(score_documents(docs, trusted, key, text, lang, order, block_bytes, across=across))
     long_enough = F.col("n_words") >= min_words
     limits = scored.where(F.col("trusted") & long_enough & F.col("perplexity").isNotNull()).groupBy("code").agg(
         F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("threshold"))

@@ -448,6 +448,36 @@ def test_perplexity_equals_plain_model(documents, document_rows, small):
             assert sum(p(h + x) for x in symbols) + p(h + "\0") == pytest.approx(1.0)
 
 
+def test_perplexity_across_words_equals_plain_model(documents, document_rows):
+    """Each text is one sequence: for the plain model a single word whose spaces are an ordinary symbol."""
+    trusted = documents.where("doc_id % 3 = 0").select("doc_id")
+    out = score_documents(documents, trusted, block_bytes=1 << 16, order=4, across=True).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(got) == len(document_rows)
+    for lang in {r["lang"] for r in document_rows}:
+        own = [(r["doc_id"], "\t".join(r["text"].split())) for r in document_rows if r["lang"] == lang]
+        logp, *_ = plain_kneser_ney(Counter(t for k, t in own if k % 3 == 0 and t), 4)
+        for k, t in own[:12]:
+            assert got[k]["n_symbols"] == (len(t) + 1 if t else 0)
+            if t:
+                assert got[k]["log_prob"] == pytest.approx(logp(t), rel=1e-9)
+
+
+def test_perplexity_sees_word_order_and_repetition(spark):
+    r = random.Random(4)
+    nouns = "time house water street letter music garden winter".split()
+    clean = [" ".join(f"the {r.choice(nouns)} of the {r.choice(nouns)}" for _ in range(20)) for _ in range(40)]
+    shuffled = clean[0].split()
+    r.shuffle(shuffled)
+    texts = [*clean, " ".join(["the"] * 100), " ".join(shuffled), "é日 " + clean[0], " \n\t", clean[0].replace(" ", " \n ")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in perplexity_filter(df, df.where("doc_id < 40").select("doc_id"), quantile=1.0).collect()}
+    assert all(got[i]["kept"] for i in range(40))
+    assert not got[40]["kept"] and not got[41]["kept"] and not got[42]["kept"]
+    assert got[43]["perplexity"] is None and got[43]["kept"]
+    assert got[44]["perplexity"] == pytest.approx(got[0]["perplexity"])
+
+
 def test_packed_runs():
     r = np.random.default_rng(0)
     size = r.integers(0, 5, 50)
