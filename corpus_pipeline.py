@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.catalog import tokenizer_file
-from strata.llm.line_dedup import drop_repeated_lines
+from strata.llm.line_dedup import EXACT_CHARS, MAX_EDITS, drop_repeated_lines
 from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
 from strata.llm.prob_minhash import keep_one_per_class
@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return drop_repeated_lines(docs)
+    return drop_repeated_lines(docs, exact_chars=EXACT_CHARS, max_edits=MAX_EDITS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

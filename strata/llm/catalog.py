@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strata.llm.html_extract import extract_main_text
 from strata.llm.inverted_multi_index import search
 from strata.llm.kneser_ney import perplexity_filter
-from strata.llm.line_dedup import repeated_lines
+from strata.llm.line_dedup import EXACT_CHARS, MAX_EDITS, repeated_lines
 from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
 from strata.llm.prob_minhash import near_duplicate_classes
@@ -76,7 +76,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(_table(spark, sf_dir, "documents")).withColumn("n_dropped", F.size("dropped").cast("long"))
+    found = repeated_lines(_table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS, max_edits=MAX_EDITS)
+    return found.withColumn("n_dropped", F.size("dropped").cast("long"))
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

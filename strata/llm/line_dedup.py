@@ -1,7 +1,9 @@
 r"""Line deduplication with a deletion-neighbourhood join (operator 9).
 
-Lines of all documents that are equal, or one edit (one code point inserted, deleted or replaced) apart, form classes;
-of each class the earliest occurrence stays, by document key, then line number.
+Lines of all documents that are equal, or at most ``max_edits`` edits (a code point inserted, deleted or replaced) apart,
+form classes; of each class the earliest occurrence stays, by document key, then line number.
+
+One edit:
 
 A line emits its variants within the bound, itself and the line without each of its code
 points, as hashed keys.  Two lines are one edit apart if and only if they give the same
@@ -15,8 +17,15 @@ before or the half behind the edit is equal, so a line whose both half keys
 (for its own length and for one less) occur on no other line has no partner.  This
 filter is exact.  It also says in which half a line needs variants.
 
-Lines are compared as they are, without a trailing \r; lines of fewer than ``min_chars`` code points
-(headings, list marks, blank lines) are left alone.  Line identity is a hash of 128 bits.
+More edits: a line is split into ``max_edits + 1`` parts, and of two lines within the bound one part of the shorter
+stands unchanged in the longer, shifted by no more than the edits before and behind it allow (Li, Deng,
+Wang, Feng: "Pass-Join", 2011).  Lines whose part keys occur on no other line have no partner, which is exact again.
+Lines that share a key become a pair if the parities of their code points (64 classes) differ in at most two classes
+an edit, and a link if their edit distance says so.  Links are listed, as they are counted.
+
+Lines are compared as they are, without a trailing \r.  Lines of at least ``min_chars`` code points are compared with the
+edit bound; shorter ones with a word, of at least ``exact_chars`` code points, for equality only (None: not at all).
+Lines without a word that are shorter than ``min_chars`` are left alone.  Line identity is a hash of 128 bits.
 
 Edge cases: a null text has no lines to compare and stays null; documents of a null key are neither compared nor changed;
 rows that repeat a key and text count as one document, rows that repeat a key with other texts as one
@@ -27,6 +36,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.schema_safe import own_name
-from strata.llm.text_arrays import Flat, chunks, mix, text_column
+from strata.llm.text_arrays import SPACE, Flat, chunks, mix, text_column
 from strata.operators.components import connected_components
 from strata.session import checkpoint_dir
 
-MAX_EDITS = 1
+#: What the query and the pipeline ask for.
+MAX_EDITS = 2
+EXACT_CHARS = 1
 MIN_CHARS = 24
 #: Up to so many occurrences to look up (16 MB) are broadcast; more are joined by a shuffle.
 SMALL_LOOKUP = 400_000
@@ -52,26 +64,36 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 class Lines:
-    """The comparable lines of one chunk of texts: hashes, half keys, place."""
+    """The comparable lines of one chunk of texts: hashes, half or part keys, place."""
 
-    def __init__(self, flat: Flat, min_chars: int):
+    def __init__(self, flat: Flat, min_chars: int, exact_chars: int | None):
         start, end, owner = flat.lines()
         first = np.searchsorted(owner, np.arange(flat.n))
         number = np.arange(len(owner)) - first[owner] if len(owner) else owner
         carriage = (end > start) & (flat.buf[np.maximum(end - 1, 0)] == 0x0D) if len(flat.buf) else end > start
         end = end - carriage
         points = flat.code_points()
-        long_enough = points[end] - points[start] >= max(min_chars, 1)
+        size = points[end] - points[start]
+        long_enough = size >= max(min_chars, 1)
+        near = long_enough
+        if exact_chars is not None:
+            ink = np.append(0, np.cumsum(~SPACE[flat.buf]))
+            long_enough = near | ((size >= exact_chars) & (ink[end] > ink[start]))
+        #: compared with the edit bound, not for equality only
+        self.near = near[long_enough]
         self.start, self.end = start[long_enough], end[long_enough]
         self.owner, self.number = owner[long_enough], number[long_enough]
         self.n_lines = np.bincount(owner, minlength=flat.n) if len(owner) else np.zeros(flat.n, dtype=np.int64)
-        self.points = points
-        #: byte position of every code point
-        self.at = np.append(np.flatnonzero((flat.buf & 0xC0) != 0x80), len(flat.buf))
+        self.flat, self.points = flat, points
         self.prefix = flat.prefix_hash()
         self.h1 = Flat.span_hash(self.prefix, self.start, self.end)
         self.h2 = Flat.span_hash(flat.prefix_hash(1), self.start, self.end, 1)
 
+    @cached_property
+    def at(self) -> np.ndarray:
+        """Byte position of every code point."""
+        return np.append(np.flatnonzero((self.flat.buf & 0xC0) != 0x80), len(self.flat.buf))
+
     def half_keys(self) -> list[np.ndarray]:
         s, e, prefix = self.start, self.end, self.prefix
         c = self.points[s]
@@ -86,20 +108,49 @@ class Lines:
         return out
 
 
-def line_table(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """One row per document: ``(key, n_lines, lines)``, lines as structs ``(number, h1, h2, p0, s0, p1, s1)``."""
+    def part_keys(self, max_edits: int, min_chars: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of the near lines: their numbers here, the keys of their parts, and of what may be a part of a shorter line."""
+        rows = np.flatnonzero(self.near)
+        c = self.points[self.start[rows]]
+        size = self.points[self.end[rows]] - c
+        own, other = [], []
+        for less in range(max_edits + 1):
+            short = size - less
+            for i in range(max_edits + 1):
+                lo, hi = i * short // (max_edits + 1), (i + 1) * short // (max_edits + 1)
+                rest = max_edits - i
+                for shift in range(max(-i, less - rest), min(i, less + rest) + 1):
+                    fits = (short >= max(min_chars, 1)) & (lo + shift >= 0) & (hi + shift <= size)
+                    a, b = (np.where(fits, c + x + shift, c) for x in (lo, hi))
+                    part = Flat.span_hash(self.prefix, self.at[a], self.at[b])
+                    part = mix(part + (short * (max_edits + 1) + i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    (other if less or shift else own).append(np.ma.masked_array(part.view(np.int64), ~fits))
+        return rows, own, other
+
+    def parities(self) -> np.ndarray:
+        """For each line, which of 64 classes of code points occur an odd number of times: an edit changes two at most."""
+        lead, last = self.flat.buf[self.at[:-1]], self.flat.buf[self.at[1:] - 1]
+        kind = (lead * np.uint8(7) + last * np.uint8(4)) & np.uint8(63)
+        odd = np.append(np.uint64(0), np.bitwise_xor.accumulate((np.uint64(1) << np.arange(64, dtype=np.uint64))[kind]))
+        return odd[self.points[self.end]] ^ odd[self.points[self.start]]
+
+
+def line_table(docs: DataFrame, key: str, text: str, min_chars: int, exact_chars: int | None, halves: bool) -> DataFrame:
+    """One row per document: ``(key, n_lines, lines)``, lines as structs ``(number, h1, h2)``, and p0, s0, p1, s1."""
     key_type = docs.schema[key].dataType.simpleString()
-    names = ["number", "h1", "h2", *HALVES]
+    names = ["number", "h1", "h2", *(HALVES if halves else ())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_column(batch, "text")
             for lo, hi in chunks(texts):
-                lines = Lines(Flat(texts, lo, hi), min_chars)
+                lines = Lines(Flat(texts, lo, hi), min_chars, exact_chars)
                 off = np.zeros(hi - lo + 1, dtype=np.int32)
                 np.cumsum(np.bincount(lines.owner, minlength=hi - lo), out=off[1:])
                 cols = [pa.array(lines.number.astype(np.int64))]
-                cols += [pa.array(x.view(np.int64)) for x in (lines.h1, lines.h2, *lines.half_keys())]
+                cols += [pa.array(x.view(np.int64)) for x in (lines.h1, lines.h2)]
+                if halves:
+                    cols += [pa.array(x.view(np.int64), mask=~lines.near) for x in lines.half_keys()]
                 items = pa.StructArray.from_arrays(cols, names=names)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(lines.n_lines.astype(np.int64)),
@@ -110,6 +161,75 @@ def line_table(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFram
     return slim.mapInArrow(read, f"key {key_type}, n_lines long, lines array<struct<{fields}>>")
 
 
+def part_table(docs: DataFrame, key: str, text: str, min_chars: int, max_edits: int) -> DataFrame:
+    """``(part, own, id, parity)``: the part keys of every near line; ``own`` for the parts of its own length and place."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_column(batch, "text")
+            for lo, hi in chunks(texts):
+                lines = Lines(Flat(texts, lo, hi), min_chars, None)
+                rows, own, other = lines.part_keys(max_edits, min_chars)
+                parity = lines.parities()[rows].view(np.int64)
+                # a line that repeats within the chunk is sent once
+                once = np.unique(lines.h1[rows], return_index=True)[1]
+                table = np.ma.stack([x[once] for x in own + other], axis=1)
+                fits = ~np.ma.getmaskarray(table)
+                off = np.append(0, np.cumsum(fits.sum(axis=1))).astype(np.int32)
+                is_own = np.broadcast_to(np.arange(table.shape[1]) < len(own), table.shape)
+                parts = pa.StructArray.from_arrays([pa.array(table.data[fits]), pa.array(is_own[fits])], ["part", "own"])
+                hashes = [pa.array(x[rows][once].view(np.int64)) for x in (lines.h1, lines.h2)]
+                yield pa.RecordBatch.from_arrays(
+                    [*hashes, pa.array(parity[once]), pa.ListArray.from_arrays(pa.array(off), parts)],
+                    names=["h1", "h2", "parity", "parts"])
+
+    slim = docs.where(F.col(key).isNotNull()).select(F.col(text).cast("string").alias("text"))
+    rows = slim.mapInArrow(read, "h1 long, h2 long, parity long, parts array<struct<part: bigint, own: boolean>>")
+    return rows.select(F.xxhash64("h1", "h2").alias("id"), "parity", F.explode("parts").alias("p")).select(
+        "p.part", "p.own", "id", "parity")
+
+
+def near_pairs(
+    docs: DataFrame, distinct: DataFrame, key: str, text: str, min_chars: int, max_edits: int, small: int
+) -> DataFrame:
+    """``(a, b, group)``: every two distinct lines at most ``max_edits`` edits apart, verified; ``group`` is null."""
+    parts = part_table(docs, key, text, min_chars, max_edits)
+    shared = _kept(parts.groupBy("part").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own")).where(
+        "low != high and own").select("part"))
+    few = shared.limit(small + 1).count() <= small
+    live = _kept(parts.join(F.broadcast(shared) if few else shared, "part").distinct())
+    left = live.where("own").select("part", F.col("id").alias("a"), F.col("parity").alias("parity_a"))
+    right = live.select("part", F.col("id").alias("b"), F.col("parity").alias("parity_b"))
+    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * max_edits
+    pairs = left.join(right, "part").where((F.col("a") != F.col("b")) & apart).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _kept(pairs)
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    lines = _texts(docs, distinct.join(asked, "id").select("id", "first"), key, text, small)
+    return _verified(pairs.withColumn("group", F.lit(None).cast("long")), lines, max_edits)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str, small: int) -> DataFrame:
+    """``wanted`` with ``line``, the text of the line that first occurs at ``first`` (key, number)."""
+    columns = [c for c in wanted.columns if c != "first"]
+    wanted = wanted.select(F.col("first.key").alias("key"), F.col("first.number").alias("number"), *columns)
+    per_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("number", *columns)).alias("want"))
+    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    few = wanted.limit(small + 1).count() <= small
+    texts = slim.join(F.broadcast(per_doc) if few else per_doc, "key")
+    lines = texts.withColumn("all", F.split("text", "\n", -1)).select("all", F.explode("want").alias("w"))
+    lines = lines.select("w.*", F.regexp_replace(F.get("all", F.col("w.number").cast("int")), "\r$", "").alias("line"))
+    return _kept(lines.where("line is not null").dropDuplicates(["id"]).select(*columns, "line"))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    pairs = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(
+        lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+    distance = F.levenshtein("line_a", "line_b", max_edits)  # -1 beyond the bound
+    return pairs.where((distance >= 0) & (distance <= max_edits)).select("a", "b", "group")
+
+
 def _variants(live: DataFrame) -> DataFrame:
     """``(id, variant, place)``: deletions of live lines in the halves asked for (``front``, ``rear``)."""
 
@@ -145,21 +265,14 @@ def near_links(docs: DataFrame, distinct: DataFrame, key: str, text: str, small:
     """
     halves = distinct.select("id", F.explode(F.array(*[
         F.struct(F.col(h).alias("half"), F.lit(h[0] == "p").alias("is_front")) for h in HALVES])).alias("x"))
-    halves = halves.select("id", "x.half", "x.is_front")
+    halves = halves.select("id", "x.half", "x.is_front").where("half is not null")
     shared = halves.groupBy("half").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
     live = halves.join(shared.select("half"), "half").groupBy("id").agg(
         # equal front halves: the edit is behind
         F.max(F.col("is_front")).alias("rear"), F.max(~F.col("is_front")).alias("front"))
     live = _kept(live.join(distinct.select("id", "h1", "first"), "id"))
     # the texts of the live lines, from their first occurrences
-    wanted = live.select(F.col("first.key").alias("key"), F.col("first.number").alias("number"), "id", "h1", "front", "rear")
-    per_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("number", "id", "h1", "front", "rear")).alias("want"))
-    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    few = wanted.limit(small + 1).count() <= small
-    texts = slim.join(F.broadcast(per_doc) if few else per_doc, "key")
-    lines = texts.withColumn("all", F.split("text", "\n", -1)).select("all", F.explode("want").alias("w"))
-    lines = lines.select("w.*", F.regexp_replace(F.get("all", F.col("w.number").cast("int")), "\r$", "").alias("line"))
-    lines = _kept(lines.where("line is not null").dropDuplicates(["id"]).select("id", "h1", "line", "front", "rear"))
+    lines = _texts(docs, live.select("id", "h1", "front", "rear", "first"), key, text, small)
 
     variants = _variants(lines)
     same = variants.groupBy("variant", "place").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
@@ -168,27 +281,33 @@ def near_links(docs: DataFrame, distinct: DataFrame, key: str, text: str, small:
     inserted = variants.join(lines.select(F.col("h1").alias("variant"), F.col("id").alias("a")), "variant").select(
         "a", F.col("id").alias("b"), F.lit(None).cast("long").alias("group")).where("a != b").distinct()
     pairs = stars.unionByName(inserted)
-    pairs = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(
-        lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    distance = F.levenshtein("line_a", "line_b", MAX_EDITS)  # -1 beyond the bound
-    return pairs.where((distance >= 0) & (distance <= MAX_EDITS)).select("a", "b", "group")
+    return _verified(pairs, lines, 1)
 
 
 def line_classes(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, small: int = SMALL_LOOKUP
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    min_chars: int = MIN_CHARS,
+    small: int = SMALL_LOOKUP,
+    exact_chars: int | None = None,
+    max_edits: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """``(per document line table, repeated lines)``.
 
     The second has one row per distinct line that occurs more than once or has a link: ``(h1, h2, n, first, n_links,
     id, class)``; ``class`` is the id of its class, ``first`` the earliest occurrence in the class.
     """
-    table = line_table(docs, key, text, min_chars)
+    if max_edits < 1:
+        raise ValueError("max_edits must be at least 1")
+    table = line_table(docs, key, text, min_chars, exact_chars, halves=max_edits == 1)
     flat = table.select("key", F.explode("lines").alias("l")).select("key", "l.*")
     distinct = flat.groupBy("h1", "h2").agg(
         F.min(F.struct("key", "number")).alias("first"), F.count("*").alias("n"),
-        *[F.first(h).alias(h) for h in HALVES])
+        *[F.first(h).alias(h) for h in (HALVES if max_edits == 1 else ())])
     distinct = _kept(distinct.withColumn("id", F.xxhash64("h1", "h2")))
-    links = _kept(near_links(docs, distinct, key, text, small))
+    links = _kept(near_links(docs, distinct, key, text, small) if max_edits == 1 else
+                  near_pairs(docs, distinct, key, text, min_chars, max_edits, small))
     # in a group of m lines every line has m - 1 links; the star holds the m - 1 others
     grouped = links.where("group is not null")
     ends = grouped.select(F.col("b").alias("id"), "group").unionByName(
@@ -210,21 +329,30 @@ def line_classes(
 
 
 def repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, small: int = SMALL_LOOKUP
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    min_chars: int = MIN_CHARS,
+    small: int = SMALL_LOOKUP,
+    exact_chars: int | None = None,
+    max_edits: int = 1,
 ) -> DataFrame:
     """One row per document key: ``(key, n_lines, dropped, n_links, classes)``.
 
     ``dropped``: numbers (from 0) of the lines that repeat an earlier line of their class, in order; ``n_links``:
     links of its lines to other line texts; ``classes``: the classes of its lines that are shared or linked, in order.
     """
-    table, repeated = line_classes(docs, key, text, min_chars, small)
+    table, repeated = line_classes(docs, key, text, min_chars, small, exact_chars, max_edits)
     flat = table.select("key", F.explode("lines").alias("l")).select("key", "l.number", "l.h1", "l.h2")
     hit = flat.join(repeated, ["h1", "h2"])
     stays = (F.col("first.key") == F.col("key")) & (F.col("first.number") == F.col("number"))
     per = hit.groupBy("key").agg(
         F.array_sort(F.array_distinct(F.collect_list(F.when(~stays, F.col("number"))))).alias("dropped"),
         F.sum("n_links").alias("n_links"), F.array_sort(F.collect_set("class")).alias("classes"))
-    every = table.groupBy("key").agg(F.max("n_lines").alias("n_lines"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    n_lines = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+    every = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
+        F.max(n_lines).cast("long").alias("n_lines"))
     none = F.expr("cast(array() as array<bigint>)")
     return every.join(per, "key", "left").select(
         F.col("key").alias(key), "n_lines", F.coalesce("dropped", none).alias("dropped"),
@@ -232,13 +360,19 @@ def repeated_lines(
 
 
 def drop_repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, small: int = SMALL_LOOKUP
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    min_chars: int = MIN_CHARS,
+    small: int = SMALL_LOOKUP,
+    exact_chars: int | None = None,
+    max_edits: int = 1,
 ) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one; a document left without a word goes.
 
     A column ``n_chars`` gets the new number of code points.  A document that had no word before stays.
     """
-    found = repeated_lines(docs, key, text, min_chars, small).where(F.size("dropped") > 0)
+    found = repeated_lines(docs, key, text, min_chars, small, exact_chars, max_edits).where(F.size("dropped") > 0)
     own_key, own_drop = own_name(docs, "line_key", "line_drop")
     found = found.select(F.col(key).alias(own_key), F.col("dropped").alias(own_drop))
     rows = docs.join(found, F.col(key) == F.col(own_key), "left")

@@ -357,6 +357,64 @@ def test_lines_equal_brute_force(spark, small):
     assert got == plain_lines(texts, 4)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_near_lines(texts, min_chars, max_edits):
+    """:func:`plain_lines` with an edit bound for lines from ``min_chars``, equality for all others with a word."""
+    places = defaultdict(list)
+    for key, text in texts.items():
+        for i, line in enumerate((text or "").split("\n")):
+            line = line.removesuffix("\r")
+            if len(line) >= min_chars or line.strip(" \t\v\f\r"):
+                places[line].append((key, i))
+    sets, links = Union(places), Counter()
+    every = sorted(x for x in places if len(x) >= min_chars)
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            if abs(len(a) - len(b)) <= max_edits and edit_distance(a, b) <= max_edits:
+                sets.join(a, b)
+                links.update((a, b))
+    first = {}
+    for line, own in places.items():
+        c = sets.find(line)
+        first[c] = min([first.get(c, min(own)), *own])
+    out = {k: ([], 0) for k in texts}
+    for line, own in places.items():
+        for key, i in own:
+            out[key] = (out[key][0] + [i] * ((key, i) != first[sets.find(line)]), out[key][1] + links[line])
+    return {k: (sorted(d), n) for k, (d, n) in out.items()}
+
+
+@pytest.mark.parametrize("max_edits,small", [(1, 1000), (2, 0), (2, 1000), (3, 1000)])
+def test_short_lines_and_edit_bounds_equal_brute_force(spark, max_edits, small):
+    texts = line_texts()
+    r = random.Random(9)
+    for k in range(60, 100):  # short and blank lines, and lines of several edits
+        lines = (r.choice([*texts.values()]) or "Les.").split("\n")[:3]
+        for _ in range(r.randrange(4)):
+            i = r.randrange(len(lines[0]) + 1)
+            lines[0] = lines[0][:i] + r.choice(["", "x", "é"]) + lines[0][i + r.randrange(2) :]
+        texts[k] = "\n".join([*lines, r.choice(["Les.", "日本", "a", " ", "", "\t\r", "b\r"])])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = repeated_lines(df, min_chars=6, small=small, exact_chars=1, max_edits=max_edits).collect()
+    assert {r["doc_id"]: (r["dropped"], r["n_links"]) for r in out} == plain_near_lines(texts, 6, max_edits)
+
+
+def test_pipeline_drops_short_repeated_lines(spark, small_dir, nothing):
+    texts = {1: "Les.\nAll rights reserved.\n\n日本語です。", 2: "Les.\n\nAll rights reserved.\nnew", 3: "日本語です。\n\nLes."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, df, small_dir).collect()}
+    assert left == {1: texts[1], 2: "\nnew"}
+    assert repeated_lines(nothing, exact_chars=1, max_edits=2).count() == 0
+
+
 def test_lines_of_given_documents(documents, document_rows):
     texts = {r["doc_id"]: r["text"] for r in document_rows}
     want = plain_lines(texts, 24)
