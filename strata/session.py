@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,18 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     Iterative operators (connected components, the layer loop) call this once
     per round, so plans stay small and a lost executor only costs the current
     round: the data lives in the shared checkpoint folder, not on executors.
-    The frame is persisted first so the checkpoint write reads it back instead
-    of computing it a second time.
+    An eager checkpoint writes while it computes, so the frame is neither computed
+    twice nor stored a second time in executor memory.
     """
     if not checkpoint_dir(df.sparkSession):
         raise RuntimeError(
             "strata needs spark.checkpoint.dir (a shared folder) to cut lineage in "
             "iterative jobs; set it on the session"
         )
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint(eager=True)
-    kept.unpersist()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
