@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.fim_frames import fill_in_middle, frame_texts, plan_cuts
 from strata.llm.html_extract import extract_main_text
 from strata.llm.inverted_multi_index import search
 from strata.llm.kneser_ney import perplexity_filter
@@ -15,10 +16,12 @@ from strata.llm.mixing import mix_documents, word_sizes
 from strata.llm.piece_transducer import encode_decode
 from strata.llm.prob_minhash import near_duplicate_classes
 from strata.llm.quality_rules import quality_rules
+from strata.llm.simhash import simhash_components
+from strata.llm.token_alignment import align_tokenizers
 from strata.llm.token_counts import LIMIT_TOKENS, count_tokens
 from strata.llm.warc_revisits import ORACLE as WARC_ORACLE
 from strata.llm.warc_revisits import captures_of_pages, resolve_revisits
-from strata.session import ensure_checkpoint_dir
+from strata.session import cut, ensure_checkpoint_dir, spread
 
 
 def tokenizer_file(name: str) -> str:
@@ -86,6 +89,21 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "code", "trusted", "n_words", "n_symbols", "perplexity", "threshold", "kept")
 
 
+def op11_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = cut(frame_texts(docs, carry=["doc_id"]))
+    return fill_in_middle(plan_cuts(stored, "doc_id"), ["doc_id"])
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"),
+                            tokenizer_file("piece_bpe_32k.model"), carry=["doc_id"])
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_prob_minhash": op2_prob_minhash,
@@ -97,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_line_dedup": op9_line_dedup,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_fim_frames": op11_fim_frames,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE: dict[str, str] = {
