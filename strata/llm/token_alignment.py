@@ -56,13 +56,12 @@ REACH = 1 << 12
 #: Fragments composed by one task in one round of the tree.
 FAN = 8
 #: Spans remembered by a worker, and the longest of them.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 LONGEST = 64
 #: A pair is one integer: A's id shifted by this, plus B's id.
 PAIR_BITS = 20
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-_NONE = np.zeros(0, dtype=np.int64)
 _workers: dict[tuple[str, str], Aligner] = {}
 
 
@@ -174,6 +173,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(n_b)]
         self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode()
                         for i, t in enumerate(pieces)]
+        self.sizes = [np.array([len(t) for t in table], dtype=np.int64) for table in (self.bytes_a, self.bytes_b)]
         self.cuts = not any("▁" in t.lstrip("▁") for t in pieces)
         self.forget()
 
@@ -181,9 +181,8 @@ class Aligner:
         self.index: dict[bytes, int] = {}
         self.n_long = 0
         self.text: list[str] = []
-        self.tokens: list[tuple[list[int], list[int], bool]] = []
         self.counts: list[tuple[int, int, int]] = []
-        self.links: list[np.ndarray] = []
+        self.links: list[np.ndarray | None] = []  # None: the bytes are not those of the text
 
     def encode(self, spans: list[bytes]) -> list[tuple[list[int], list[int], bool]]:
         """Ids of both vocabularies for the spans (without the space before), and whether their bytes agree."""
@@ -208,16 +207,46 @@ class Aligner:
         """The numbers of the spans; those not seen before are encoded and aligned together."""
         index = self.index
         missing = [s for s in dict.fromkeys(spans) if s not in index]
-        for span, (x, y, same) in zip(missing, self.encode(missing) if missing else ()):
-            f = Fragment.of(self._ends(x, self.bytes_a), self._ends(y, self.bytes_b)).whole() if same else Fragment()
-            index[span] = len(self.text)
-            self.n_long += len(span) > LONGEST
-            self.text.append(f.body)
-            self.tokens.append((x, y, same))
-            self.counts.append((f.n_a, f.n_b, f.n_groups))
-            self.links.append(np.array(f.links, dtype=np.int64))
+        if missing:
+            found = self.encode(missing)
+            self._align([(x, y) for x, y, same in found if same], [same for *_, same in found])
+            for k, span in enumerate(missing, len(self.text) - len(missing)):
+                index[span] = k
+                self.n_long += len(span) > LONGEST
         return list(map(index.__getitem__, spans))
 
+    def _align(self, good: list[tuple[list[int], list[int]]], same: list[bool]) -> None:
+        """The groups of whole spans, all spans at once: a group ends where the running byte counts meet."""
+        flat = [np.fromiter((t for s in good for t in s[v]), np.int64) for v in (0, 1)]
+        ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, flat)]
+        common = np.intersect1d(*ends, assume_unique=True)
+        start = [np.concatenate([[0], np.searchsorted(e, common, side="right")]) for e in ends]
+        n = [np.diff(x) for x in start]
+        # every pair of a group: the k-th link takes A's token k // n_b and B's token k % n_b
+        per = n[0] * n[1]
+        k = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+        wide = np.repeat(n[1], per)
+        links = (flat[0][np.repeat(start[0][:-1], per) + k // np.maximum(wide, 1)] << PAIR_BITS) | flat[1][
+            np.repeat(start[1][:-1], per) + k % np.maximum(wide, 1)]
+        token = [list(map(str, x.tolist())) for x in flat]
+        (a0, a1), (b0, b1) = ((x[:-1].tolist(), x[1:].tolist()) for x in start)
+        groups = [f"{','.join(token[0][i:j])}|{','.join(token[1][p:q])}" for i, j, p, q in zip(a0, a1, b0, b1)]
+        edge = np.cumsum([len(x) for x, _ in good])
+        last = np.searchsorted(start[0], edge, side="left").tolist()  # groups up to the end of each span
+        link_end = np.concatenate([[0], np.cumsum(per)])
+        rows, g = iter(zip(good, last)), 0
+        for ok in same:
+            if not ok:
+                self.text.append("")
+                self.counts.append((0, 0, 0))
+                self.links.append(None)
+                continue
+            (x, y), to = next(rows)
+            self.text.append(";".join(groups[g:to]))
+            self.counts.append((len(x), len(y), to - g))
+            self.links.append(links[link_end[g] : link_end[to]])
+            g = to
+
     def trim(self) -> None:
         """Drop what is remembered when it is too much, and the long spans always (their numbers stay unused)."""
         if len(self.index) > REMEMBERED:
@@ -225,7 +254,7 @@ class Aligner:
         elif self.n_long:
             for span, k in [(s, k) for s, k in self.index.items() if len(s) > LONGEST]:
                 del self.index[span]
-                self.text[k], self.tokens[k], self.links[k] = "", ([], [], False), _NONE
+                self.text[k], self.links[k] = "", None
             self.n_long = 0
 
     def spans(self, raw: bytes) -> list[bytes]:
@@ -237,16 +266,18 @@ class Aligner:
 
     def fragment(self, window: bytes, base: int, lo: int, hi: int) -> Fragment:
         """The tokens of ``window`` (which begins with a safe space, at byte ``base``) that end in ``(lo, hi]``."""
-        a, b, ok = [], [], True
-        for k in self.learn(self.spans(window[1:])):
-            x, y, same = self.tokens[k]
-            ok &= same
-            if same:
-                ends = self._ends(x, self.bytes_a, base)
-                a += [t for t in ends if lo < t[1] <= hi]
-                b += [t for t in self._ends(y, self.bytes_b, base) if lo < t[1] <= hi]
-                base = ends[-1][1]
-        return Fragment.of(a, b, ok) if ok else Fragment(ok=False)
+        a, b = [], []
+        spans = self.spans(window[1:])
+        distinct = list(dict.fromkeys(spans))
+        found = dict(zip(distinct, self.encode(distinct)))
+        for x, y, same in map(found.__getitem__, spans):
+            if not same:
+                return Fragment(ok=False)
+            ends = self._ends(x, self.bytes_a, base)
+            a += [t for t in ends if lo < t[1] <= hi]
+            b += [t for t in self._ends(y, self.bytes_b, base) if lo < t[1] <= hi]
+            base = ends[-1][1]
+        return Fragment.of(a, b)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -325,7 +356,7 @@ def _short_blocks(paths: tuple[str, str], with_groups: bool):
                 for i, spans in enumerate(split):
                     own = numbers[at : at + len(spans)]
                     at += len(spans)
-                    if spans != [b""] and all(aligner.tokens[k][2] for k in own):
+                    if spans != [b""] and all(aligner.links[k] is not None for k in own):
                         counts = np.array([aligner.counts[k] for k in own]).sum(axis=0)
                         block.add(i, tuple(counts), ";".join(map(aligner.text.__getitem__, own)),
                                   np.concatenate([aligner.links[k] for k in own]))
@@ -390,7 +421,6 @@ def long_fragments(ranges: DataFrame, paths: tuple[str, str]) -> DataFrame:
         aligner = _aligner(paths)
         for batch in batches:
             for r in batch.to_pylist():
-                aligner.trim()
                 yield _arrow([_fragment_row(r["mark"], r["place"],
                                             aligner.fragment(r["window"], r["base"], r["lo"], r["hi"]))])
 
