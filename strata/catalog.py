@@ -16,6 +16,7 @@ Entities used:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -345,6 +346,32 @@ def q_stream_event_edges(spark, sf_dir):
     return stream_trace_edges(spark, sf_dir, "user_id", ["ts", "event_id"], "event_type", glob="events.parquet")
 
 
+#: Files that the late stream is written to, and how many of them a row may come late.
+STREAM_FILES, STREAM_DELAY = 6, 2
+
+
+def q_stream_late_event_edges(spark, sf_dir):
+    """R6 out of order: the events arrive in six slices of time, every third row one slice late and
+    every seventh two, and each micro-batch reads one slice.  Late rows are linked again by keyed state."""
+    from .streaming.edges import stream_trace_edges
+
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/late-events-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
+                             F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    width = max(1, (last - first) // STREAM_FILES + 1) if first is not None else 1
+    lot = F.pmod(F.xxhash64("event_id"), F.lit(21))
+    late = F.when(lot % 7 == 0, 2).when(lot % 3 == 0, 1).otherwise(0)
+    at = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) / F.lit(width))
+    placed = events.withColumn("slice", F.least(F.coalesce(at, F.lit(0)) + late, F.lit(STREAM_FILES - 1)).cast("int"))
+    for k in range(STREAM_FILES):  # one write after the other: a file source reads files in the order of their times
+        placed.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/rows")
+    n_files = len(spark.read.parquet(f"{folder}/rows").inputFiles())
+    return stream_trace_edges(spark, f"{folder}/rows", "user_id", ["ts", "event_id"], "event_type", folder=f"{folder}/run",
+                              max_files_per_trigger=max(1, n_files // STREAM_FILES),
+                              lateness=f"{(STREAM_DELAY + 1) * width // 1_000_000 + 1} seconds")
+
+
 # --- documents on shelves: several stages, several merging steps --------------------------------
 
 # The radii of the growing schedules with step 0.15 up to 0.65, written out for the oracle.
@@ -491,6 +518,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k1_hybrid_parts": q_hybrid_parts,
     "c7_alternating_trade": q_alternating_trade,
     "r6_stream_event_edges": q_stream_event_edges,
+    "r6_stream_late_event_edges": q_stream_late_event_edges,
     "r5_index_shelves": q_index_shelves,
     "k1_hybrid_shelves": q_hybrid_shelves,
     "k2_static_shelves": q_static_shelves,
@@ -644,6 +672,7 @@ def oracle() -> dict[str, str]:
         "m2_pruned_customers": _round(
             f"SELECT * FROM ({Q.cousage_similarity(bought)}) WHERE {Q.dist('sim')} <= {Q.dbl(COUSAGE_REACH)}", "i, j", "sim"),
         "r6_stream_event_edges": Q.trace_edges("events", "user_id", ["ts", "event_id"], "event_type", cast=None),
+        "r6_stream_late_event_edges": Q.trace_edges("events", "user_id", ["ts", "event_id"], "event_type", cast=None),
     }
 
 

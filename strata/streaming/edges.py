@@ -11,7 +11,8 @@ Rows of ordered traces arrive in micro-batches.  Each batch is processed with
 4. the last row of every trace is written as the state after this epoch.
 
 Within a batch rows may come in any order; batches must bring a trace's rows in order to
-have them all linked.
+have them all linked.  Where they do not, give a ``lateness``: then the rows of a trace are keyed state, and
+late ones are linked again (:mod:`strata.streaming.relink`).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 from ..sources.derive import trace_edges
+from .relink import run_relinked
 
 
 def _state_of(spark: SparkSession, path: str, epoch: int, schema) -> DataFrame:
@@ -80,6 +82,7 @@ def stream_trace_edges(
     max_files_per_trigger: int | None = None,
     glob: str | None = None,
     folder: str | None = None,
+    lateness: str | None = None,
 ) -> DataFrame:
     """Run a stream over the parquet files of folder ``path`` (optionally only those
     matching ``glob``) to completion and return the accumulated ``(src, dst, w)`` edges.
@@ -87,6 +90,9 @@ def stream_trace_edges(
     ``folder`` (shared storage) keeps the stream's progress, state and counts: a later call with
     the same folder goes on with the files that are new.  Without it the run starts afresh in a new
     folder of ``spark.checkpoint.dir``.
+
+    ``lateness`` (an interval) says how much older than the newest row seen a row may be: rows within it are
+    linked as if they had come in order.  Without it rows behind their trace's last one are set aside.
     """
     if folder is None:
         shared = checkpoint_dir(spark)
@@ -102,6 +108,8 @@ def stream_trace_edges(
     reader = reader.schema(batch_reader.parquet(path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if lateness is not None:
+        return accumulated_edges(spark, run_relinked(spark, reader.load(path), trace, order, atom, lateness, base))
     handle, edges_dir = make_batch_handler(spark, trace, order, atom, base)
     q = (
         reader.load(path)
@@ -115,5 +123,5 @@ def stream_trace_edges(
 
 
 def accumulated_edges(spark: SparkSession, edges_dir: str) -> DataFrame:
-    """Running total of the per-batch counts (one partition per epoch)."""
-    return spark.read.parquet(edges_dir).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    """Running total of the per-batch counts (one partition per epoch); edges taken back are gone."""
+    return spark.read.parquet(edges_dir).groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w != 0")
