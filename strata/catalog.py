@@ -53,6 +53,7 @@ LADDER_RADII = [1e-10, 0.0500000001, 0.1000000001]
 MIN_SAMPLES = 2
 SCRATCH_EPS, SCRATCH_MIN_SAMPLES = 0.3, 3
 COUSAGE_REACH = 0.95
+MIXED_WEIGHTS, MIXED_REACH = [-0.6, 1.6], 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -458,6 +459,15 @@ def q_combined_values_shelves(spark, sf_dir):
     return combine_similarities([call_similarity(inputs["structural"][0]), cos], [0.3, 0.7]).select("i", "j", _r("sim"))
 
 
+def q_combined_mixed_signs_shelves(spark, sf_dir):
+    """M5 with a negative weight, through the pruned path: shelves of alike words that trade little."""
+    atoms, inputs = shelf_inputs(spark, sf_dir)
+    a = CombinedAnalysis([CallAnalysis(*inputs["structural"]), TermAnalysis(*inputs["semantic"])], MIXED_WEIGHTS)
+    a.bind(atoms)
+    a.seed(atoms.select("idx", F.col("idx").alias("cid")))
+    return a.similarity(MIXED_REACH).select("i", "j", _r("sim"))
+
+
 def q_dbscan_border_docs(spark, sf_dir):
     """With four samples some documents border a cluster without being core."""
     ensure_checkpoint_dir(spark)
@@ -529,6 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a9_blocks_shelves": q_partition_blocks_shelves,
     "w5_blocks_shelves": q_layer_blocks_shelves,
     "m5_values_shelves": q_combined_values_shelves,
+    "m5_mixed_signs_shelves": q_combined_mixed_signs_shelves,
     "j8_border_docs": q_dbscan_border_docs,
     "j7_projection_some_brands": q_projection_some_brands,
     "m2_pruned_customers": q_pruned_cousage_customers,
@@ -661,6 +672,11 @@ def oracle() -> dict[str, str]:
             f"SELECT 'layer_' || CAST(layer AS VARCHAR) AS name, layer, idx // 50 AS block, "
             f"string_agg(CAST(cid AS VARCHAR), ',' ORDER BY idx) AS clusters "
             f"FROM ({Q.all_layers(static, len(static_plan))}) GROUP BY layer, idx // 50"),
+        "m5_mixed_signs_shelves": _round(
+            "SELECT * FROM (" + Q.combined(
+                [Q.call_similarity(Q.SHELF_BY_LANG),
+                 Q.cosine_similarity(f"SELECT idx AS node, term, x FROM ({Q.SHELF_TFIDF})")], MIXED_WEIGHTS)
+            + f") WHERE {Q.dist('sim')} <= {MIXED_REACH}", "i, j", "sim"),
         "m5_values_shelves": _round(Q.combined(
             [Q.call_similarity(Q.SHELF_BY_LANG),
              Q.cosine_similarity(f"SELECT idx AS node, term, x FROM ({Q.SHELF_TFIDF})")], [0.3, 0.7]), "i, j", "sim"),

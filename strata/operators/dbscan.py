@@ -2,7 +2,7 @@
 
 Semantics (those of DBSCAN with ``metric="precomputed"`` on ``1 - sim``):
 
-* ``j`` is a neighbour of ``i`` when ``dist(i, j) <= eps``.  A point is its own
+* ``j`` is a neighbour of ``i`` when ``dist(i, j) <= eps``, both rounded alike (:func:`within`).  A point is its own
   neighbour only when its *own* distance ``1 - sim(i, i)`` qualifies
   (``self_neighbor="distance"``, the default); ``"always"`` counts every point;
 * core points have at least ``min_samples`` neighbours;
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import distance
+from ..functions.similarity import within
 from ..session import cut
 from .components import connected_components
 
@@ -48,7 +48,7 @@ def neighbours(sim: DataFrame, eps: float, self_neighbor: str = "distance", node
     """``(i, j)`` pairs within ``eps`` (both orientations, self rows as the mode says)."""
     if self_neighbor not in SELF_NEIGHBOR_MODES:
         raise ValueError(f"self_neighbor must be one of {SELF_NEIGHBOR_MODES}")
-    nb = sim.where(distance(F.col("sim")) <= F.lit(float(eps))).select("i", "j")
+    nb = sim.where(within(F.col("sim"), eps)).select("i", "j")
     if self_neighbor == "always":
         if nodes is None:
             raise ValueError("self_neighbor='always' needs the node table")

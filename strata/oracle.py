@@ -133,7 +133,7 @@ def dbscan_ctes(prefix: str, sim: str, nodes: str, eps: float, min_samples: int)
     component; a border point takes the lowest adjacent label) -- text to put after WITH."""
     p = prefix
     return f"""
-    {p}_nb AS (SELECT i, j FROM ({sim}) WHERE {dist('sim')} <= {dbl(eps)}),
+    {p}_nb AS (SELECT i, j FROM ({sim}) WHERE {dist('sim')} <= round({dbl(eps)}, 12)),
     {p}_core AS (SELECT i AS node FROM {p}_nb GROUP BY i HAVING count(*) >= {int(min_samples)}),
     {p}_ce AS (SELECT n.i, n.j FROM {p}_nb n JOIN {p}_core a ON a.node = n.i JOIN {p}_core b ON b.node = n.j WHERE n.i <> n.j),
     {p}_cc AS (

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.groups import duplicate_groups, expand_pairs, representatives
 from ..functions.prefix import FLOOR_SLACK, cosine_at_least, cosine_for_pairs
-from ..functions.similarity import _mirror, combine_similarities, cosine_similarity, edge_similarity, within
+from ..functions.similarity import (
+    DISTANCE_DECIMALS, _mirror, combine_similarities, cosine_similarity, edge_similarity, within)
 from ..operators.contract import contract_edges, contract_edges_by_moves, contract_vectors_by_moves
 from ..session import cut
 
@@ -93,7 +94,7 @@ class Analysis:
 
     def cliques_at(self, eps: float) -> DataFrame | None:
         """Clique groups valid at radius ``eps`` for the similarity asked for last, or None."""
-        if self._cliques is not None and eps >= self._clique_eps:
+        if self._cliques is not None and round(eps, DISTANCE_DECIMALS) >= self._clique_eps:
             return self._cliques
         return None
 
@@ -306,28 +307,37 @@ class CombinedAnalysis(Analysis):
 
         Edge children are computed in full (sparse by nature).  A pair outside
         every edge child's support can only reach the radius through the term
-        children, so it needs ``cos >= (1 - reach) / W_T`` in one of them (``W_T`` =
-        total weight of term children): those candidates come from the prefix
+        children of positive weight (cosines of non-negative vectors do not fall below 0), so it
+        needs ``cos >= (1 - reach) / W_P`` in one of them (``W_P`` = total of the positive
+        term weights): those candidates come from the prefix
         filter.  Every candidate pair then gets the exact cosine of every term
         child, so the combination is exact for all pairs within the radius.
+        Weights may have any sign as long as they sum to 1.
         """
         weights = self.weights or [1.0 / len(self.children)] * len(self.children)
         terms = [(c, w) for c, w in zip(self.children, weights) if isinstance(c, TermAnalysis)]
+        raising = [(c, w) for c, w in terms if w > 0]
         w_t = sum(w for _, w in terms)
-        if reach >= 1.0 or not terms or w_t <= 0:
+        signed = any(w < 0 and c.vectors.where(F.col("x") < 0).limit(1).count() for c, w in terms)
+        if reach >= 1.0 or not terms or signed:
             sims = [c._cosine(c.vectors, 1.0) if isinstance(c, TermAnalysis) else c._compute_similarity(1.0)
                     for c in self.children]
-            return _within(combine_similarities(sims, self.weights), reach)
+            return _within(combine_similarities(sims, weights), reach)
         edge_sims = {id(c): cut(c._compute_similarity(1.0)) for c in self.children if not isinstance(c, TermAnalysis)}
         half = lambda df: df.where(F.col("i") <= F.col("j")).select("i", "j")
         cands = [half(s) for s in edge_sims.values()]
         # cosines are at most 1 but for rounding: a floor of 1 is still reached by equal directions
-        tau_t = (1.0 - reach) / w_t
+        tau_t = (1.0 - reach) / sum(w for _, w in raising) if raising else float("inf")
         reachable, tau_t = tau_t <= 1.0 + FLOOR_SLACK, min(tau_t, 1.0)
-        groups = terms[0][0].duplicate_groups() if len(terms) == 1 and self.collapse_duplicates else None
+        # a negative edge weight may push pairs of a duplicate group out of a radius that others of it are
+        # in: then the group is neither a clique nor without unlisted pairs, unless the radius is too small for either
+        lowering = any(w < 0 for c, w in zip(self.children, weights) if not isinstance(c, TermAnalysis))
+        collapse = self.collapse_duplicates and len(terms) == 1 and raising and not (
+            lowering and round(reach, DISTANCE_DECIMALS) >= round(1.0 - w_t, DISTANCE_DECIMALS))
+        groups = terms[0][0].duplicate_groups() if collapse else None
         if groups is None:
             if reachable:
-                cands += [half(cosine_at_least(c.vectors, tau_t, salt_threshold=c.salt_threshold)) for c, _ in terms]
+                cands += [half(cosine_at_least(c.vectors, tau_t, salt_threshold=c.salt_threshold)) for c, _ in raising]
         else:
             # Inside a duplicate group every pair has combined similarity >= W_T, so
             # from radius 1 - W_T on the group is a clique and needs no pairs; below
@@ -341,7 +351,9 @@ class CombinedAnalysis(Analysis):
             single = groups.where(F.col("m") == 1).select(F.col("node").alias("i"), F.col("node").alias("j"))
             cands.append(single)
             self._cliques = groups.where(F.col("m") >= 2)
-            self._clique_eps = float(round(1.0 - w_t, 12))
+            self._clique_eps = float(round(1.0 - w_t, DISTANCE_DECIMALS))
+        if not cands:
+            return combine_similarities([c._cosine(c.vectors, 1.0).limit(0) for c in self.children], weights)
         pairs = cands[0]
         for c in cands[1:]:
             pairs = pairs.unionByName(c)

@@ -1,10 +1,13 @@
 """One radius test everywhere: pairs on the radius, reused analyses, user clusterers, pruned co-usage."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strata.functions.similarity import cousage_similarity, within
+from strata.operators.dbscan import neighbour_counts_cliques, neighbours
 from strata.plans.analyses import Analysis, CallAnalysis, CombinedAnalysis, TermAnalysis
 from strata.plans.decompose import cluster, cluster_from_scratch
 from strata.plans.pipeline import decompose
@@ -82,6 +85,42 @@ def test_combined_pairs_on_the_radius(spark):
     assert groups(got) == [[0, 1], [2]]
 
 
+def test_every_pair_on_the_radius_is_a_neighbour(spark):
+    """eps = 1 - s in floats may lie a little below the rounded distance of s."""
+    tested = [k / 100 for k in range(1, 100)]
+    sim = spark.createDataFrame([(k, k, s) for k, s in enumerate(tested)], "i long, j long, sim double")
+    for k in range(0, len(tested), 9):
+        found = {r.i for r in neighbours(sim, 1 - tested[k]).collect()}
+        assert found == set(range(k, len(tested))), tested[k]
+
+
+@pytest.mark.parametrize("weights", [[0.8, -0.8, 1.0], [0.5, 1.5, -1.0], [-0.5, 0.5, 1.0], [2.0, 0.5, -1.5]])
+@pytest.mark.parametrize("eps", [0.3, 0.85])
+def test_weights_of_both_signs(spark, weights, eps):
+    """Neighbour counts of two edge children and a term child with duplicates equal the dense combination."""
+    r = random.Random(repr(weights))
+    n, sup = 14, spark.range(14).withColumnRenamed("id", "idx")
+    edges = [[(r.randrange(n), r.randrange(n), float(r.randrange(1, 5))) for _ in range(20)] for _ in range(2)]
+    words = [[("a", 1.0), ("b", 2.0)]] * 4 + [[(r.choice("abcd"), float(r.randrange(1, 4))), ("e", 1.0)] for _ in range(n - 4)]
+    vectors = [(i, t, x) for i, own in enumerate(words) for t, x in dict(own).items()]
+    frames = [spark.createDataFrame(e, "src long, dst long, w double") for e in edges]
+    kids = [CallAnalysis(f, sup) for f in frames] + [
+        TermAnalysis(spark.createDataFrame(vectors, "idx long, term string, x double"), sup)]
+    a = CombinedAnalysis(kids, weights)
+    a.bind(sup)
+    a.seed(sup.select("idx", F.col("idx").alias("cid")))
+    got = {r.node: r.n_neighbours for r in neighbour_counts_cliques(a.similarity(eps), eps, a.cliques_at(eps)).collect()}
+    full = {}
+    for k, w in zip(kids, weights):
+        for row in k.full_similarity().collect():
+            full[row.i, row.j] = full.get((row.i, row.j), 0.0) + w * row.sim
+    want = {}
+    for (i, j), s in full.items():
+        if round(max(0.0, 1.0 - min(s, 1.0)), 12) <= round(eps, 12):
+            want[i] = want.get(i, 0) + 1
+    assert got == want
+
+
 def test_an_analysis_may_serve_several_stages(spark):
     rows = [(0, 1, 0.5), (2, 3, 0.95)] + [(i, i, 1.0) for i in range(4)]
     a = Given(rows)
