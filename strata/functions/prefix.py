@@ -53,9 +53,13 @@ def split_prefix(u: DataFrame, floor: float) -> DataFrame:
     return ranked.select("node", "term", "u", (bound >= F.lit(floor)).alias("pre"), rest.alias("r"))
 
 
-def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None = None) -> DataFrame:
+def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None = None,
+                    changed: DataFrame | None = None) -> DataFrame:
     """Symmetric ``(i, j, sim)`` of all pairs with ``cos >= tau`` (diagonal included).
 
+    ``changed(node)`` restricts the result to pairs with at least one of these nodes; the candidate join
+    then starts from their prefixes alone.
+
     ``vectors(node, term, x)`` should be materialised: it is read several times.
     Candidates sharing a prefix term are further filtered by the suffix-norm
     bound at their first shared term (``max r_i * r_j >= tau``: the dot product
@@ -64,12 +68,15 @@ def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None =
     prefix-prefix part from the join, or expanding the shorter whole vector.
     """
     floor = tau - FLOOR_SLACK
-    if floor <= 0:
-        return cosine_similarity(vectors, salt_threshold=salt_threshold)
-    if vectors.where(F.col("x") < 0).limit(1).count() > 0:
-        return cosine_similarity(vectors, salt_threshold=salt_threshold).where(F.col("sim") >= floor)
+    if floor <= 0 or vectors.where(F.col("x") < 0).limit(1).count() > 0:
+        full = cosine_similarity(vectors, salt_threshold=salt_threshold)
+        full = full if floor <= 0 else full.where(F.col("sim") >= floor)
+        return full if changed is None else touching(full, changed)
     parts = cut(split_prefix(normalise(vectors), floor))
     pre = parts.where("pre").select(F.col("term").alias("k"), "node", F.col("u").alias("v"), "r")
+    if changed is not None:
+        mark = changed.select("node").distinct().withColumn("c", F.lit(True))
+        pre = pre.join(mark, "node", "left").withColumn("c", F.coalesce("c", F.lit(False)))
     suf = parts.where(~F.col("pre")).select("node", "term", "u")
     sizes = parts.groupBy("node").agg(
         F.count(F.lit(1)).alias("len"), F.sum((~F.col("pre")).cast("int")).alias("ns")
@@ -109,6 +116,15 @@ def cosine_at_least(vectors: DataFrame, tau: float, salt_threshold: int | None =
     return _mirror(total)
 
 
+def touching(sim: DataFrame, nodes: DataFrame, inverse: bool = False) -> DataFrame:
+    """The pairs with an end in ``nodes(node)``, or those without."""
+    ends = nodes.select("node").distinct().withColumn("_in", F.lit(True))
+    tagged = sim.join(ends.withColumnRenamed("node", "i").withColumnRenamed("_in", "_i"), "i", "left").join(
+        ends.withColumnRenamed("node", "j").withColumnRenamed("_in", "_j"), "j", "left")
+    hit = F.coalesce("_i", "_j", F.lit(False))
+    return tagged.where(~hit if inverse else hit).select("i", "j", "sim")
+
+
 def cosine_for_pairs(vectors: DataFrame, pairs: DataFrame, normalised: bool = False) -> DataFrame:
     """Exact cosine of the given pairs ``(i, j)`` with ``i <= j``: each pair is expanded
     with the terms of its shorter vector and looked up in the other.  Returns the

@@ -44,26 +44,29 @@ def pairs_sharing_key(
     combine: Callable[[Column, Column], Column],
     salt_threshold: int | None = None,
 ) -> DataFrame:
-    """Half matrix ``(i, j, s)`` with ``i <= j`` over rows ``(k, node, v[, r])``.
+    """Half matrix ``(i, j, s)`` with ``i <= j`` over rows ``(k, node, v[, r][, c])``.
 
     With an ``r`` column the result also carries ``ub = max(r_i * r_j)`` over the
-    shared keys (used as an upper bound by the prefix-filtered cosine join).
+    shared keys (used as an upper bound by the prefix-filtered cosine join).  With a boolean ``c``
+    column only pairs with a node of ``c`` are made: one side of the join holds those rows alone.
     """
     threshold = DEFAULT_SALT_THRESHOLD if salt_threshold is None else salt_threshold
-    has_r = "r" in rows.columns
+    has_r, has_c = "r" in rows.columns, "c" in rows.columns
     ra = [F.col("r").alias("ra")] if has_r else []
     rb = [F.col("r").alias("rb")] if has_r else []
+    cb = [F.col("c").alias("cb")] if has_c else []
+    chosen = (lambda df: df.where("c")) if has_c else (lambda df: df)
     hot = hot_keys(rows, "k", threshold)
     if hot.limit(1).count() == 0:
         hot.unpersist()
-        a = rows.select("k", F.col("node").alias("i"), F.col("v").alias("va"), *ra)
-        b = rows.select("k", F.col("node").alias("j"), F.col("v").alias("vb"), *rb)
+        a = chosen(rows).select("k", F.col("node").alias("i"), F.col("v").alias("va"), *ra)
+        b = rows.select("k", F.col("node").alias("j"), F.col("v").alias("vb"), *rb, *cb)
         joined = a.join(b, "k")
     else:
         tagged = join_bounded(rows, hot, "k", "left").withColumn(
             "nsalt", F.coalesce(F.col("nsalt"), F.lit(1))
         )
-        a = tagged.select(
+        a = chosen(tagged).select(
             "k",
             F.pmod(F.xxhash64("node"), F.col("nsalt")).cast("int").alias("salt"),
             F.col("node").alias("i"),
@@ -76,9 +79,13 @@ def pairs_sharing_key(
             F.col("node").alias("j"),
             F.col("v").alias("vb"),
             *rb,
+            *cb,
         )
         joined = a.join(b, ["k", "salt"])
     aggs = [F.sum(combine(F.col("va"), F.col("vb"))).alias("s")]
     if has_r:
         aggs.append(F.max(F.col("ra") * F.col("rb")).alias("ub"))
+    if has_c:  # a pair of two chosen nodes comes in both orientations, any other in one
+        half = joined.where(~F.col("cb") | (F.col("i") <= F.col("j")))
+        return half.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(*aggs)
     return joined.where(F.col("i") <= F.col("j")).groupBy("i", "j").agg(*aggs)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import duplicate_groups, expand_pairs, representatives
-from ..functions.prefix import FLOOR_SLACK, cosine_at_least, cosine_for_pairs
+from ..functions.prefix import FLOOR_SLACK, cosine_at_least, cosine_for_pairs, touching
 from ..functions.similarity import (
     DISTANCE_DECIMALS, _mirror, combine_similarities, cosine_similarity, edge_similarity, within)
 from ..operators.contract import contract_edges, contract_edges_by_moves, contract_vectors_by_moves
@@ -204,6 +204,30 @@ class TermAnalysis(Analysis):
         self.salt_threshold = salt_threshold
         self.vectors: DataFrame | None = None
         self.counts: DataFrame | None = None
+        # what a merge left of the last similarity: pairs of unmoved nodes, its reach, the merged nodes
+        self._carried: tuple[DataFrame, float, DataFrame] | None = None
+
+    def seed(self, assign: DataFrame) -> None:
+        super().seed(assign)
+        self._carried = None
+
+    def apply_moves(self, moves: DataFrame) -> None:
+        """As for any analysis; pairs of nodes that neither moved nor took members in stay valid.
+
+        Only a table that lists all its pairs can be carried on, not one with clique groups.
+        """
+        sim, reach, before = self._sim, self._sim_reach, self._carried
+        complete = sim is not None and self._cliques is None and reach < 1.0
+        super().apply_moves(moves)
+        if not complete and (sim is not None or before is None):
+            self._carried = None
+            return
+        kept, reach, merged = (sim, reach, None) if sim is not None else before
+        new = moves.select(F.col("new").alias("node"))
+        gone = moves.select("node")
+        if merged is not None:
+            new = new.unionByName(merged.join(gone, "node", "left_anti"))
+        self._carried = (cut(touching(kept, gone.unionByName(new), inverse=True)), reach, cut(new.distinct()))
 
     def bind(self, atoms: DataFrame) -> None:
         sup = self.raw_support if self.raw_support is not None else _support_from(self.raw_vectors, ["idx"])
@@ -247,6 +271,12 @@ class TermAnalysis(Analysis):
         return groups
 
     def _compute_similarity(self, reach: float) -> DataFrame:
+        if self._carried is not None and self._carried[1] >= reach and self.collapse_duplicates:
+            # after a merge: only the merged nodes are joined, against all
+            kept, width, merged = self._carried
+            self._carried = None
+            fresh = cosine_at_least(self.vectors, 1.0 - width, salt_threshold=self.salt_threshold, changed=merged)
+            return _within(kept.unionByName(fresh), reach)
         groups = self.duplicate_groups()
         if groups is None:
             return self._cosine(self.vectors, reach)

@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dense_model import Dense, call_sim, cosine_sim, cousage_sim, dbscan, DEFAULT_HYBRID_PLAN, run
 from strata.functions.prefix import cosine_at_least
 from strata.functions.similarity import call_similarity, cosine_similarity, cousage_similarity
 from strata.operators.components import connected_components
 from strata.operators.dbscan import dbscan_labels
+from strata.plans import analyses
 from strata.plans.analyses import CallAnalysis, CombinedAnalysis, TermAnalysis
 from strata.plans.decompose import cluster
 
@@ -165,3 +167,41 @@ def test_hybrid_ladder_equals_dense(spark):
     assert len(got) == len(want) == 27
     for k, w in enumerate(want):
         assert list(got[k]) == list(w), k
+
+
+@pytest.mark.parametrize("salt", [None, 3])
+def test_similarity_after_a_merge_is_carried_on(spark, monkeypatch, salt):
+    """Two merges in a row, then the table equals the one computed anew, from joins of the merged nodes alone."""
+    r = np.random.default_rng(8)
+    rows = [(i, f"t{t}", float(r.integers(1, 9))) for i in range(40) for t in r.choice(12, 5, replace=False)]
+    vectors = spark.createDataFrame(rows, "idx long, term string, x double")
+    atoms = spark.range(40).select(F.col("id").alias("idx"))
+    reach, asked = 0.6, []
+    real = analyses.cosine_at_least
+    monkeypatch.setattr(analyses, "cosine_at_least", lambda *a, **k: asked.append(k.get("changed")) or real(*a, **k))
+
+    def state(moves, read):
+        a = TermAnalysis(vectors, salt_threshold=salt)
+        a.bind(atoms)
+        a.seed(atoms.select("idx", F.col("idx").alias("cid")))
+        for m in moves:
+            if read:
+                a.similarity(reach)
+            a.apply_moves(spark.createDataFrame(m, "node long, new long"))
+        return {(x.i, x.j): round(x.sim, 9) for x in a.similarity(reach).collect()}
+
+    steps = [[(5, 1), (9, 1), (20, 3)], [(3, 1), (30, 12), (39, 38)]]
+    got = state(steps, True)
+    assert [c is None for c in asked] == [True, False, False]
+    assert {r.node for r in asked[1].collect()} == {1, 3}
+    asked.clear()
+    assert got == state(steps, False) and asked == [None]
+    # merges without a reading in between: what was carried is carried on
+    a = TermAnalysis(vectors, salt_threshold=salt)
+    a.bind(atoms)
+    a.seed(atoms.select("idx", F.col("idx").alias("cid")))
+    a.similarity(reach)
+    for m in steps:
+        a.apply_moves(spark.createDataFrame(m, "node long, new long"))
+    assert got == {(x.i, x.j): round(x.sim, 9) for x in a.similarity(reach).collect()}
+    assert {r.node for r in asked[-1].collect()} == {1, 12, 38}
