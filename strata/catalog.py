@@ -28,7 +28,7 @@ from .functions.similarity import (
     call_similarity, combine_similarities, cosine_similarity, cousage_similarity, incoming)
 from .operators.contract import aggregate_vectors, contract_edges
 from .operators.dbscan import dbscan_labels, neighbour_counts, neighbour_counts_cliques, neighbours
-from .operators.outliers import tag_outliers
+from .operators.outliers import tag_outlier_intervals, tag_outliers
 from .plans.analyses import CallAnalysis, CombinedAnalysis, TermAnalysis
 from .operators.project import project
 from .plans.decompose import cluster, cluster_from_scratch, cluster_step
@@ -301,6 +301,14 @@ def q_ladder_docs(spark, sf_dir):
     return _doc_ladder(spark, sf_dir).layers()
 
 
+def q_layer_intervals_docs(spark, sf_dir):
+    return _doc_ladder(spark, sf_dir).intervals()
+
+
+def q_outlier_intervals_docs(spark, sf_dir):
+    return tag_outlier_intervals(_doc_ladder(spark, sf_dir).intervals(), MIN_SAMPLES)
+
+
 def q_outliers_ladder_docs(spark, sf_dir):
     return tag_outliers(_doc_ladder(spark, sf_dir).layers(), MIN_SAMPLES)
 
@@ -524,6 +532,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m5_combined_parts_weighted": q_combined_parts_weighted,
     "c9_ladder_docs": q_ladder_docs,
     "c11_outliers_ladder_docs": q_outliers_ladder_docs,
+    "c10_layer_intervals_docs": q_layer_intervals_docs,
+    "c11_outlier_intervals_docs": q_outlier_intervals_docs,
     "a9_partitions_docs": q_partitions_docs,
     "k1_hybrid_parts": q_hybrid_parts,
     "c7_alternating_trade": q_alternating_trade,
@@ -643,6 +653,14 @@ def oracle() -> dict[str, str]:
             f"WHERE {Q.dist('sim')} <= {Q.dbl(1.0 - PART_COMBINED_FLOOR)} GROUP BY i"
         ),
         "c9_ladder_docs": ladder,
+        "c10_layer_intervals_docs": (
+            f"SELECT idx, cid, min(layer) AS first_layer, max(layer) AS last_layer FROM ({ladder}) GROUP BY idx, cid"
+        ),
+        "c11_outlier_intervals_docs": (
+            f"WITH l AS ({ladder}), t AS (SELECT layer, idx, cid, count(*) OVER (PARTITION BY layer, cid) < {MIN_SAMPLES} "
+            f"AS small FROM l) SELECT idx, CASE WHEN small THEN CAST(-1 AS BIGINT) ELSE cid END AS cid, "
+            f"min(layer) AS first_layer, max(layer) AS last_layer FROM t GROUP BY idx, t.cid, small"
+        ),
         "c11_outliers_ladder_docs": (
             f"WITH l AS ({ladder}) SELECT layer, idx, CASE WHEN count(*) OVER (PARTITION BY layer, cid) < {MIN_SAMPLES} "
             f"THEN CAST(-1 AS BIGINT) ELSE cid END AS cid FROM l"

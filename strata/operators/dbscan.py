@@ -22,10 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import within
+from ..functions.similarity import DISTANCE_DECIMALS, distance, within
 from ..session import cut
 from .components import connected_components
 
@@ -94,6 +94,68 @@ def neighbour_stats(nb: DataFrame, min_samples: int) -> DataFrame:
     )
 
 
+def merge_radius(
+    sim: DataFrame,
+    min_samples: int,
+    self_neighbor: str = "distance",
+    cliques: DataFrame | None = None,
+    clique_eps: float = 0.0,
+) -> float:
+    """The smallest radius at which :func:`dbscan` puts two nodes into one cluster (infinite if no listed pair does).
+
+    A node merges with another from the radius on at which it is core and has a neighbour other than itself:
+    the larger of its ``min_samples``-th smallest distance and its smallest one to another node.  The
+    answer is the least of these, one aggregate over the table; every smaller radius needs no job.
+    Only the first few rows of a node count, so a partial limit per node comes before the shuffle.
+
+    ``cliques(node, g, m)`` are complete neighbourhoods from radius ``clique_eps`` on: there a member has ``m``
+    neighbours at once and its listed pairs inside the group don't count; below they do.  Neighbourhoods
+    only grow with the radius, so the first radius of either kind is the first of all.
+    """
+    if self_neighbor not in SELF_NEIGHBOR_MODES:
+        raise ValueError(f"self_neighbor must be one of {SELF_NEIGHBOR_MODES}")
+    k = max(1, int(min_samples))
+    rows = sim.select("i", "j", distance(F.col("sim")).alias("d"))
+    always = self_neighbor == "always"
+    if always:  # every node is its own neighbour at distance 0: one fewer to find
+        rows = rows.where("i != j")
+
+    def least(rows: DataFrame, groups: DataFrame | None) -> float:
+        first = Window.partitionBy("i").orderBy("d")
+        few = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max(k, 2))
+        size = F.lit(0)
+        if groups is not None:
+            few = few.join(groups.select(F.col("node").alias("i"), "m"), "i", "full")
+            size = F.coalesce("m", F.lit(0))
+        # the group counts the node itself
+        need = F.lit(k) - (F.when(size > 0, size).otherwise(1) if always else size)
+        node = few.groupBy("i").agg(
+            F.max(need).alias("need"), F.max(size).alias("m"),
+            F.min(F.when(F.col("nth") >= need, F.col("d"))).alias("core"),
+            F.min(F.when(F.col("i") != F.col("j"), F.col("d"))).alias("other"))
+        core = F.when(F.col("need") <= 0, F.lit(0.0)).otherwise(F.col("core"))
+        other = F.when(F.col("m") >= 2, F.lit(0.0)).otherwise(F.col("other"))
+        from_ = F.when(core.isNotNull() & other.isNotNull(), F.greatest(core, other))
+        found = node.agg(F.min(from_)).first()[0]
+        return float("inf") if found is None else float(found)
+
+    if cliques is None:
+        return least(rows, None)
+    clique_eps = round(clique_eps, DISTANCE_DECIMALS)
+    if clique_eps > 0:
+        listed = least(rows, None)
+        if listed < clique_eps:
+            return listed
+    groups = cliques.where(F.col("m") >= 2).select("node", "g", "m")
+    across = (
+        rows.join(groups.select(F.col("node").alias("i"), F.col("g").alias("gi")), "i", "left")
+        .join(groups.select(F.col("node").alias("j"), F.col("g").alias("gj")), "j", "left")
+        .where(F.col("gi").isNull() | F.col("gj").isNull() | (F.col("gi") != F.col("gj")))
+        .select("i", "j", "d")
+    )
+    return max(least(across, groups), clique_eps)
+
+
 def dbscan(
     sim: DataFrame,
     nodes: DataFrame,
@@ -101,6 +163,7 @@ def dbscan(
     min_samples: int,
     self_neighbor: str = "distance",
     cliques: DataFrame | None = None,
+    merges: bool = False,
 ) -> DbscanResult:
     """Cluster the ``nodes`` table ``(node)`` given ``sim(i, j, sim)``.
 
@@ -113,7 +176,8 @@ def dbscan(
 
     Returns labels of clustered nodes only; a node absent from the result is noise.
     One job decides whether any core point has a neighbour other than itself;
-    when none has, every cluster is a single point and nothing else runs.
+    when none has, every cluster is a single point and nothing else runs.  ``merges`` says that one
+    is known to have (:func:`merge_radius`), which saves that job.
     """
     min_samples = int(min_samples)
     if eps >= 1.0:
@@ -148,7 +212,7 @@ def dbscan(
     else:
         stats = neighbour_stats(nb, min_samples)
     core = stats.where("core").select("node")
-    if stats.where(F.col("core") & (F.col("has_other") == 1)).limit(1).count() == 0:
+    if not merges and stats.where(F.col("core") & (F.col("has_other") == 1)).limit(1).count() == 0:
         # only isolated cores (if any): every cluster is a single node
         labels = core.select("node", F.col("node").alias("label"), F.lit(True).alias("core"))
         return DbscanResult(labels, -1, trivial=True)

@@ -23,6 +23,7 @@ from ..functions.groups import duplicate_groups, expand_pairs, representatives
 from ..functions.prefix import FLOOR_SLACK, cosine_at_least, cosine_for_pairs, touching
 from ..functions.similarity import (
     DISTANCE_DECIMALS, _mirror, combine_similarities, cosine_similarity, edge_similarity, within)
+from ..operators.dbscan import merge_radius
 from ..operators.contract import contract_edges, contract_edges_by_moves, contract_vectors_by_moves
 from ..session import cut
 
@@ -42,6 +43,8 @@ class Analysis:
         # duplicate groups that are complete neighbourhoods from radius ``_clique_eps`` on
         self._cliques: DataFrame | None = None
         self._clique_eps: float = 0.0
+        # first merging radius of the cached similarity, by (min_samples, self_neighbor)
+        self._merge_radii: dict[tuple[int, str], float] = {}
         self.collapse_duplicates = True
 
     # -- protocol -------------------------------------------------------------
@@ -109,8 +112,20 @@ class Analysis:
             self._cliques = None
             self._sim = cut(self._compute_similarity(reach))
             self._sim_reach = reach
+            self._merge_radii = {}
         return self._sim
 
+    def next_merge(self, reach: float, min_samples: int, self_neighbor: str = "distance") -> float:
+        """The smallest radius up to ``reach`` (below 1) at which a step on this contraction merges nodes, else infinite.
+
+        Found once per similarity table, so the steps of a ladder below it run no job.
+        """
+        sim = self.similarity(reach)
+        kind = (int(min_samples), self_neighbor)
+        if kind not in self._merge_radii:
+            self._merge_radii[kind] = merge_radius(sim, min_samples, self_neighbor, self._cliques, self._clique_eps)
+        return self._merge_radii[kind]
+
     def full_similarity(self) -> DataFrame:
         """Every non-zero pair, members of duplicate groups included: what a user's clusterer gets."""
         collapse, self.collapse_duplicates = self.collapse_duplicates, False

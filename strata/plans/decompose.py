@@ -5,7 +5,8 @@ clusters moved, how many core points).  Per step:
 
 1. similarity of the stage's analysis at the current contraction -- reused from
    the cache while nothing merged since it was computed (rule 1);
-2. DBSCAN at the step's radius; no core point means no change (rule 3);
+2. the first radius at which this similarity merges anything (found once per table, by one aggregate): a step
+   below it changes nothing and runs no job (rule 3), any other one runs DBSCAN at its radius;
 3. ``moves(node, new)`` of the changed clusters, checkpointed;
 4. if anything moved: the assignment of all atoms is one left join on the
    moves, and every analysis re-contracts its *already contracted* state by the
@@ -22,11 +23,12 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import DISTANCE_DECIMALS
 from ..operators.dbscan import SELF_NEIGHBOR_MODES, dbscan, dbscan_labels
-from ..operators.outliers import tag_outliers
+from ..operators.outliers import tag_outlier_intervals, tag_outliers
 from ..operators.project import moves_from_labels, project
 from ..session import cut
 from . import schedule as sched
@@ -68,15 +70,21 @@ class Layers:
             out = out.unionByName(d)
         return out  # clusters as merged; outlier tags are a view of :meth:`layers` and :meth:`final`
 
+    def intervals(self) -> DataFrame:
+        """``(idx, cid, first_layer, last_layer)``: an atom's clusters with the layers they hold in, both ends included.
+
+        One row per atom and one per change, whatever the number of layers; :func:`layer_at` reads a layer back.
+        """
+        start = self.handles[0].select(F.lit(0).alias("layer"), "idx", "cid")
+        turn = Window.partitionBy("idx").orderBy("layer")
+        last = F.coalesce(F.lead("layer").over(turn) - 1, F.lit(self.n_layers - 1))
+        out = start.unionByName(self.changes()).select(
+            "idx", "cid", F.col("layer").alias("first_layer"), last.alias("last_layer"))
+        return tag_outlier_intervals(out, self.min_samples) if self.include_outliers else out
+
     def layers(self) -> DataFrame:
-        """``(layer INT, idx BIGINT, cid BIGINT)`` for every layer (layer 0 = singletons)."""
-        out = None
-        for k, h in enumerate(self.handles):
-            part = h.select(F.lit(k).alias("layer"), "idx", "cid")
-            out = part if out is None else out.unionByName(part)
-        if self.include_outliers:
-            out = tag_outliers(out, self.min_samples)
-        return out
+        """``(layer INT, idx BIGINT, cid BIGINT)`` for every layer (layer 0 = singletons): the intervals spelt out."""
+        return self.intervals().select(F.explode(F.sequence("first_layer", "last_layer")).alias("layer"), "idx", "cid")
 
     def final(self) -> DataFrame:
         """``(idx, cid)`` of the last layer (outliers tagged if requested)."""
@@ -94,6 +102,11 @@ class Layers:
         return sum(1 for s in self.steps if s.n_moved > 0)
 
 
+def layer_at(intervals: DataFrame, layer: int) -> DataFrame:
+    """``(idx, cid)`` of one layer of the interval form: a range test per row."""
+    return intervals.where((F.col("first_layer") <= int(layer)) & (F.col("last_layer") >= int(layer))).select("idx", "cid")
+
+
 def cluster_step(
     analysis: Analysis,
     assign: DataFrame,
@@ -115,10 +128,11 @@ def cluster_step(
         lab = lab.where(F.col("label").isNotNull() & (F.col("label") != -1)).select("node", "label")
         moves = cut(moves_from_labels(lab))
         return moves, moves.count()
-    sim = analysis.similarity(max(eps, eps if reach is None else reach))
-    res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor, analysis.cliques_at(eps))
-    if res.trivial:
+    reach = max(eps, eps if reach is None else reach)
+    sim = analysis.similarity(reach)
+    if eps < 1.0 and analysis.next_merge(reach, min_samples, self_neighbor) > round(eps, DISTANCE_DECIMALS):
         return assign.sparkSession.createDataFrame([], "node bigint, new bigint"), 0
+    res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor, analysis.cliques_at(eps), merges=True)
     moves = cut(moves_from_labels(res.labels.select("node", "label")))
     return moves, moves.count()
 

@@ -26,7 +26,7 @@ CUT_SAMPLE = 32
 
 
 def _cuts(base: DataFrame, trace: str, order: list[str], threshold: int) -> DataFrame:
-    """``(trace, cuts)`` of every trace longer than ``threshold``: ascending order keys that cut it into pieces.
+    """``(trace, cuts, strides)`` of every trace longer than ``threshold``: ascending order keys that cut it into pieces.
 
     The keys are real rows' keys, the whole order as a struct, so any orderable types will do and rows
     that tie in the first columns are still split.  They come from rows chosen by a hash, about
@@ -38,7 +38,11 @@ def _cuts(base: DataFrame, trace: str, order: list[str], threshold: int) -> Data
     lot = F.pmod(F.xxhash64(*order), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = rows.where(lot * threshold < CUT_SAMPLE).select("_trace", key.alias("_key"))
     keys = some.groupBy("_trace").agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
-    return keys.select("_trace", F.filter("_keys", lambda k, i: i % CUT_SAMPLE == CUT_SAMPLE - 1).alias("_cuts"))
+    cuts = keys.select("_trace", F.filter("_keys", lambda k, i: i % CUT_SAMPLE == CUT_SAMPLE - 1).alias("_cuts"))
+    # the strides of a search over the cuts: falling powers of two, the first one at most their number
+    strides = F.transform(F.sequence(F.floor(F.log2(F.size("_cuts"))).cast("int"), F.lit(0), F.lit(-1)),
+                          lambda e: F.call_function("shiftleft", F.lit(1), e))
+    return cuts.where(F.size("_cuts") > 0).select("_trace", "_cuts", strides.alias("_strides"))
 
 
 def trace_edges(
@@ -59,7 +63,10 @@ def trace_edges(
     order = list(order)
     base = df.select(trace, *order, atom).where(F.col(atom).isNotNull())
     key = F.struct(*[F.col(c) for c in order])
-    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= key)), F.lit(0))
+    # how many cuts are at most the row's key, by halving strides: log2 of the pieces per row
+    piece = F.aggregate(
+        "_strides", F.lit(0),
+        lambda at, by: F.when(F.get("_cuts", at + by - 1) <= key, at + by).otherwise(at))
     tagged = base.join(_cuts(base, trace, order, hot_threshold), F.col(trace).eqNullSafe(F.col("_trace")), "left")
     # dealt by trace and piece: the pieces of one trace may go to different tasks
     tagged = tagged.select(trace, *order, atom, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(piece).alias("_piece"))
