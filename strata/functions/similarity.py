@@ -26,6 +26,9 @@ from ..operators.pairs import pairs_sharing_key
 DISTANCE_DECIMALS = 12
 # Slack of size bounds against float rounding: pairs at a bound are kept.  Fixed value.
 SIZE_SLACK = 1e-9
+# A node with more callers than this is not ordered as one window but by counts per degree and hash bucket.
+HOT_CALLERS = 1_000_000
+CALLER_BUCKETS = 1024
 
 
 def distance(sim: Column) -> Column:
@@ -100,7 +103,30 @@ def call_similarity(edges: DataFrame) -> DataFrame:
     ).where(F.col("sim") != 0)
 
 
-def cousage_similarity(edges: DataFrame, salt_threshold: int | None = None, reach: float = 1.0) -> DataFrame:
+def _caller_prefixes(rows: DataFrame, n: DataFrame, first: Column, hot_callers: int) -> DataFrame:
+    """The rows ``(k, node, deg, n)`` among the ``first`` ones of their node in the order of ``deg``, ties by a hash.
+
+    A node with more than ``hot_callers`` callers is not sorted by one task: its callers are counted by degree and
+    hash bucket, only these counts are ordered, and the buckets that begin within the prefix are taken
+    whole.  That is the prefix or a little more, in an order common to all nodes, so no pair is lost.
+    """
+    bucket = F.pmod(F.xxhash64("k"), F.lit(CALLER_BUCKETS))
+    rows = rows.withColumn("bucket", bucket)
+    order = ["deg", "bucket"]
+    at = F.row_number().over(Window.partitionBy("node").orderBy(*order, "k"))
+    if n.where(F.col("n") > hot_callers).limit(1).count() == 0:
+        return rows.withColumn("at", at).where(F.col("at") <= first)
+    plain = rows.where(F.col("n") <= hot_callers).withColumn("at", at).where(F.col("at") <= first)
+    hot = rows.where(F.col("n") > hot_callers)
+    before = Window.partitionBy("node").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = hot.groupBy("node", "n", *order).agg(F.count(F.lit(1)).alias("some"))
+    taken = counts.withColumn("at", F.coalesce(F.sum("some").over(before), F.lit(0)) + 1).where(F.col("at") <= first)
+    of_hot = hot.join(taken.select("node", *order, "at"), ["node", *order])
+    return plain.unionByName(of_hot)
+
+
+def cousage_similarity(edges: DataFrame, salt_threshold: int | None = None, reach: float = 1.0,
+                       hot_callers: int = HOT_CALLERS) -> DataFrame:
     """M2: Jaccard similarity of the sets of callers (non-zero column pattern).
 
     ``|C(i) & C(j)| / |C(i) | C(j)|``; the diagonal is 1 for every node with at
@@ -120,10 +146,9 @@ def cousage_similarity(edges: DataFrame, salt_threshold: int | None = None, reac
                                   combine=lambda a, b: F.lit(1.0))
     else:
         degree = nz.groupBy("k").agg(F.count(F.lit(1)).alias("deg"))
-        at = F.row_number().over(Window.partitionBy("node").orderBy("deg", "k"))
-        rows = nz.join(degree, "k").join(n, "node").withColumn("at", at)
+        rows = nz.join(degree, "k").join(n, "node")
         first = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(SIZE_SLACK)) + 1
-        some = pairs_sharing_key(rows.where(F.col("at") <= first).select("k", "node", F.lit(1.0).alias("v")),
+        some = pairs_sharing_key(_caller_prefixes(rows, n, first, hot_callers).select("k", "node", F.lit(1.0).alias("v")),
                                  salt_threshold=salt_threshold, combine=lambda a, b: F.lit(1.0)).select("i", "j")
         some = some.join(n.select(F.col("node").alias("i"), F.col("n").alias("ni")), "i").join(
             n.select(F.col("node").alias("j"), F.col("n").alias("nj")), "j")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strata.functions.similarity import cousage_similarity
 from strata.operators.dbscan import dbscan, merge_radius
 from strata.operators.outliers import tag_outlier_intervals, tag_outliers
 from strata.plans.analyses import TermAnalysis
@@ -127,3 +128,16 @@ def test_a_trace_of_a_thousand_pieces(spark):
     df = spark.range(20_000).select(F.lit(1).alias("t"), "id", (F.col("id") * 7 % 13).alias("a"))
     got = {(r.src, r.dst): r.w for r in trace_edges(df, "t", ["id"], "a", hot_threshold=20).collect()}
     assert got == {(r.src, r.dst): r.w for r in trace_edges(df, "t", ["id"], "a").collect()}
+
+
+@pytest.mark.parametrize("hot", [0, 8, 10_000])
+def test_cousage_of_nodes_with_many_callers(spark, hot):
+    """Prefixes of hot nodes come from counts; the pairs are the same for every threshold."""
+    rng = random.Random(2)
+    callers = {node: {rng.randrange(30) for _ in range(rng.choice([3, 12, 40]))} for node in range(12)}
+    callers[12], callers[13] = set(range(30)), set(range(1, 30))
+    rows = [(100 + c, node, 1.0) for node, own in callers.items() for c in own]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    want = {(i, j): len(a & b) / len(a | b) for i, a in callers.items() for j, b in callers.items()}
+    got = {(r.i, r.j): r.sim for r in cousage_similarity(edges, reach=0.6, hot_callers=hot).collect()}
+    assert got == pytest.approx({p: s for p, s in want.items() if round(1 - s, 12) <= 0.6})
