@@ -135,8 +135,13 @@ class Lines:
         return odd[self.points[self.end]] ^ odd[self.points[self.start]]
 
 
+def _print(text: str):
+    """Tells apart the texts of rows that repeat a key."""
+    return F.xxhash64(F.col(text).cast("string")).alias("print")
+
+
 def line_table(docs: DataFrame, key: str, text: str, min_chars: int, exact_chars: int | None, halves: bool) -> DataFrame:
-    """One row per document: ``(key, n_lines, lines)``, lines as structs ``(number, h1, h2)``, and p0, s0, p1, s1."""
+    """One row per document: ``(key, print, n_lines, lines)``, ``print`` a hash of the text, lines as structs ``(number, h1, h2)``, and p0, s0, p1, s1."""
     key_type = docs.schema[key].dataType.simpleString()
     names = ["number", "h1", "h2", *(HALVES if halves else ())]
 
@@ -153,12 +158,14 @@ def line_table(docs: DataFrame, key: str, text: str, min_chars: int, exact_chars
                     cols += [pa.array(x.view(np.int64), mask=~lines.near) for x in lines.half_keys()]
                 items = pa.StructArray.from_arrays(cols, names=names)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(lines.n_lines.astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(off), items)], names=["key", "n_lines", "lines"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo),
+                     pa.array(lines.n_lines.astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), items)],
+                    names=["key", "print", "n_lines", "lines"])
 
-    slim = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    slim = docs.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _print(text))
     fields = ", ".join(f"{n}: bigint" for n in names)
-    return slim.mapInArrow(read, f"key {key_type}, n_lines long, lines array<struct<{fields}>>")
+    return slim.mapInArrow(read, f"key {key_type}, print long, n_lines long, lines array<struct<{fields}>>")
 
 
 def part_table(docs: DataFrame, key: str, text: str, min_chars: int, max_edits: int) -> DataFrame:
@@ -211,13 +218,13 @@ def near_pairs(
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str, small: int) -> DataFrame:
-    """``wanted`` with ``line``, the text of the line that first occurs at ``first`` (key, number)."""
+    """``wanted`` with ``line``, the text of the line that first occurs at ``first`` (key, number, print of the text)."""
     columns = [c for c in wanted.columns if c != "first"]
-    wanted = wanted.select(F.col("first.key").alias("key"), F.col("first.number").alias("number"), *columns)
-    per_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("number", *columns)).alias("want"))
-    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    wanted = wanted.select("first.key", "first.number", "first.print", *columns)
+    per_doc = wanted.groupBy("key", "print").agg(F.collect_list(F.struct("number", *columns)).alias("want"))
+    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), _print(text))
     few = wanted.limit(small + 1).count() <= small
-    texts = slim.join(F.broadcast(per_doc) if few else per_doc, "key")
+    texts = slim.join(F.broadcast(per_doc) if few else per_doc, ["key", "print"])
     lines = texts.withColumn("all", F.split("text", "\n", -1)).select("all", F.explode("want").alias("w"))
     lines = lines.select("w.*", F.regexp_replace(F.get("all", F.col("w.number").cast("int")), "\r$", "").alias("line"))
     return _kept(lines.where("line is not null").dropDuplicates(["id"]).select(*columns, "line"))
@@ -301,9 +308,9 @@ def line_classes(
     if max_edits < 1:
         raise ValueError("max_edits must be at least 1")
     table = line_table(docs, key, text, min_chars, exact_chars, halves=max_edits == 1)
-    flat = table.select("key", F.explode("lines").alias("l")).select("key", "l.*")
+    flat = table.select("key", "print", F.explode("lines").alias("l")).select("key", "print", "l.*")
     distinct = flat.groupBy("h1", "h2").agg(
-        F.min(F.struct("key", "number")).alias("first"), F.count("*").alias("n"),
+        F.min(F.struct("key", "number", "print")).alias("first"), F.count("*").alias("n"),
         *[F.first(h).alias(h) for h in (HALVES if max_edits == 1 else ())])
     distinct = _kept(distinct.withColumn("id", F.xxhash64("h1", "h2")))
     links = _kept(near_links(docs, distinct, key, text, small) if max_edits == 1 else
@@ -344,7 +351,8 @@ def repeated_lines(
     """
     table, repeated = line_classes(docs, key, text, min_chars, small, exact_chars, max_edits)
     flat = table.select("key", F.explode("lines").alias("l")).select("key", "l.number", "l.h1", "l.h2")
-    hit = flat.join(repeated, ["h1", "h2"])
+    # rows that repeat a key and its text count once
+    hit = flat.join(repeated, ["h1", "h2"]).dropDuplicates(["key", "number", "h1", "h2"])
     stays = (F.col("first.key") == F.col("key")) & (F.col("first.number") == F.col("number"))
     per = hit.groupBy("key").agg(
         F.array_sort(F.array_distinct(F.collect_list(F.when(~stays, F.col("number"))))).alias("dropped"),

@@ -596,3 +596,14 @@ def test_pipeline_odd_tables(spark, small_dir, odd, nothing):
             assert stage(spark, table, small_dir).columns == table.columns, name
             stage(spark, table, small_dir).collect()
         assert corpus_pipeline.STAGES[-1][1](spark, table, small_dir).count() == table.count()
+
+
+@pytest.mark.parametrize("max_edits", [1, 2])
+def test_lines_of_repeated_keys(spark, max_edits):
+    """One key with two texts: its lines are found by their own text, in any row order; equal rows count once."""
+    a, b, near = "a first line of its own", "some line that is near", "some line that is nears"
+    for rows in ([(1, a), (1, b), (2, near)], [(1, b), (1, a), (2, near)], [(1, b), (1, b), (2, near)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: (r["dropped"], r["n_links"]) for r in
+               repeated_lines(df, min_chars=4, max_edits=max_edits).collect()}
+        assert got == {1: ([], 1), 2: ([0], 1)}
