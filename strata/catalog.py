@@ -277,7 +277,7 @@ def _part_combined_counts(spark, sf_dir, weights):
     a.seed(atoms.select("idx", F.col("idx").alias("cid")))
     eps = 1.0 - PART_COMBINED_FLOOR
     sim = a.similarity(eps)
-    return neighbour_counts_cliques(sim, eps, a.cliques_at(eps))
+    return neighbour_counts_cliques(sim, eps, a.cliques_at(eps), links=a.links_at(eps))
 
 
 def q_combined_parts_mean(spark, sf_dir):

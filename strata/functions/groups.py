@@ -6,7 +6,8 @@ analysis once the radius covers ``1 - W_terms``).  Emitting those pairs would
 be quadratic in the group size -- one name shared by a third of all parts would
 make the neighbour table as large as the square of a third of the input.
 Instead the group is carried as ``(node, g, m)`` (``g`` = smallest member,
-``m`` = size) and only one representative per group enters pair generation.
+``m`` = size) and only one representative per group enters pair generation; a pair
+of representatives stands for all pairs of their members.
 
 Identity is decided by an order-independent fingerprint of the unit vector: the
 number of terms and two sums of independent 61-bit hashes of ``(term, u)`` in
@@ -41,15 +42,3 @@ def representatives(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """Vectors of one node per group (the smallest), keyed by that node."""
     reps = groups.where(F.col("node") == F.col("g")).select("node")
     return vectors.join(reps, "node", "left_semi")
-
-
-def expand_pairs(rep_pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Half-matrix rep pairs ``(i, j, ...)`` with ``i < j`` -> member pairs across the
-    two groups, oriented ``i <= j`` (intra-group pairs are never produced)."""
-    mi = groups.select(F.col("g").alias("i"), F.col("node").alias("a"))
-    mj = groups.select(F.col("g").alias("j"), F.col("node").alias("b"))
-    extra = [c for c in rep_pairs.columns if c not in ("i", "j")]
-    out = rep_pairs.where(F.col("i") < F.col("j")).join(mi, "i").join(mj, "j")
-    return out.select(
-        F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), *extra
-    )

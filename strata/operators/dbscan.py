@@ -65,23 +65,50 @@ def neighbour_counts(nb: DataFrame, min_samples: int) -> DataFrame:
     )
 
 
+def adjacent_groups(links: DataFrame, eps: float) -> DataFrame:
+    """``(gi, gj)`` pairs of duplicate groups within ``eps``, both orientations (``links`` lists each once)."""
+    return links.where(within(F.col("sim"), eps)).select(
+        F.explode(F.array(F.struct(F.col("i").alias("gi"), F.col("j").alias("gj")),
+                          F.struct(F.col("j").alias("gi"), F.col("i").alias("gj")))).alias("p")).select("p.*")
+
+
+def listed_pairs(nb: DataFrame, groups: DataFrame, adjacent: DataFrame | None) -> DataFrame:
+    """The pairs ``(i, j)`` of ``nb`` that neither a group of several members nor an adjacency of groups covers."""
+    out = nb.join(groups.select(F.col("node").alias("i"), F.col("g").alias("gi"), F.col("m").alias("mi")), "i", "left")
+    out = out.join(groups.select(F.col("node").alias("j"), F.col("g").alias("gj")), "j", "left")
+    out = out.where(~F.coalesce((F.col("gi") == F.col("gj")) & (F.col("mi") >= 2), F.lit(False)))
+    if adjacent is not None:
+        out = out.join(adjacent, ["gi", "gj"], "left_anti")
+    return out.select("i", "j")
+
+
+def group_neighbours(groups: DataFrame, adjacent: DataFrame | None) -> DataFrame:
+    """``(node, m)``: neighbours of a node that its group (of two or more) and the adjacent groups account for.
+
+    A group counts with its number of members, so the work is that of the pairs of groups, not of members.
+    """
+    own = F.when(F.col("m") >= 2, F.col("m")).otherwise(F.lit(0))
+    if adjacent is None:
+        return groups.where(F.col("m") >= 2).select("node", own.alias("m"))
+    sizes = groups.where(F.col("node") == F.col("g")).select(F.col("g").alias("gj"), "m")
+    across = adjacent.join(sizes, "gj").groupBy(F.col("gi").alias("g")).agg(F.sum("m").alias("c"))
+    total = own + F.coalesce("c", F.lit(0))
+    return groups.join(across, "g", "left").where(total > 0).select("node", total.alias("m"))
+
+
 def neighbour_counts_cliques(sim: DataFrame, eps: float, cliques: DataFrame | None,
-                             self_neighbor: str = "distance") -> DataFrame:
-    """A6 with clique groups: ``(node, n_neighbours)`` for nodes with a neighbour;
-    a clique member counts its whole group (itself included) plus explicit pairs
-    leaving the group."""
+                             self_neighbor: str = "distance", links: DataFrame | None = None) -> DataFrame:
+    """A6 with duplicate groups: ``(node, n_neighbours)`` for nodes with a neighbour.
+
+    A member counts its whole group (itself included), the members of the groups that ``links`` puts
+    within ``eps`` of it, and the listed pairs that neither covers.
+    """
     nb = neighbours(sim, eps, self_neighbor)
     if cliques is None:
         return nb.groupBy(F.col("i").alias("node")).agg(F.count(F.lit(1)).alias("n_neighbours"))
-    cl = cliques.where(F.col("m") >= 2).select("node", "g", "m")
-    ex = (
-        nb.join(cl.select(F.col("node").alias("i"), F.col("g").alias("gi")), "i", "left")
-        .join(cl.select(F.col("node").alias("j"), F.col("g").alias("gj")), "j", "left")
-        .where(F.col("gi").isNull() | F.col("gj").isNull() | (F.col("gi") != F.col("gj")))
-        .groupBy(F.col("i").alias("node"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    return ex.join(cl.select("node", "m"), "node", "full").select(
+    adjacent = None if links is None else adjacent_groups(links, eps)
+    ex = listed_pairs(nb, cliques, adjacent).groupBy(F.col("i").alias("node")).agg(F.count(F.lit(1)).alias("c"))
+    return ex.join(group_neighbours(cliques, adjacent), "node", "full").select(
         "node", (F.coalesce(F.col("c"), F.lit(0)) + F.coalesce(F.col("m"), F.lit(0))).alias("n_neighbours")
     )
 
@@ -100,6 +127,7 @@ def merge_radius(
     self_neighbor: str = "distance",
     cliques: DataFrame | None = None,
     clique_eps: float = 0.0,
+    links: DataFrame | None = None,
 ) -> float:
     """The smallest radius at which :func:`dbscan` puts two nodes into one cluster (infinite if no listed pair does).
 
@@ -111,7 +139,14 @@ def merge_radius(
     ``cliques(node, g, m)`` are complete neighbourhoods from radius ``clique_eps`` on: there a member has ``m``
     neighbours at once and its listed pairs inside the group don't count; below they do.  Neighbourhoods
     only grow with the radius, so the first radius of either kind is the first of all.
+
+    ``links(i, j, sim)`` between duplicate groups change nothing below their smallest distance.  From there on
+    the answer is that distance: no step below it merges, one at or above it may or may not.
     """
+    if links is not None:
+        nearest = links.agg(F.min(distance(F.col("sim")))).first()[0]
+        found = merge_radius(sim, min_samples, self_neighbor, cliques, clique_eps)
+        return found if nearest is None else min(found, max(float(nearest), round(clique_eps, DISTANCE_DECIMALS)))
     if self_neighbor not in SELF_NEIGHBOR_MODES:
         raise ValueError(f"self_neighbor must be one of {SELF_NEIGHBOR_MODES}")
     k = max(1, int(min_samples))
@@ -164,6 +199,7 @@ def dbscan(
     self_neighbor: str = "distance",
     cliques: DataFrame | None = None,
     merges: bool = False,
+    links: DataFrame | None = None,
 ) -> DbscanResult:
     """Cluster the ``nodes`` table ``(node)`` given ``sim(i, j, sim)``.
 
@@ -174,6 +210,11 @@ def dbscan(
     member borders that member's cluster.  Explicit pairs inside a group are
     ignored (the group already covers them).
 
+    ``links(i, j, sim)``, ``i < j``, are pairs of groups by their smallest members (a node without a
+    duplicate is a group of one): within ``eps`` every member of one is a neighbour of every member of the
+    other.  A group counts with its multiplicity and is linked, or bordered, through its smallest core
+    member, so rows grow with the pairs of groups, whatever their sizes.
+
     Returns labels of clustered nodes only; a node absent from the result is noise.
     One job decides whether any core point has a neighbour other than itself;
     when none has, every cluster is a single point and nothing else runs.  ``merges`` says that one
@@ -189,25 +230,19 @@ def dbscan(
         return DbscanResult(nodes.select("node", F.lit(None).cast("bigint").alias("label"),
                                          F.lit(True).alias("core")).where(F.lit(False)), 0)
     nb = neighbours(sim, eps, self_neighbor, nodes)
-    cl = None
+    cl = adjacent = None
     if cliques is not None:
-        cl = cliques.where(F.col("m") >= 2).select("node", "g", "m")
-        gi = cl.select(F.col("node").alias("i"), F.col("g").alias("gi"))
-        gj = cl.select(F.col("node").alias("j"), F.col("g").alias("gj"))
-        nb = (
-            nb.join(gi, "i", "left").join(gj, "j", "left")
-            .where(F.col("gi").isNull() | F.col("gj").isNull() | (F.col("gi") != F.col("gj")))
-            .select("i", "j")
-        )
+        cl = cliques.select("node", "g", "m") if links is not None else cliques.where(F.col("m") >= 2).select("node", "g", "m")
+        adjacent = None if links is None else adjacent_groups(links, eps)
+        nb = listed_pairs(nb, cl, adjacent)
         ex = nb.groupBy(F.col("i").alias("node")).agg(
             F.count(F.lit(1)).alias("c"), F.max((F.col("i") != F.col("j")).cast("int")).alias("o")
         )
-        stats = ex.join(cl.select("node", "m"), "node", "full").select(
+        # whoever counts members of groups has a neighbour other than itself
+        stats = ex.join(group_neighbours(cl, adjacent), "node", "full").select(
             "node",
             ((F.coalesce(F.col("c"), F.lit(0)) + F.coalesce(F.col("m"), F.lit(0))) >= F.lit(min_samples)).alias("core"),
-            F.greatest(F.coalesce(F.col("o"), F.lit(0)), (F.coalesce(F.col("m"), F.lit(0)) >= 2).cast("int")).alias(
-                "has_other"
-            ),
+            F.greatest(F.coalesce(F.col("o"), F.lit(0)), F.col("m").isNotNull().cast("int")).alias("has_other"),
         )
     else:
         stats = neighbour_stats(nb, min_samples)
@@ -229,6 +264,11 @@ def dbscan(
             F.col("hub").alias("i"), F.col("node").alias("j")
         )
         core_edges = core_edges.unionByName(star)
+        if adjacent is not None:
+            ends = adjacent.where(F.col("gi") < F.col("gj"))
+            ends = ends.join(hubs.select(F.col("g").alias("gi"), F.col("hub").alias("i")), "gi")
+            ends = ends.join(hubs.select(F.col("g").alias("gj"), F.col("hub").alias("j")), "gj")
+            core_edges = core_edges.unionByName(ends.select("i", "j"))
     cc = connected_components(core_edges, "i", "j")
     core_labels = cut(
         core.join(cc, "node", "left").select(
@@ -243,13 +283,11 @@ def dbscan(
         .select(F.col("i").alias("node"), "label")
     )
     if cl is not None:
-        in_clique = (
-            cl.join(core, "node", "left_anti")
-            .join(hubs, "g")
-            .join(core_labels.select(F.col("node").alias("hub"), "label"), "hub")
-            .select("node", "label")
-        )
-        border = border.unionByName(in_clique)
+        reached = hubs.join(core_labels.select(F.col("node").alias("hub"), "label"), "hub").select("g", "label")
+        if adjacent is not None:  # the lowest label among a group's own cores and those of adjacent groups
+            across = adjacent.join(reached.withColumnRenamed("g", "gj"), "gj").select(F.col("gi").alias("g"), "label")
+            reached = reached.unionByName(across).groupBy("g").agg(F.min("label").alias("label"))
+        border = border.unionByName(cl.join(core, "node", "left_anti").join(reached, "g").select("node", "label"))
     border = border.groupBy("node").agg(F.min("label").alias("label")).select(
         "node", "label", F.lit(False).alias("core")
     )
@@ -264,10 +302,11 @@ def dbscan_labels(
     self_neighbor: str = "distance",
     noise: int | None = -1,
     cliques: DataFrame | None = None,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """C1/C6 user form: ``(node, label)`` for every node; label = min node id of the
     cluster, noise gets ``noise`` (``None`` keeps the node's own id, C3)."""
-    res = dbscan(sim, nodes, eps, min_samples, self_neighbor, cliques)
+    res = dbscan(sim, nodes, eps, min_samples, self_neighbor, cliques, links=links)
     canon = res.labels.groupBy("label").agg(F.min("node").alias("cid"))
     lab = res.labels.join(canon, "label").select("node", "cid")
     fill = F.col("node") if noise is None else F.lit(int(noise)).cast("bigint")

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import duplicate_groups, expand_pairs, representatives
+from ..functions.groups import duplicate_groups, representatives
 from ..functions.prefix import FLOOR_SLACK, cosine_at_least, cosine_for_pairs, touching
 from ..functions.similarity import (
     DISTANCE_DECIMALS, _mirror, combine_similarities, cosine_similarity, edge_similarity, within)
@@ -43,6 +43,8 @@ class Analysis:
         # duplicate groups that are complete neighbourhoods from radius ``_clique_eps`` on
         self._cliques: DataFrame | None = None
         self._clique_eps: float = 0.0
+        # pairs of those groups, by their smallest members, that stand for all pairs of their members
+        self._links: DataFrame | None = None
         # first merging radius of the cached similarity, by (min_samples, self_neighbor)
         self._merge_radii: dict[tuple[int, str], float] = {}
         self.collapse_duplicates = True
@@ -101,15 +103,22 @@ class Analysis:
             return self._cliques
         return None
 
+    def links_at(self, eps: float) -> DataFrame | None:
+        """``(i, j, sim)`` of pairs of duplicate groups that :meth:`similarity` does not list member by member, or None."""
+        return self._links if self.cliques_at(eps) is not None else None
+
     def similarity(self, reach: float = 1.0) -> DataFrame:
         """Similarity of the pairs within ``reach`` at the current contraction.
 
+        Where nodes share a vector, pairs inside a duplicate group (:meth:`cliques_at`) and pairs between
+        two groups (:meth:`links_at`) are not listed here.
+
         Cached until the next merge (rule 1); a table made for a larger reach serves a smaller one,
         because the neighbour test is applied to it again at every step.
         """
         reach = min(float(reach), 1.0)
         if self._sim is None or self._sim_reach < reach:
-            self._cliques = None
+            self._cliques = self._links = None
             self._sim = cut(self._compute_similarity(reach))
             self._sim_reach = reach
             self._merge_radii = {}
@@ -123,7 +132,8 @@ class Analysis:
         sim = self.similarity(reach)
         kind = (int(min_samples), self_neighbor)
         if kind not in self._merge_radii:
-            self._merge_radii[kind] = merge_radius(sim, min_samples, self_neighbor, self._cliques, self._clique_eps)
+            self._merge_radii[kind] = merge_radius(sim, min_samples, self_neighbor, self._cliques, self._clique_eps,
+                                                    self._links)
         return self._merge_radii[kind]
 
     def full_similarity(self) -> DataFrame:
@@ -296,14 +306,12 @@ class TermAnalysis(Analysis):
         if groups is None:
             return self._cosine(self.vectors, reach)
         # one representative per duplicate group; members of a group are a clique
-        # (cosine 1) at every radius, so only pairs across groups are listed
+        # (cosine 1) at every radius, and a pair of groups stands for all pairs of their members
         rep = self._cosine(representatives(self.vectors, groups), reach)
-        cross = expand_pairs(rep.where(F.col("i") < F.col("j")), groups)
         single = groups.where(F.col("m") == 1).select(F.col("node").alias("i"))
-        diag = rep.where(F.col("i") == F.col("j")).join(single, "i", "left_semi")
-        self._cliques = groups.where(F.col("m") >= 2)
-        self._clique_eps = 0.0
-        return _mirror(cross.unionByName(diag.select("i", "j", "sim")))
+        self._cliques, self._clique_eps = groups, 0.0
+        self._links = cut(rep.where(F.col("i") < F.col("j")))
+        return rep.where(F.col("i") == F.col("j")).join(single, "i", "left_semi")
 
 
 class CombinedAnalysis(Analysis):
@@ -376,7 +384,10 @@ class CombinedAnalysis(Analysis):
         reachable, tau_t = tau_t <= 1.0 + FLOOR_SLACK, min(tau_t, 1.0)
         # a negative edge weight may push pairs of a duplicate group out of a radius that others of it are
         # in: then the group is neither a clique nor without unlisted pairs, unless the radius is too small for either
-        lowering = any(w < 0 for c, w in zip(self.children, weights) if not isinstance(c, TermAnalysis))
+        # (as may a user's similarity that falls below 0)
+        lowering = any(
+            w < 0 or not isinstance(c, CallAnalysis) and edge_sims[id(c)].where(F.col("sim") < 0).limit(1).count()
+            for c, w in zip(self.children, weights) if not isinstance(c, TermAnalysis))
         collapse = self.collapse_duplicates and len(terms) == 1 and raising and not (
             lowering and round(reach, DISTANCE_DECIMALS) >= round(1.0 - w_t, DISTANCE_DECIMALS))
         groups = terms[0][0].duplicate_groups() if collapse else None
@@ -387,16 +398,16 @@ class CombinedAnalysis(Analysis):
             # Inside a duplicate group every pair has combined similarity >= W_T, so
             # from radius 1 - W_T on the group is a clique and needs no pairs; below
             # that radius an intra-group pair qualifies only through an edge child,
-            # whose support is listed anyway.  Candidates from the term child are
-            # generated on one representative per group and expanded across groups.
+            # whose support is listed anyway.  Outside the edge children's support every pair of
+            # two groups has the same similarity, W_T times their cosine: one link each.
             t = terms[0][0]
-            if reachable:
-                rep = cosine_at_least(representatives(t.vectors, groups), tau_t, salt_threshold=t.salt_threshold)
-                cands.append(expand_pairs(rep.where(F.col("i") < F.col("j")).select("i", "j"), groups))
             single = groups.where(F.col("m") == 1).select(F.col("node").alias("i"), F.col("node").alias("j"))
             cands.append(single)
-            self._cliques = groups.where(F.col("m") >= 2)
-            self._clique_eps = float(round(1.0 - w_t, DISTANCE_DECIMALS))
+            self._cliques, self._clique_eps = groups, float(round(1.0 - w_t, DISTANCE_DECIMALS))
+            if reachable:
+                rep = cosine_at_least(representatives(t.vectors, groups), tau_t, salt_threshold=t.salt_threshold)
+                link = F.least(F.col("sim") * F.lit(float(w_t)), F.lit(1.0)).alias("sim")
+                self._links = cut(_within(rep.where(F.col("i") < F.col("j")).select("i", "j", link), reach))
         if not cands:
             return combine_similarities([c._cosine(c.vectors, 1.0).limit(0) for c in self.children], weights)
         pairs = cands[0]

@@ -132,7 +132,9 @@ def cluster_step(
     sim = analysis.similarity(reach)
     if eps < 1.0 and analysis.next_merge(reach, min_samples, self_neighbor) > round(eps, DISTANCE_DECIMALS):
         return assign.sparkSession.createDataFrame([], "node bigint, new bigint"), 0
-    res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor, analysis.cliques_at(eps), merges=True)
+    links = analysis.links_at(eps)
+    res = dbscan(sim, analysis.nodes(), eps, min_samples, self_neighbor, analysis.cliques_at(eps),
+                 merges=links is None, links=links)
     moves = cut(moves_from_labels(res.labels.select("node", "label")))
     return moves, moves.count()
 
@@ -146,7 +148,7 @@ def cluster_from_scratch(
     analysis.seed(identity)
     sim = analysis.similarity(eps)
     lab = dbscan_labels(sim, analysis.nodes(), eps, min_samples, self_neighbor, noise=-1,
-                        cliques=analysis.cliques_at(eps))
+                        cliques=analysis.cliques_at(eps), links=analysis.links_at(eps))
     return atoms.select("idx").join(lab.withColumnRenamed("node", "idx"), "idx", "left").select(
         "idx", F.coalesce(F.col("label"), F.lit(-1).cast("bigint")).alias("cid")
     )

@@ -109,7 +109,8 @@ def test_weights_of_both_signs(spark, weights, eps):
     a = CombinedAnalysis(kids, weights)
     a.bind(sup)
     a.seed(sup.select("idx", F.col("idx").alias("cid")))
-    got = {r.node: r.n_neighbours for r in neighbour_counts_cliques(a.similarity(eps), eps, a.cliques_at(eps)).collect()}
+    got = {r.node: r.n_neighbours for r in neighbour_counts_cliques(
+        a.similarity(eps), eps, a.cliques_at(eps), links=a.links_at(eps)).collect()}
     full = {}
     for k, w in zip(kids, weights):
         for row in k.full_similarity().collect():
