@@ -7,8 +7,13 @@ notices, forms and comments, are smoothed with a Gaussian; lines whose smoothed
 at or above the threshold (a share of the ratios' standard deviation, or the middle of
 the two clusters of ratios where that is lower) mark the content.  The content region
 is the article that holds the marked lines (or ``main``, or, on pages without either,
-the smallest container with most of the marked text); its lines are the text, short
-paragraphs included.
+the smallest container with most of the marked text).  Its lines are the text, short
+paragraphs included; of those that are mostly links, lines of several links and runs
+with a ratio below the threshold are left out, whatever their class is.
+
+The pieces fed to the parser grow with the text that it holds back (an unclosed comment, script or
+quoted attribute), so every page is read in time linear in its length.  Formulas and the
+fallback text of embedded objects belong to the block around them.
 
 Edge cases: a null, empty or tagless blank page has the empty text; text outside any tag is a
 line of the body; unclosed tags are closed by what follows, a cut page is read to its end;
@@ -37,11 +42,12 @@ REGION_SHARE = 0.7
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(
-    "script style template noscript svg math head title iframe object canvas select option datalist button "
-    "textarea audio video map".split())
+    "script style template noscript svg head title iframe select option datalist button textarea".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rt rp s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "span strike strong sub sup time tt u var wbr object canvas map audio video "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mfenced mstyle "
+    "semantics".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 CONTAINERS = frozenset("body div section td main article table tbody tr ul ol dl blockquote center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -63,9 +69,10 @@ SCOPE = frozenset("ul ol dl table article section div main body".split())
 
 
 class _Line:
-    __slots__ = ("heading", "linked", "off", "path", "tags", "text")
+    __slots__ = ("anchors", "heading", "linked", "off", "path", "tags", "text")
 
-    def __init__(self, text, tags, linked, path, off, heading):
+    def __init__(self, text, tags, linked, path, off, heading, anchors):
+        self.anchors = anchors
         self.text, self.tags, self.linked, self.path, self.off, self.heading = text, tags, linked, path, off, heading
 
 
@@ -77,7 +84,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool, bool]] = []
         self.lines: list[_Line] = []
         self.buffer: list[str] = []
-        self.linked = 0
+        self.linked = self.anchors = 0
         self.tags = 0
         self.made = 0
         self.kinds: dict[int, str] = {}
@@ -94,9 +101,9 @@ class _Lines(HTMLParser):
             off = bool(self.stack) and self.stack[-1][3]
             heading = any(t in HEADINGS for t, *_ in self.stack)
             path = tuple(i for t, i, *_ in self.stack if t in CONTAINERS)
-            self.lines.append(_Line(text, max(self.tags, 1), min(self.linked, len(text)), path, off, heading))
+            self.lines.append(_Line(text, max(self.tags, 1), min(self.linked, len(text)), path, off, heading, self.anchors))
             self.tags = 0
-        self.buffer, self.linked = [], 0
+        self.buffer, self.linked, self.anchors = [], 0, 0
 
     def _pop_to(self, at: int) -> None:
         self.flush()
@@ -118,6 +125,7 @@ class _Lines(HTMLParser):
         if tag == "br":
             self.buffer.append(" ")
             return
+        self.anchors += tag == "a"
         if tag in INLINE and tag in VOID:
             return
         block = tag not in INLINE
@@ -179,8 +187,12 @@ class _Lines(HTMLParser):
 def page_lines(html: str) -> tuple[list[_Line], dict[int, str]]:
     """The lines of a page and the kind of every container on their paths."""
     parser = _Lines()
-    for at in range(0, len(html), FEED_CHARS):
-        parser.feed(html[at : at + FEED_CHARS])
+    at = 0
+    while at < len(html):
+        # what the parser holds back it reads again: feed as much anew
+        size = max(FEED_CHARS, len(parser.rawdata))
+        parser.feed(html[at : at + size])
+        at += size
     parser.close()
     parser.flush()
     return parser.lines, parser.kinds
@@ -213,6 +225,24 @@ def threshold(ratios: list[float], deviations: float = DEVIATIONS) -> float:
     return min(spread, (low + high) / 2)
 
 
+def link_blocks(lines: list[_Line], smoothed: list[float], least: float) -> set[int]:
+    """Lines of links by ``id``: mostly link text, and the ratios speak against them.
+
+    A line of several links goes by its own ratio; a run of such lines goes as one if the smoothed ratio
+    falls below the threshold anywhere in it.  A single link between paragraphs, or in a heading, stays.
+    """
+    out: set[int] = set()
+    run: list[tuple[_Line, float]] = []
+    for x, r in [*zip(lines, smoothed), (None, 0.0)]:
+        if x is not None and not x.heading and 2 * x.linked > len(x.text):
+            run.append((x, r))
+            continue
+        low = any(r < least for _, r in run)
+        out.update(id(y) for y, _ in run if low or y.anchors > 1 and (len(y.text) - y.linked) / y.tags < least)
+        run = []
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; empty where there is none."""
     if not html:
@@ -224,6 +254,7 @@ def main_text(html: str | None) -> str:
     smoothed = smooth([0.0 if x.off else (len(x.text) - x.linked) / x.tags for x in lines])
     least = threshold(smoothed)
     marked = [x for x, r in zip(lines, smoothed) if not x.off and r >= least and 2 * x.linked <= len(x.text)]
+    linked = link_blocks(lines, smoothed, least)
     marked = marked or [x for x in open_lines if 2 * x.linked <= len(x.text)] or open_lines
     mass: dict[int, int] = {}
     for x in marked:
@@ -232,7 +263,7 @@ def main_text(html: str | None) -> str:
     for kind in ("article", "main"):
         roots = {i for i in mass if kinds[i] == kind}
         if roots:
-            return "\n".join(x.text for x in open_lines if not roots.isdisjoint(x.path))
+            return "\n".join(x.text for x in open_lines if id(x) not in linked and not roots.isdisjoint(x.path))
     total, root = sum(len(x.text) for x in marked), 0
     for i in sorted(mass):  # containers are numbered as they open: later ones lie deeper
         if mass[i] >= REGION_SHARE * total:

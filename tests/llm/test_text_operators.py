@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from strata.llm.html_extract import extract_main_text, main_text, smooth, threshold
+from strata.llm.html_extract import _Lines, extract_main_text, main_text, smooth, threshold
 from strata.llm.piece_transducer import Transducer, encode_decode
 from strata.llm.quality_rules import MAX_CLASS_DISTANCE, quality_rules
 from strata.llm.token_counts import count_tokens
@@ -184,6 +184,30 @@ def test_main_text_broken_pages():
     assert main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
 
 
+def test_ratios_choose_link_blocks_inside_the_article():
+    long = "<p>%s paragraph, which has a good number of words in it, as those of articles do, and some more to read.</p>"
+    links = "".join(f'<div class="zq{i}"><a href=a>Buy now</a> <a href=b>cheap</a> <a href=c>Click here</a></div>' for i in range(5))
+    page = PAGE % ("<article><h1><a href=x>Title</a></h1>" + long % "First" + long % "Second" + links + long % "Third"
+                   + "<p><a href=y>Fourth</a></p>" + long % "Fifth" + "</article>")
+    got = main_text(page).split("\n")
+    assert [x.split(" ")[0] for x in got] == ["Title", "First", "Second", "Third", "Fourth", "Fifth"]
+
+
+def test_formulas_and_fallback_text_stay_in_their_paragraph():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is <object>seen</object> here</article>"
+    assert main_text(page) == "The sum a+b is seen here"
+
+
+@pytest.mark.parametrize("tail", ["<!-- ", "<script>", '<a title="'])
+def test_unclosed_constructs_are_read_in_linear_time(tail, monkeypatch):
+    fed = []
+    real = _Lines.goahead
+    monkeypatch.setattr(_Lines, "goahead", lambda self, end: fed.append(len(self.rawdata)) or real(self, end))
+    page = "<article><p>Words of the article stand here</article>" + tail + "x " * 1_000_000
+    assert main_text(page).startswith("Words of the article stand here")
+    assert sum(fed) <= 6 * len(page)
+
+
 def test_ratios():
     assert smooth([1.0] * 5) == pytest.approx([1.0] * 5)
     assert 0 < threshold([0.0, 0.0, 40.0, 50.0, 45.0, 0.0]) < 40
