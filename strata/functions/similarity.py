@@ -199,9 +199,7 @@ def combine_similarities(sims: Sequence[DataFrame], weights: Sequence[float] | N
     if weights is None:
         weights = [1.0 / len(sims)] * len(sims)
     if len(weights) != len(sims):
-        raise ValueError(
-            f"children and weights must have the same length. Found {len(sims)} and {len(weights)}"
-        )
+        raise ValueError(f"{len(sims)} similarities need as many weights, not {len(weights)}")
     if abs(sum(weights) - 1.0) > 1e-9:
         raise ValueError(f"weights must sum to 1, got {sum(weights)}")
     parts = [s.select("i", "j", (F.col("sim") * F.lit(float(w))).alias("sim")) for s, w in zip(sims, weights)]

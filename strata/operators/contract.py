@@ -48,7 +48,7 @@ def aggregate_vectors(vectors: DataFrame, assign: DataFrame, how: str = "mean")
     included.
     """
     if how not in ("mean", "sum"):
-        raise ValueError(f'Unsupported aggregation method "{how}"')
+        raise ValueError(f"cluster vectors are a mean or a sum, not {how!r}")
     a = assign.select(F.col("idx").alias("node"), "cid")
     sums = vectors.join(a, "node").groupBy("cid", "term").agg(F.sum("x").alias("x"))
     if how == "sum":
