@@ -66,3 +66,18 @@ def test_rare_terms_stay_with_prefixes(spark):
     assert not prefix.lists_most_pairs(rows, 0)
     assert not prefix.lists_most_pairs(rows.selectExpr("'t' as k", "node"), 3600)
     assert prefix.lists_most_pairs(rows.selectExpr("'t' as k", "node"), 3599)
+
+
+def test_given_pairs_that_are_most_pairs_are_joined_by_term(spark, monkeypatch):
+    """Each vector is shuffled once, not once per pair: the pairs' rows are summed by :func:`pairs_sharing_key`."""
+    calls = []
+    by_term = prefix.pairs_sharing_key
+    monkeypatch.setattr(prefix, "pairs_sharing_key", lambda *a, **k: calls.append(1) or by_term(*a, **k))
+    x = vectors(np.random.default_rng(7), 40, 30, 8)
+    given = [(i, j) for i in range(40) for j in range(i, 40) if (i + j) % 5]
+    asked = spark.createDataFrame(given, "i long, j long").localCheckpoint()
+    want = {k: s for k, s in pairs(x, -1.0).items() if k in set(given) and s}
+    for few, gain, n in [(0, 100.0, 1), (0, 0.0, 1), (10**9, 100.0, 1)]:
+        out = got(prefix.cosine_for_pairs(frame(spark, x), asked, few_rows=few, term_gain=gain))
+        assert out.keys() == want.keys() and max(abs(out[k] - want[k]) for k in want) < 1e-9
+        assert len(calls) == n
