@@ -41,8 +41,8 @@ from strata.llm.schema_safe import own_name
 from strata.llm.text_arrays import chunks, text_column
 
 META = "▁"  # fixed value: the symbol that stands for a space
-REMEMBERED_WORDS = 400_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_WORDS = 150_000
+REMEMBERED_PAIRS = 300_000
 #: Piece types of a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_KIND = 2

@@ -49,14 +49,14 @@ from strata.llm.text_arrays import chunks, text_column
 from strata.session import cut, spread
 
 #: Bytes of text in a block; bytes of a range; texts over two ranges are cut into ranges.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 RANGE_BYTES = 1 << 15
 #: How far from a range end a safe cut may be.
 REACH = 1 << 12
 #: Fragments composed by one task in one round of the tree.
 FAN = 8
 #: Spans remembered by a worker, and the longest of them.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 LONGEST = 64
 #: A pair is one integer: A's id shifted by this, plus B's id.
 PAIR_BITS = 20
