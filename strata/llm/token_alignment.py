@@ -14,7 +14,7 @@ by a tree reduction (:data:`FAN` neighbours a round); a text of one range is its
 **Encoding.**  A single space between two visible characters is a *safe* cut: the pre-tokenizer of A
 begins a token there whatever stands before, and no piece of B holds a space behind another character (checked
 when the vocabulary is read; otherwise nothing is cut).  Spans between safe cuts are encoded
-once per worker and remembered, up to :data:`REMEMBERED`.  A byte range ends anywhere, not only at safe cuts: its task
+once per worker and remembered, up to :data:`REMEMBERED`; beyond, those stay that several blocks asked for.  A byte range ends anywhere, not only at safe cuts: its task
 encodes the window up to the next safe cut on either side and keeps the tokens that end in the range.
 A range end that has no safe cut within :data:`REACH` bytes is left out.
 
@@ -36,6 +36,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ FAN = 8
 #: Spans remembered by a worker, and the longest of them.
 REMEMBERED = 120_000
 LONGEST = 64
+#: Spans encoded at once.
+RUN_SPANS = 256
 #: A pair is one integer: A's id shifted by this, plus B's id.
 PAIR_BITS = 20
 
@@ -181,20 +184,82 @@ class Aligner:
         self.index: dict[bytes, int] = {}
         self.n_long = 0
         self.text: list[str] = []
-        self.counts: list[tuple[int, int, int]] = []
-        self.links: list[np.ndarray | None] = []  # None: the bytes are not those of the text
-
-    def encode(self, spans: list[bytes]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of both vocabularies for the spans (without the space before), and whether their bytes agree."""
+        #: per span: tokens of A, tokens of B and groups; whether its bytes are those of the text; blocks that asked for it
+        self.counts = np.zeros((0, 3), dtype=np.int64)
+        self.good = np.zeros(0, dtype=bool)
+        self.asked = np.zeros(0, dtype=np.int64)
+        #: the links of all spans, one span behind the other, and where each begins and how many it has
+        self.links = np.zeros(0, dtype=np.int64)
+        self.start = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+
+    def _same(self, spans: list[bytes], flat: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
+        """Whether the bytes of the ids (``n`` per span) are those of each span and the space before, in both vocabularies."""
+        length = np.fromiter(map(len, spans), np.int64, len(spans)) + 1
+        same = np.ones(len(spans), dtype=bool)
+        for size, ids, k in zip(self.sizes, flat, n):
+            total, end = np.append(0, np.cumsum(size[ids])), np.cumsum(k)
+            same &= total[end] - total[end - k] == length
+        like = np.flatnonzero(same)  # as long as the text; now byte by byte
+        text = np.frombuffer(b"".join([b" " + spans[i] for i in like.tolist()]), np.uint8)
+        edge = np.cumsum(length[like])
+        for table, ids, k in zip((self.bytes_a, self.bytes_b), flat, n):
+            raw = b"".join(map(table.__getitem__, ids[np.repeat(same, k)].tolist()))
+            wrong = np.flatnonzero(np.frombuffer(raw, np.uint8) != text)
+            length[like[np.searchsorted(edge, wrong, side="right")]] = -1
+        return same & (length >= 0)
+
+    def _each(self, spans: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of both vocabularies for spans encoded one by one: flat, how many per span; whether bytes agree."""
         texts = [s.decode() for s in spans]
         a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
-        out = []
-        for span, x, y in zip(spans, a, b):
-            whole = b" " + span
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == whole == b"".join(map(self.bytes_b.__getitem__, y))
-            out.append((x, y, same))
-        return out
+        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        n = [np.fromiter(map(len, x), np.int64, len(spans)) for x in (a, b)]
+        return flat, n, self._same(spans, flat, n)
+
+    def _ids(self, spans: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """:meth:`_each`, a run of many spans at once where the spaces that join them are safe cuts of the run.
+
+        The ids of a run fall apart at those cuts, which is checked: a run whose bytes differ from the ids' bytes, or
+        which a token crosses, is encoded span by span.
+        """
+        parts, lo = [], 0
+        while lo < len(spans):
+            run = spans[lo : lo + RUN_SPANS]
+            lo += len(run)
+            parts.append(self._run(run) or self._each(run))
+        if not parts:
+            return self._each([])
+        flat, n, same = zip(*parts)
+        return [np.concatenate(x) for x in zip(*flat)], [np.concatenate(x) for x in zip(*n)], np.concatenate(same)
+
+    def _run(self, spans: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray] | None:
+        if not self.cuts:
+            return None
+        raw = b" ".join(spans)
+        end = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)) + 1)  # of the span and the space before it
+        if not np.isin(end[:-1] - 1, safe_cuts(np.frombuffer(raw, np.uint8)), assume_unique=True).all():
+            return None
+        text = raw.decode()
+        ids = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        flat, n = [], []
+        for x, table, size in zip(ids, (self.bytes_a, self.bytes_b), self.sizes):
+            if b"".join(map(table.__getitem__, x)) != b" " + raw:
+                return None
+            flat.append(np.array(x, dtype=np.int64))
+            ends = np.cumsum(size[flat[-1]])
+            upto = np.searchsorted(ends, end, side="right")
+            if (ends[upto - 1] != end).any():
+                return None
+            n.append(np.diff(upto, prepend=0))
+        return flat, n, np.ones(len(spans), dtype=bool)
+
+    def encode(self, spans: list[bytes]) -> list[tuple[list[int], list[int], bool]]:
+        """Ids of both vocabularies for the spans (without the space before), and whether their bytes agree."""
+        flat, n, same = self._each(spans)
+        a, b = ([x.tolist() for x in np.split(ids, np.cumsum(k)[:-1])] if len(k) else [] for ids, k in zip(flat, n))
+        return list(zip(a, b, same.tolist()))
 
     def _ends(self, x: list[int], table: list[bytes], base: int = 0) -> list[tuple[int, int]]:
         out = []
@@ -203,23 +268,25 @@ class Aligner:
             out.append((t, base))
         return out
 
-    def learn(self, spans: list[bytes]) -> list[int]:
+    def learn(self, spans: list[bytes]) -> np.ndarray:
         """The numbers of the spans; those not seen before are encoded and aligned together."""
         index = self.index
         missing = [s for s in dict.fromkeys(spans) if s not in index]
         if missing:
-            found = self.encode(missing)
-            self._align([(x, y) for x, y, same in found if same], [same for *_, same in found])
-            for k, span in enumerate(missing, len(self.text) - len(missing)):
-                index[span] = k
-                self.n_long += len(span) > LONGEST
-        return list(map(index.__getitem__, spans))
-
-    def _align(self, good: list[tuple[list[int], list[int]]], same: list[bool]) -> None:
+            flat, n, same = self._ids(missing)
+            base = len(self.text)
+            self._align([x[np.repeat(same, k)] for x, k in zip(flat, n)], [k[same] for k in n], same)
+            index.update(zip(missing, range(base, base + len(missing))))
+            self.n_long += sum(len(s) > LONGEST for s in missing)
+        numbers = np.fromiter(map(index.__getitem__, spans), np.int64, len(spans))
+        self.asked += np.bincount(numbers, minlength=len(self.text)) > 0
+        return numbers
+
+    def _align(self, flat: list[np.ndarray], n_ids: list[np.ndarray], same: np.ndarray) -> None:
         """The groups of whole spans, all spans at once: a group ends where the running byte counts meet."""
-        flat = [np.fromiter((t for s in good for t in s[v]), np.int64) for v in (0, 1)]
         ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, flat)]
-        common = np.intersect1d(*ends, assume_unique=True)
+        at = np.searchsorted(ends[1], ends[0])
+        common = ends[0][np.append(ends[1], -1)[at] == ends[0]]
         start = [np.concatenate([[0], np.searchsorted(e, common, side="right")]) for e in ends]
         n = [np.diff(x) for x in start]
         # every pair of a group: the k-th link takes A's token k // n_b and B's token k % n_b
@@ -228,40 +295,55 @@ class Aligner:
         wide = np.repeat(n[1], per)
         links = (flat[0][np.repeat(start[0][:-1], per) + k // np.maximum(wide, 1)] << PAIR_BITS) | flat[1][
             np.repeat(start[1][:-1], per) + k % np.maximum(wide, 1)]
-        token = [list(map(str, x.tolist())) for x in flat]
+        a, b = (list(map(str, x.tolist())) for x in flat)
         (a0, a1), (b0, b1) = ((x[:-1].tolist(), x[1:].tolist()) for x in start)
-        groups = [f"{','.join(token[0][i:j])}|{','.join(token[1][p:q])}" for i, j, p, q in zip(a0, a1, b0, b1)]
-        edge = np.cumsum([len(x) for x, _ in good])
-        last = np.searchsorted(start[0], edge, side="left").tolist()  # groups up to the end of each span
-        link_end = np.concatenate([[0], np.cumsum(per)])
-        rows, g = iter(zip(good, last)), 0
-        for ok in same:
-            if not ok:
-                self.text.append("")
-                self.counts.append((0, 0, 0))
-                self.links.append(None)
-                continue
-            (x, y), to = next(rows)
-            self.text.append(";".join(groups[g:to]))
-            self.counts.append((len(x), len(y), to - g))
-            self.links.append(links[link_end[g] : link_end[to]])
-            g = to
+        groups = [f"{a[i]}|{b[p]}" if j - i == 1 == q - p else f"{','.join(a[i:j])}|{','.join(b[p:q])}"
+                  for i, j, p, q in zip(a0, a1, b0, b1)]
+        last = np.searchsorted(start[0], np.cumsum(n_ids[0]), side="left")  # groups up to the end of each span
+        first = np.append(0, last)[:-1]
+        link_end = np.append(0, np.cumsum(per))
+        counts, at, size = np.zeros((len(same), 3), dtype=np.int64), np.zeros(len(same), np.int64), np.zeros(len(same), np.int64)
+        counts[same] = np.stack([*n_ids, last - first], axis=1)
+        at[same], size[same] = link_end[first] + len(self.links), link_end[last] - link_end[first]
+        texts = iter([";".join(groups[i:j]) for i, j in zip(first.tolist(), last.tolist())])
+        self.text += [next(texts) if ok else "" for ok in same.tolist()]
+        self.counts, self.good = np.concatenate([self.counts, counts]), np.append(self.good, same)
+        self.asked = np.append(self.asked, np.zeros(len(same), np.int64))
+        self.links = np.concatenate([self.links, links])
+        self.start, self.size = np.append(self.start, at), np.append(self.size, size)
+
+    def linked(self, numbers: np.ndarray) -> np.ndarray:
+        """The links of the numbered spans, one span behind the other."""
+        size = self.size[numbers]
+        return self.links[np.repeat(self.start[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def trim(self) -> None:
-        """Drop what is remembered when it is too much, and the long spans always (their numbers stay unused)."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
-        elif self.n_long:
-            for span, k in [(s, k) for s, k in self.index.items() if len(s) > LONGEST]:
-                del self.index[span]
-                self.text[k], self.links[k] = "", None
-            self.n_long = 0
+        """Drop the spans that one block alone asked for when there are too many, and the long spans always."""
+        if len(self.index) <= REMEMBERED and not self.n_long:
+            return
+        full = len(self.index) > REMEMBERED
+        kept = [(s, k) for s, k in self.index.items() if len(s) <= LONGEST and (not full or self.asked[k] > 1)]
+        if len(kept) > REMEMBERED // 2 and full:
+            kept = []
+        numbers = np.array([k for _, k in kept], dtype=np.int64)
+        text, counts, good, asked = self.text, self.counts[numbers], self.good[numbers], self.asked[numbers]
+        links, size = self.linked(numbers), self.size[numbers]
+        self.forget()
+        self.index = dict(zip([s for s, _ in kept], range(len(kept))))
+        self.text = [text[k] for _, k in kept]
+        # to stay again, a span must be asked for again
+        self.counts, self.good, self.asked = counts, good, np.minimum(asked, 1) if full else asked
+        self.links, self.size, self.start = links, size, np.cumsum(size) - size
 
     def spans(self, raw: bytes) -> list[bytes]:
         """The text without the spaces at its safe cuts."""
         if not self.cuts:
             return [raw]
-        at = safe_cuts(np.frombuffer(raw, np.uint8)).tolist()
+        data = np.frombuffer(raw, np.uint8)
+        at = safe_cuts(data)
+        if len(at) == np.count_nonzero(data == 0x20):
+            return raw.split(b" ")
+        at = at.tolist()
         return [raw[a:b] for a, b in zip([0, *(p + 1 for p in at)], [*at, len(raw)])]
 
     def fragment(self, window: bytes, base: int, lo: int, hi: int) -> Fragment:
@@ -300,22 +382,18 @@ class _Block:
         self.counts = np.zeros((n, 4), dtype=np.int64)
         self.sha = [""] * n
         self.groups = [""] * n
-        self.owner: list[np.ndarray] = []
-        self.links: list[np.ndarray] = []
+        self.owner = np.zeros(0, dtype=np.int64)
+        self.links = np.zeros(0, dtype=np.int64)
 
-    def add(self, i: int, counts: tuple[int, int, int], body: str, links: np.ndarray) -> None:
-        self.counts[i] = (*counts, len(links))
+    def add(self, i: int, body: str, with_groups: bool) -> None:
         self.sha[i] = hashlib.sha256(body.encode()).hexdigest()
-        self.groups[i] = body
-        self.owner.append(np.full(len(links), i, dtype=np.int64))
-        self.links.append(links)
+        if with_groups:
+            self.groups[i] = body
 
     def row(self, kept: pa.StructArray, with_groups: bool) -> pa.RecordBatch:
         """One row: the texts as structs, the distinct pairs with their numbers of texts, the packed occurrences."""
-        own = np.concatenate(self.owner) if self.owner else np.zeros(0, np.int64)
-        links = np.concatenate(self.links) if self.links else np.zeros(0, np.int64)
-        pairs, place = np.unique(links, return_inverse=True)
-        cells, times = np.unique(own * max(1, len(pairs)) + place, return_counts=True)
+        pairs, place = np.unique(self.links, return_inverse=True)
+        cells, times = np.unique(self.owner * max(1, len(pairs)) + place, return_counts=True)
         doc, place = np.divmod(cells, max(1, len(pairs)))
         packed = np.concatenate([doc, place, times]).astype(np.int32)
         packed[1 : 2 * len(doc)] = np.diff(packed[: 2 * len(doc)])
@@ -349,17 +427,23 @@ def _short_blocks(paths: tuple[str, str], with_groups: bool):
             names = batch.schema.names[:-1]
             for lo, hi in chunks(texts, BLOCK_BYTES):
                 aligner.trim()
-                block = _Block(hi - lo)
+                n = hi - lo
+                block = _Block(n)
                 split = [aligner.spans(texts[i].as_buffer().to_pybytes()) for i in range(lo, hi)]
-                numbers = aligner.learn([s for spans in split for s in spans])
-                at = 0
-                for i, spans in enumerate(split):
-                    own = numbers[at : at + len(spans)]
-                    at += len(spans)
-                    if spans != [b""] and all(aligner.links[k] is not None for k in own):
-                        counts = np.array([aligner.counts[k] for k in own]).sum(axis=0)
-                        block.add(i, tuple(counts), ";".join(map(aligner.text.__getitem__, own)),
-                                  np.concatenate([aligner.links[k] for k in own]))
+                numbers = aligner.learn(list(chain.from_iterable(split)))
+                sizes = np.fromiter(map(len, split), np.int64, n)
+                owner = np.repeat(np.arange(n), sizes)
+                fine = np.bincount(owner[~aligner.good[numbers]], minlength=n) == 0
+                fine &= np.array([spans != [b""] for spans in split])
+                numbers, owner = numbers[fine[owner]], owner[fine[owner]]
+                for k in range(3):
+                    block.counts[:, k] = np.rint(np.bincount(owner, weights=aligner.counts[numbers, k], minlength=n))
+                block.links, block.owner = aligner.linked(numbers), np.repeat(owner, aligner.size[numbers])
+                block.counts[:, 3] = np.bincount(block.owner, minlength=n)
+                bodies, at = list(map(aligner.text.__getitem__, numbers.tolist())), 0
+                for i in np.flatnonzero(fine).tolist():
+                    block.add(i, ";".join(bodies[at : at + len(split[i])]), with_groups)
+                    at += len(split[i])
                 kept = pa.StructArray.from_arrays([batch.column(k).slice(lo, hi - lo) for k in range(len(names))], names)
                 yield block.row(kept, with_groups)
 
@@ -448,7 +532,10 @@ def _long_blocks(with_groups: bool):
                 f = _fragment_back(own.slice(i, 1).to_pylist()[0]).whole()
                 block = _Block(1)
                 if f.ok:
-                    block.add(0, (f.n_a, f.n_b, f.n_groups), f.body, np.array(f.links, dtype=np.int64))
+                    block.add(0, f.body, with_groups)
+                    block.links = np.array(f.links, dtype=np.int64)
+                    block.owner = np.zeros(len(f.links), dtype=np.int64)
+                    block.counts[0] = f.n_a, f.n_b, f.n_groups, len(f.links)
                 kept = pa.StructArray.from_arrays([batch.column(k).slice(i, 1) for k in range(n)], batch.schema.names[:n])
                 yield block.row(kept, with_groups)
 

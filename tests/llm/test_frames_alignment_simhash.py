@@ -294,3 +294,27 @@ def test_links_connect_as_all_pairs_do(spark, crowd):
                 want.join(a, b)
     group = lambda s: sorted(sorted(v for v in ordered if s.find(v) == root) for root in {s.find(v) for v in ordered})
     assert group(got) == group(want)
+
+
+def test_spans_asked_for_again_stay_and_runs_equal_single_spans(monkeypatch):
+    monkeypatch.setattr(token_alignment, "REMEMBERED", 8)
+    aligner = Aligner(A, B)
+    often = [b"alpha", b"beta,", "日本".encode()]
+    for k in range(6):
+        aligner.trim()
+        aligner.learn([*often, *(b"w%d" % (10 * k + i) for i in range(4))])
+        if k:
+            assert all(s in aligner.index for s in often)
+        assert len(aligner.index) <= 8 + 7
+    numbers = aligner.learn(often)
+    fresh = Aligner(A, B)
+    for s, k in zip(often, numbers.tolist()):
+        (own,) = fresh.learn([s]).tolist()
+        assert aligner.text[k] == fresh.text[own] and aligner.counts[k].tolist() == fresh.counts[own].tolist()
+        assert aligner.linked(numbers[numbers == k]).tolist() == fresh.linked(fresh.learn([s])).tolist()
+    spans = [*often, b"x\ny", b"plain", b"</s>", b"123", "café".encode()]
+    assert aligner._run(spans) is not None and aligner._run([*spans, b"\n", b"z"]) is None
+    assert aligner._run(["a▁b".encode(), b"c"]) is None
+    for one, each in zip(aligner._run(spans)[:2], aligner._each(spans)[:2]):
+        assert all((x == y).all() for x, y in zip(one, each))
+    assert aligner._ids([*spans, b"\n", "a▁b".encode()])[2].tolist() == [True] * len(spans) + [True, False]
