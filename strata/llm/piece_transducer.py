@@ -16,8 +16,10 @@ input is reached by one finite path at most, and the shortest path is the librar
 weights are computed when first needed and remembered.
 
 Inputs are composed word by word: no piece holds the meta symbol behind another
-character, and a newline is no part of a piece, so paths never cross there.  A worker
-remembers the paths of recent words (a bounded table).
+character, and a newline is no part of a piece, so paths never cross there; nor do they between two
+characters that no piece holds side by side, so a word and its last characters (a comma) are composed
+apart where that is so.  A worker remembers the paths of recent words (two bounded tables: what is asked for again
+moves from the older to the newer one).
 
 Edge cases: a null or empty text encodes to no ids and decodes to the empty text; runs of spaces, leading and trailing
 spaces are kept; a literal meta symbol decodes to a space, as in the library; repeated
@@ -41,8 +43,9 @@ from strata.llm.schema_safe import own_name
 from strata.llm.text_arrays import chunks, text_column
 
 META = "▁"  # fixed value: the symbol that stands for a space
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 200_000
 REMEMBERED_PAIRS = 300_000
+REMEMBERED_SINGLE = 10_000
 #: Piece types of a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_KIND = 2
@@ -100,8 +103,16 @@ class Transducer:
         self.score = {p: s for p, s, k in pieces if k == NORMAL}
         if any(META in p.lstrip(META) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("pieces may hold the meta symbol in front only, and no newline")
-        #: every beginning of a piece, and whether it is a piece
-        self.trie = {p[:n]: p[:n] in self.ids for p in self.ids for n in range(1, len(p) + 1)}
+        #: the beginnings of pieces as a tree: by the next character, and under "" the piece that ends here
+        self.trie: dict = {}
+        for p in self.ids:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
+        #: characters side by side in a piece
+        self.bonds = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.single: dict[str, tuple[int, ...]] = {}
         if not all(c in self.ids for p in self.ids for c in p):
             raise ValueError("every character of a piece must be a piece")
         self.byte_ids = [0] * 256
@@ -145,14 +156,13 @@ class Transducer:
 
     def _arcs(self, word: str, at: int) -> list[str]:
         """The pieces that start at a position, short to long; an unknown character is an arc of its own."""
-        trie, out = self.trie, []
-        for end in range(at + 1, len(word) + 1):
-            piece = word[at:end]
-            known = trie.get(piece)
-            if known is None:
+        node, out = self.trie, []
+        for c in word[at:]:
+            node = node.get(c)
+            if node is None:
                 break
-            if known:
-                out.append(piece)
+            if "" in node:
+                out.append(node[""])
         return out or [word[at]]
 
     def shortest_path(self, word: str) -> tuple[int, ...]:
@@ -160,26 +170,35 @@ class Transducer:
 
         A position is reached by one path of weight 0 only, so one without a way on is dead for good.
         """
-        n, ids, finite = len(word), self.ids, self.finite
+        n, ids, finite, pairs, get_arcs = len(word), self.ids, self.finite, self.pairs, self._arcs
         path: list[str] = []
         opened: list[tuple[int, list[str]]] = []
         dead: set[int] = set()
-        at, arcs = 0, self._arcs(word, 0)
+        at, arcs, before = 0, get_arcs(word, 0), ""
         while at < n:
-            before = path[-1] if path and path[-1] in ids else ""
+            row = pairs.get(before)
             while arcs:
                 piece = arcs.pop()
                 end = at + len(piece)
-                if end not in dead and (piece not in ids or finite(before, piece)):
+                if end in dead:
+                    continue
+                known = row.get(piece) if row is not None else None
+                if known is None:
+                    known = piece not in ids or finite(before, piece)
+                    pairs = self.pairs
+                if known:
                     opened.append((at, arcs))
                     path.append(piece)
                     at = end
-                    arcs = self._arcs(word, at) if at < n else []
+                    before = piece if piece in ids else ""
+                    if at < n:
+                        arcs = get_arcs(word, at)
                     break
             else:
                 dead.add(at)
                 at, arcs = opened.pop()
                 path.pop()
+                before = path[-1] if path and path[-1] in ids else ""
         out: list[int] = []
         for piece in path:
             if piece in ids:
@@ -188,6 +207,15 @@ class Transducer:
                 out.extend(self.byte_ids[b] for b in piece.encode("utf-8"))
         return tuple(out)
 
+    def alone(self, character: str) -> tuple[int, ...]:
+        """The ids of a character that is in no piece with the one before."""
+        path = self.single.get(character)
+        if path is None:
+            if len(self.single) >= REMEMBERED_SINGLE:
+                self.single.clear()
+            path = self.single[character] = self.shortest_path(character)
+        return path
+
     def encode(self, text: str) -> Iterator[int]:
         """The ids of a text."""
         if not text:
@@ -208,16 +236,29 @@ _SEGMENT = re.compile(f"{META}*[^{META}\n]+|{META}+|\n")
 
 
 class _Words(dict):
-    """Ids of recent words; emptied when it is full.  A key without a leading newline follows a space."""
+    """Ids of recent words.  A key without a leading newline follows a space.
+
+    When half of what may be remembered is here, it becomes the older half; a word found there comes back.
+    """
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED_WORDS:
+        fst = self.transducer
+        path = self.older.get(word)
+        if path is None:
+            n = len(word)
+            while n > 1 and word[n - 2 : n] not in fst.bonds:
+                n -= 1
+            if n < len(word):
+                return self[word[:n]] + tuple(chain.from_iterable(map(fst.alone, word[n:])))
+            path = fst.shortest_path(word if word[:1] == "\n" else META + word)
+        if 2 * len(self) >= REMEMBERED_WORDS:
+            self.older = dict(self)
             self.clear()
-        path = self.transducer.shortest_path(word if word[:1] == "\n" else META + word)
         self[word] = path
         return path
 

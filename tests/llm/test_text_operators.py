@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from strata.llm import piece_transducer
 from strata.llm.html_extract import _Lines, extract_main_text, main_text, smooth, threshold
 from strata.llm.piece_transducer import Transducer, encode_decode
 from strata.llm.quality_rules import MAX_CLASS_DISTANCE, quality_rules
@@ -230,3 +231,21 @@ def test_given_pages(spark, small_dir):
         blocks = re.sub(r"</?(p|h1)>", "\n", article.replace("<br>", " "))
         blocks = entities.unescape(re.sub(r"<[^>]*>", "", blocks)).split("\n")
         assert r["text"] == "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+
+
+def test_words_fall_apart_where_no_piece_crosses(monkeypatch):
+    monkeypatch.setattr(piece_transducer, "REMEMBERED_WORDS", 6)
+    fst, sp = Transducer(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert "n," not in fst.bonds
+    composed, real = [], fst.shortest_path
+    monkeypatch.setattr(fst, "shortest_path", lambda word: composed.append(word) or real(word))
+    for text in ("nation", "nation,", "nation nation,"):
+        assert list(fst.encode(text)) == sp.encode(text)
+    assert composed.count("▁nation") == 1 and not any("nation," in word for word in composed)
+    # a word that is asked for again outlives the others
+    for k in range(40):
+        fst.words["nation"], fst.words[f"other{k}"]
+    assert composed.count("▁nation") == 1 and len(fst.words) + len(fst.words.older) <= 6
+    rare = "日本語" * 3000
+    for text in (rare, f"\n{rare},", ",.;", "\n,", f"a{rare}b\n.)("):
+        assert list(fst.encode(text)) == sp.encode(text)
