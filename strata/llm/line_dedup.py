@@ -20,8 +20,10 @@ filter is exact.  It also says in which half a line needs variants.
 More edits: a line is split into ``max_edits + 1`` parts, and of two lines within the bound one part of the shorter
 stands unchanged in the longer, shifted by no more than the edits before and behind it allow (Li, Deng,
 Wang, Feng: "Pass-Join", 2011).  Lines whose part keys occur on no other line have no partner, which is exact again.
-Lines that share a key become a pair if the parities of their code points (64 classes) differ in at most two classes
-an edit, and a link if their edit distance says so.  Links are listed, as they are counted.
+Part keys are packed and dealt by key, and a task looks up the repeated ones among its own.  Lines that share a key
+become a pair if the parities of their code points (64 classes) differ in at most two classes an edit and those of their
+neighbouring code points (256 classes) in at most four, and a link if their edit distance says so.  Links are listed, as
+they are counted.
 
 Lines are compared as they are, without a trailing \r.  Lines of at least ``min_chars`` code points are compared with the
 edit bound; shorter ones with a word, of at least ``exact_chars`` code points, for equality only (None: not at all).
@@ -35,6 +37,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -54,6 +57,11 @@ EXACT_CHARS = 1
 MIN_CHARS = 24
 #: Up to so many occurrences to look up (16 MB) are broadcast; more are joined by a shuffle.
 SMALL_LOOKUP = 400_000
+#: Part keys packed at once by a task; text whose part keys a task looks up at once.
+PACKED_KEYS = 1 << 20
+BUCKET_BYTES = 8 << 20
+#: Words of 64 bits that hold the parities of neighbouring code points.
+SKETCH = 4
 HALVES = ("p0", "s0", "p1", "s1")  # front and rear half, for pairs whose shorter line has this length, or one less
 
 
@@ -127,13 +135,6 @@ class Lines:
                     (other if less or shift else own).append(np.ma.masked_array(part.view(np.int64), ~fits))
         return rows, own, other
 
-    def parities(self) -> np.ndarray:
-        """For each line, which of 64 classes of code points occur an odd number of times: an edit changes two at most."""
-        lead, last = self.flat.buf[self.at[:-1]], self.flat.buf[self.at[1:] - 1]
-        kind = (lead * np.uint8(7) + last * np.uint8(4)) & np.uint8(63)
-        odd = np.append(np.uint64(0), np.bitwise_xor.accumulate((np.uint64(1) << np.arange(64, dtype=np.uint64))[kind]))
-        return odd[self.points[self.end]] ^ odd[self.points[self.start]]
-
 
 def _print(text: str):
     """Tells apart the texts of rows that repeat a key."""
@@ -168,52 +169,125 @@ def line_table(docs: DataFrame, key: str, text: str, min_chars: int, exact_chars
     return slim.mapInArrow(read, f"key {key_type}, print long, n_lines long, lines array<struct<{fields}>>")
 
 
-def part_table(docs: DataFrame, key: str, text: str, min_chars: int, max_edits: int) -> DataFrame:
-    """``(part, own, id, parity)``: the part keys of every near line; ``own`` for the parts of its own length and place."""
+def part_table(docs: DataFrame, key: str, text: str, min_chars: int, max_edits: int, buckets: int) -> DataFrame:
+    """``(bucket, own, other)``: packed pairs of part key and line hash of every near line, dealt by part key.
+
+    ``own`` holds the parts of a line's own length and place, ``other`` what may be a part of a shorter line.
+    """
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.BinaryArray:
+        part, line = (np.concatenate(x) for x in zip(*held))
+        bucket = part % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        off = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).astype(np.int32) * 16
+        pairs = np.stack([part[order], line[order]], axis=1)
+        return pa.BinaryArray.from_buffers(pa.binary(), buckets, [None, pa.py_buffer(off), pa.py_buffer(pairs)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(np.arange(buckets)), *map(packed, held)]
+            held[0].clear(), held[1].clear()
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "own", "other"])
+
         for batch in batches:
             texts = text_column(batch, "text")
             for lo, hi in chunks(texts):
                 lines = Lines(Flat(texts, lo, hi), min_chars, None)
-                rows, own, other = lines.part_keys(max_edits, min_chars)
-                parity = lines.parities()[rows].view(np.int64)
+                rows, *kinds = lines.part_keys(max_edits, min_chars)
                 # a line that repeats within the chunk is sent once
                 once = np.unique(lines.h1[rows], return_index=True)[1]
-                table = np.ma.stack([x[once] for x in own + other], axis=1)
-                fits = ~np.ma.getmaskarray(table)
-                off = np.append(0, np.cumsum(fits.sum(axis=1))).astype(np.int32)
-                is_own = np.broadcast_to(np.arange(table.shape[1]) < len(own), table.shape)
-                parts = pa.StructArray.from_arrays([pa.array(table.data[fits]), pa.array(is_own[fits])], ["part", "own"])
-                hashes = [pa.array(x[rows][once].view(np.int64)) for x in (lines.h1, lines.h2)]
-                yield pa.RecordBatch.from_arrays(
-                    [*hashes, pa.array(parity[once]), pa.ListArray.from_arrays(pa.array(off), parts)],
-                    names=["h1", "h2", "parity", "parts"])
+                line = lines.h1[rows][once]
+                for keys, of in zip(kinds, held):
+                    table = np.ma.stack([x[once] for x in keys], axis=1)
+                    fits = ~np.ma.getmaskarray(table)
+                    of.append((table.data[fits].view(np.uint64), np.repeat(line, fits.sum(axis=1))))
+                if sum(len(x) for of in held for x, _ in of) >= PACKED_KEYS:
+                    yield flushed()
+        if held[0]:
+            yield flushed()
 
     slim = docs.where(F.col(key).isNotNull()).select(F.col(text).cast("string").alias("text"))
-    rows = slim.mapInArrow(read, "h1 long, h2 long, parity long, parts array<struct<part: bigint, own: boolean>>")
-    return rows.select(F.xxhash64("h1", "h2").alias("id"), "parity", F.explode("parts").alias("p")).select(
-        "p.part", "p.own", "id", "parity")
+    return slim.mapInArrow(read, "bucket long, own binary, other binary").where(
+        (F.octet_length("own") > 0) | (F.octet_length("other") > 0))
+
+
+def _shared_parts(table: pa.Table) -> pa.Table:
+    """``(part, own, h1)`` of the parts that two lines or more have, one of them as its own; each line once a part."""
+    own, other = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64).reshape(-1, 2) for c in ("own", "other"))
+    part, line = np.concatenate([own, other]).T
+    mine = np.arange(len(part)) < len(own)
+    order = np.argsort(part)
+    again = part[order][1:] == part[order][:-1]
+    at = order[np.append(again, False) | np.append(False, again)] if len(order) else order
+    part, line, mine = part[at], line[at], mine[at]
+    order = np.lexsort((~mine, line, part))
+    part, line, mine = part[order], line[order], mine[order]
+    new = np.ones(len(part), dtype=bool)
+    new[1:] = (part[1:] != part[:-1]) | (line[1:] != line[:-1])
+    part, line, mine = part[new], line[new], mine[new]
+    first = np.ones(len(part), dtype=bool)
+    first[1:] = part[1:] != part[:-1]
+    start = np.flatnonzero(first)
+    n = np.diff(np.append(start, len(part)))
+    shared = np.repeat((n > 1) & np.logical_or.reduceat(mine, start), n) if len(start) else first
+    return pa.table({"part": pa.array(part[shared].view(np.int64)), "own": pa.array(mine[shared]),
+                     "h1": pa.array(line[shared].view(np.int64))})
+
+
+def _sketched(lines: DataFrame) -> DataFrame:
+    """``(id, h1, parity, s0 ...)``: which classes of code points, and of neighbours, occur an odd number of times in a line.
+
+    An edit changes two classes of code points at most, and four of neighbours.
+    """
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_column(batch, "line")
+            for lo, hi in chunks(texts):
+                whole = texts.slice(lo, hi - lo).to_pylist()
+                code = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32).astype(np.uint64)
+                end = np.cumsum([len(x) for x in whole])
+                start = np.append(0, end)[:-1]
+
+                def odd(bits: np.ndarray) -> pa.Array:
+                    total = np.append(np.uint64(0), np.bitwise_xor.accumulate(bits))
+                    return pa.array((total[end] ^ total[start]).view(np.int64))
+
+                two = mix((code << np.uint64(32)) + np.append(code[1:], np.uint64(0))) % np.uint64(64 * SKETCH)
+                inner = np.ones(len(code), dtype=bool)
+                inner[end[end > start] - 1] = False
+                cols = [odd(bit[code & np.uint64(63)])] + [
+                    odd(np.where(inner & (two >> np.uint64(6) == k), bit[two & np.uint64(63)], np.uint64(0)))
+                    for k in range(SKETCH)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).slice(lo, hi - lo) for i in (0, 1)] + cols,
+                    names=["id", "h1", "parity", *(f"s{k}" for k in range(SKETCH))])
+
+    return lines.select("id", "h1", "line").mapInArrow(
+        sketch, "id long, h1 long, parity long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
 def near_pairs(
     docs: DataFrame, distinct: DataFrame, key: str, text: str, min_chars: int, max_edits: int, small: int
 ) -> DataFrame:
     """``(a, b, group)``: every two distinct lines at most ``max_edits`` edits apart, verified; ``group`` is null."""
-    parts = part_table(docs, key, text, min_chars, max_edits)
-    shared = _kept(parts.groupBy("part").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own")).where(
-        "low != high and own").select("part"))
-    few = shared.limit(small + 1).count() <= small
-    live = _kept(parts.join(F.broadcast(shared) if few else shared, "part").distinct())
-    left = live.where("own").select("part", F.col("id").alias("a"), F.col("parity").alias("parity_a"))
-    right = live.select("part", F.col("id").alias("b"), F.col("parity").alias("parity_b"))
-    apart = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * max_edits
-    pairs = left.join(right, "part").where((F.col("a") != F.col("b")) & apart).select(
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    buckets = max(4 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / BUCKET_BYTES))
+    parts = part_table(docs, key, text, min_chars, max_edits, buckets)
+    live = _kept(parts.groupBy("bucket").applyInArrow(_shared_parts, "part long, own boolean, h1 long"))
+    wanted = _kept(distinct.join(live.select("h1").distinct(), "h1").select("id", "h1", "first"))
+    lines = _texts(docs, wanted, key, text, small)
+    live = live.join(_sketched(lines), "h1").drop("h1")
+    words = ["parity", *(f"s{k}" for k in range(SKETCH))]
+    left = live.where("own").select("part", F.col("id").alias("a"), *[F.col(w).alias(f"{w}_a") for w in words])
+    right = live.select("part", F.col("id").alias("b"), *[F.col(w).alias(f"{w}_b") for w in words])
+    apart = [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words]
+    near = (apart[0] <= 2 * max_edits) & (sum(apart[2:], apart[1]) <= 4 * max_edits)
+    pairs = left.join(right, "part").where((F.col("a") != F.col("b")) & near).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = _kept(pairs)
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    lines = _texts(docs, distinct.join(asked, "id").select("id", "first"), key, text, small)
     return _verified(pairs.withColumn("group", F.lit(None).cast("long")), lines, max_edits)
 
 

@@ -5,13 +5,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strata.llm.inverted_multi_index import nearest_cells, search
 from strata.llm.kneser_ney import from_steps, pack, perplexity_filter, score_documents, steps, unpack
-from strata.llm.line_dedup import drop_repeated_lines, repeated_lines
+from strata.llm.line_dedup import SKETCH, _shared_parts, _sketched, drop_repeated_lines, repeated_lines
 from strata.llm.mixing import mix_documents, source_targets, word_sizes
 from strata.llm.prob_minhash import (
     keep_one_per_class, near_duplicate_classes, probability_jaccard, signatures)
@@ -407,6 +408,59 @@ def test_short_lines_and_edit_bounds_equal_brute_force(spark, max_edits, small):
     assert {r["doc_id"]: (r["dropped"], r["n_links"]) for r in out} == plain_near_lines(texts, 6, max_edits)
 
 
+def test_line_sketches_keep_near_lines_and_tell_others_apart(spark):
+    """Lines around one base with four letters put in somewhere share parts, but are hardly ever joined."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz ,.éß日"
+    base = "".join(rng.choice(letters) for _ in range(300))
+
+    def put(line, at, what, gone=0):
+        return line[:at] + what + line[at + gone :]
+
+    far = [put(base, rng.randrange(300), "".join(rng.choice(letters[:26]) for _ in range(4))) for _ in range(150)]
+    near = []
+    for _ in range(300):
+        line = rng.choice([*far, "", "ab"])
+        for _ in range(2):
+            line = put(line, rng.randrange(len(line) + 1), rng.choice(["", *letters]), rng.randrange(2))
+        near.append(line)
+    starts = [*far, "", "ab"]
+    lines = starts + near
+    rows = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "id long, h1 long, line string")
+    got = {r["id"]: r for r in _sketched(rows).collect()}
+    bits = lambda x, y: [bin((got[x][c] ^ got[y][c]) & (2**64 - 1)).count("1") for c in ("parity", *words)]
+    words = [f"s{k}" for k in range(SKETCH)]
+    passes = lambda x, y: (d := bits(x, y))[0] <= 4 and sum(d[1:]) <= 8
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    some = [(rng.randrange(len(starts)), rng.randrange(len(starts), len(lines))) for _ in range(200)]
+    some += [(starts.index(x), len(starts) + k) for k, y in enumerate(near) for x in ("", "ab") if len(y) < 5]
+    assert all(passes(x, y) for x, y in some if edits(lines[x], lines[y]) <= 2)
+    found = sum(passes(x, y) for x in range(150) for y in range(x))
+    assert found < 0.05 * 150 * 149 / 2
+
+
+def test_shared_parts_of_packed_keys():
+    pack = lambda *pairs: np.array(pairs, dtype=np.uint64).tobytes()
+    big = 2**64 - 5
+    table = pa.table({"own": [pack((1, 7), (2, 7), (3, 7), (big, 9)), b"", pack((1, 7), (3, 8))],
+                      "other": [pack((2, 8), (4, 8)), pack((4, 9), (1, 7), (big, 8)), pack((2, 8))]})
+    got = sorted(_shared_parts(table).to_pylist(), key=lambda r: (r["part"], r["h1"]))
+    signed = big - 2**64
+    # 1: one line only; 4: no line's own; a line that has a part twice comes once, as its own if it is
+    assert [(r["part"], r["h1"], r["own"]) for r in got] == [
+        (signed, 8, False), (signed, 9, True), (2, 7, True), (2, 8, False), (3, 7, True), (3, 8, True)]
+    nothing_ = _shared_parts(pa.table({"own": [b""], "other": [b""]}))
+    assert nothing_.num_rows == 0 and nothing_.schema.names == ["part", "own", "h1"]
+
+
 def test_pipeline_drops_short_repeated_lines(spark, small_dir, nothing):
     texts = {1: "Les.\nAll rights reserved.\n\n日本語です。", 2: "Les.\n\nAll rights reserved.\nnew", 3: "日本語です。\n\nLes."}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
