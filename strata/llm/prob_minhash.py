@@ -22,7 +22,10 @@ at least ``threshold``.  Pairs are not listed:
    have their first shared shingle among those that make up the first ``1 - threshold`` of their weight.
    The order is by frequency among the contested, so a passage that many documents share comes last;
    a document with more than that weight on shingles of its own drops out at once.  Only pairs from
-   different components that pass the size bound at a shingle they meet under are listed and verified.
+   different components that pass the size bound at a shingle they meet under are listed and verified; two
+   documents without repeated shingles must also differ in no more shingles than their sizes allow, by a sketch that
+   never counts too many.  One node stands for its component under a shingle first; all nodes follow only for components
+   that this has not joined.
 
 No bucket is capped and no row is dropped; a bucket of any size costs what its rows cost.
 
@@ -49,6 +52,8 @@ from strata.session import checkpoint_dir
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
+#: Words of 64 bits that hold which classes of shingles occur an odd number of times.
+SKETCH = 8
 #: Up to so many keys (16 MB) are broadcast to look documents up; more are joined by a shuffle.
 SMALL_KEYS = 1_000_000
 _ARRIVAL, _REGISTER = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -210,8 +215,49 @@ def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _kept(nodes.join(found, "node", "left").select("node", F.coalesce("found", "node").alias("label")))
 
 
-def _contested_pairs(texts: DataFrame, labels: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs ``(a, b)`` of contested nodes from different components that share a prefix shingle."""
+def shingle_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """``(node, total, s0 ...)`` of the documents without repeated shingles: the parities of their shingles' classes.
+
+    Two such documents have at least as many shingles that only one of them has as their sketches differ in bits.
+    """
+    key_type = texts.schema["key"].dataType.simpleString()
+    words = [f"s{k}" for k in range(SKETCH)]
+    bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = text_column(batch, "text")
+            for lo, hi in chunks(whole):
+                owner, shingle, weight = weighted_shingles(Flat(whole, lo, hi), size)
+                off = np.searchsorted(owner, np.arange(hi - lo + 1))
+                place = mix(shingle ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * SKETCH)
+                cols = []
+                for k in range(SKETCH):
+                    own = np.where(place >> np.uint64(6) == k, bit[place & np.uint64(63)], np.uint64(0))
+                    odd = np.append(np.uint64(0), np.bitwise_xor.accumulate(own))
+                    cols.append(pa.array((odd[off[1:]] ^ odd[off[:-1]]).view(np.int64)))
+                total = np.bincount(owner, weights=weight, minlength=hi - lo)
+                found = pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.rint(total).astype(np.int64)), *cols],
+                    names=["node", "total", *words])
+                yield found.filter(pa.array(np.diff(off) == np.rint(total)))
+
+    return texts.select("key", "text").mapInArrow(
+        sketch, f"node {key_type}, total long, " + ", ".join(f"{w} long" for w in words))
+
+
+def _may_link(x: str, y: str, threshold: float):
+    """Whether two sketches allow a similarity of ``threshold``; true where a side has none.
+
+    Of sets of n and m elements, at most (n + m) (1 - t) / (1 + t) are in one only at a Jaccard similarity of t or more.
+    """
+    apart = [F.bit_count(F.col(f"s{k}_{x}").bitwiseXOR(F.col(f"s{k}_{y}"))) for k in range(SKETCH)]
+    most = (F.col(f"total_{x}") + F.col(f"total_{y}")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return F.coalesce(sum(apart[1:], apart[0]) <= most, F.lit(True))
+
+
+def _contested_prefixes(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``(node, shingle, least, cap, total, s0 ...)``: the prefix shingles of contested nodes, their bounds and sketches."""
     key_type = texts.schema["key"].dataType.simpleString()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,20 +287,38 @@ def _contested_pairs(texts: DataFrame, labels: DataFrame, size: int, threshold:
     cap = (1 + 1 / threshold) * (F.col("total") - F.col("ahead")) - F.col("total") + 1e-6
     prefix = prefix.select("node", "shingle", F.when(plain, F.col("total")).otherwise(0).cast("double").alias("least"),
                            F.when(plain, cap).otherwise(F.lit(float("inf"))).alias("cap"))
-    prefix = _kept(prefix.join(labels, "node"))
+    return _kept(prefix.join(shingle_sketches(texts, size), "node", "left"))
+
+
+def _contested_pairs(prefix: DataFrame, labels: DataFrame, threshold: float, one_each: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of contested nodes from different components that share a prefix shingle.
+
+    With ``one_each`` the smallest node stands for its component under a shingle.
+    """
+    prefix = prefix.join(labels, "node")
     mixed = prefix.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h")
-    prefix = prefix.join(mixed.select("shingle"), "shingle", "left_semi")
+    prefix = _kept(prefix.join(mixed.select("shingle"), "shingle", "left_semi"))
     # components that meet under a shingle and may hold a link first, then their nodes: nodes of one component are
     # never paired
+    sketched = ["total", *(f"s{k}" for k in range(SKETCH))]
     side = lambda rows, x: rows.select(
         "shingle", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "shingle"])
     may = "least_a <= cap_b and least_b <= cap_a"
-    met = prefix.groupBy("shingle", "label").agg(F.min("least").alias("least"), F.max("cap").alias("cap"))
-    met = side(met, "a").join(side(met, "b"), "shingle").where(f"label_a < label_b and {may}").select(
-        "shingle", "label_a", "label_b", F.col("least_b").alias("least_lb"), F.col("cap_b").alias("cap_lb"))
-    pairs = met.join(side(prefix, "a"), ["shingle", "label_a"]).where("least_a <= cap_lb and least_lb <= cap_a")
-    pairs = pairs.drop("least_lb", "cap_lb").join(side(prefix, "b"), ["shingle", "label_b"])
-    return pairs.where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    one = F.count("*") == 1  # the sketch of a component with one node here
+    met = prefix.groupBy("shingle", "label").agg(
+        F.min("least").alias("least"), F.max("cap").alias("cap"), F.min("node").alias("node"),
+        *[F.when(one, F.first(c)).alias(c) for c in sketched])
+    met = side(met, "a").join(side(met, "b"), "shingle").where(f"label_a < label_b and {may}").where(
+        _may_link("a", "b", threshold))
+    if one_each:
+        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = met.select("shingle", "label_a", "label_b", *[
+        F.col(f"{c}_b").alias(f"{c}_lb") for c in ("least", "cap", *sketched)])
+    pairs = met.join(side(prefix, "a"), ["shingle", "label_a"]).where("least_a <= cap_lb and least_lb <= cap_a").where(
+        _may_link("a", "lb", threshold))
+    pairs = pairs.drop(*[f"{c}_lb" for c in ("least", "cap", *sketched)]).join(side(prefix, "b"), ["shingle", "label_b"])
+    return pairs.where(may).where(_may_link("a", "b", threshold)).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicate_classes(
@@ -294,7 +358,11 @@ def near_duplicate_classes(
     contested = seen.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h")
     open_nodes = _kept(seen.join(contested.select("band"), "band", "left_semi").select("node").distinct())
     open_texts = texts.join(open_nodes.withColumnRenamed("node", "key"), "key", "left_semi")
-    more = _contested_pairs(open_texts, labels.join(open_nodes, "node", "left_semi"), size, threshold)
+    prefix = _contested_prefixes(open_texts, size, threshold)
+    some = _kept(_contested_pairs(prefix, labels, threshold, one_each=True))
+    links = _kept(links.unionByName(verified(some, texts, size, threshold).select("a", "b")))
+    labels = _labelled(nodes, links)
+    more = _contested_pairs(prefix, labels, threshold, one_each=False).join(some, ["a", "b"], "left_anti")
     links = _kept(links.unionByName(verified(more, texts, size, threshold).select("a", "b")))
     labels = _labelled(nodes, links)
 

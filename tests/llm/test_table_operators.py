@@ -10,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from strata.llm import prob_minhash
 from strata.llm.inverted_multi_index import nearest_cells, search
 from strata.llm.kneser_ney import from_steps, pack, perplexity_filter, score_documents, steps, unpack
 from strata.llm.line_dedup import SKETCH, _shared_parts, _sketched, drop_repeated_lines, repeated_lines
 from strata.llm.mixing import mix_documents, source_targets, word_sizes
 from strata.llm.prob_minhash import (
-    keep_one_per_class, near_duplicate_classes, probability_jaccard, signatures)
+    keep_one_per_class, near_duplicate_classes, probability_jaccard, shingle_sketches, signatures)
 from strata.llm.warc_revisits import canonical_url, resolve_revisits
 
 # --- near duplicates -------------------------------------------------------------------------
@@ -98,6 +99,38 @@ def test_classes_of_given_documents(documents, document_rows):
     assert got == plain_classes({r["doc_id"]: r["text"] for r in document_rows})
 
 
+def test_shingle_sketches_never_count_too_many(spark):
+    texts = {k: t for k, t in variants().items() if t}
+    texts[10_001], texts[10_002] = "a b c d e f g a b c d e f", "one two"
+    rows = spark.createDataFrame(list(texts.items()), "key long, text string")
+    got = {r["node"]: r for r in shingle_sketches(rows, 5).collect()}
+    sets = {k: shingles(t) for k, t in texts.items()}
+    assert set(got) == {k for k, p in sets.items() if max(p.values(), default=1) == 1}
+    assert 10_001 not in got and got[10_002]["total"] == 1
+    words = [f"s{k}" for k in range(prob_minhash.SKETCH)]
+    apart = lambda x, y: sum(bin((got[x][w] ^ got[y][w]) & (2**64 - 1)).count("1") for w in words)
+    keys = sorted(got)
+    for x in keys:
+        assert got[x]["total"] == len(sets[x])
+        assert all(apart(x, y) <= len(sets[x].keys() ^ sets[y].keys()) for y in keys[:60])
+
+
+def test_components_are_joined_by_one_pair_first(spark):
+    """Two large components with many links between them: their nodes are not all paired."""
+    n = 30
+    some = [(i, 1, 0.0, 1e9, None, *([None] * prob_minhash.SKETCH)) for i in range(2 * n)]
+    schema = "node long, shingle long, least double, cap double, total long, " + ", ".join(
+        f"s{k} long" for k in range(prob_minhash.SKETCH))
+    prefix = spark.createDataFrame(some, schema)
+    labels = spark.createDataFrame([(i, 0 if i < n else n) for i in range(2 * n)], "node long, label long")
+    first = prob_minhash._contested_pairs(prefix, labels, 0.8, one_each=True).collect()
+    assert [tuple(r) for r in first] == [(0, n)]
+    joined = spark.createDataFrame([(i, 0) for i in range(2 * n)], "node long, label long")
+    assert prob_minhash._contested_pairs(prefix, joined, 0.8, one_each=False).count() == 0
+    every = prob_minhash._contested_pairs(prefix, labels, 0.8, one_each=False)
+    assert every.count() == n * n
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a, b = r.integers(1, 1 << 62, 60).astype(np.uint64), r.integers(1, 1 << 62, 60).astype(np.uint64)
