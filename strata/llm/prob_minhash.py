@@ -24,8 +24,9 @@ at least ``threshold``.  Pairs are not listed:
    a document with more than that weight on shingles of its own drops out at once.  Only pairs from
    different components that pass the size bound at a shingle they meet under are listed and verified; two
    documents without repeated shingles must also differ in no more shingles than their sizes allow, by a sketch that
-   never counts too many.  One node stands for its component under a shingle first; all nodes follow only for components
-   that this has not joined.
+   never counts too many.  First every node meets two nodes that stand for the shingle, so a large group of copies becomes
+   one component by a number of pairs linear in its rows.  Then one node stands for its component under a shingle; all
+   nodes follow only for components that this has not joined.
 
 No bucket is capped and no row is dropped; a bucket of any size costs what its rows cost.
 
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from strata.llm.schema_safe import own_name
 from strata.llm.text_arrays import Flat, chunks, mix, text_column, window_hash
 from strata.operators.components import connected_components
-from strata.session import checkpoint_dir
+from strata.session import checkpoint_dir, gathered
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -209,10 +210,18 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {key_type}, b {key_type}, similarity double")
 
 
-def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, label)`` of all nodes: the smallest node of the component."""
-    found = connected_components(edges, "a", "b").withColumnRenamed("label", "found")
-    return _kept(nodes.join(found, "node", "left").select("node", F.coalesce("found", "node").alias("label")))
+def _labelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, label)`` of all nodes after ``links``: the smallest node of the component.
+
+    Components that ``labels`` holds already are one node each, so only what links join is worked on.
+    """
+    met = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    met = _kept(met.where("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    if met.isEmpty():
+        return labels
+    found = connected_components(met, "a", "b").select(F.col("node").alias("label"), F.col("label").alias("found"))
+    return gathered(_kept(labels.join(found, "label", "left").select("node", F.coalesce("found", "label").alias("label"))))
 
 
 def shingle_sketches(texts: DataFrame, size: int) -> DataFrame:
@@ -290,6 +299,25 @@ def _contested_prefixes(texts: DataFrame, size: int, threshold: float) -> DataFr
     return _kept(prefix.join(shingle_sketches(texts, size), "node", "left"))
 
 
+def _hub_pairs(prefix: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of contested nodes with one of two nodes that stand for their prefix shingle: linear in the rows.
+
+    The two are first and last in an order by hash that is the same under all shingles, so nodes that share many shingles
+    mostly meet the same ones.
+    """
+    prefix = prefix.join(labels, "node")
+    place, whole = F.xxhash64("node"), F.struct(*prefix.columns)
+    hubs = prefix.groupBy("shingle").agg(
+        F.min("label").alias("l"), F.max("label").alias("h"),
+        F.min(F.struct(place.alias("place"), whole.alias("hub"))).alias("low"),
+        F.max(F.struct(place.alias("place"), whole.alias("hub"))).alias("top")).where("l != h")
+    hubs = hubs.select("shingle", F.explode(F.array("low.hub", "top.hub")).alias("hub"))
+    hubs = hubs.select("shingle", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in prefix.columns if c != "shingle"])
+    met = prefix.select("shingle", *[F.col(c).alias(f"{c}_a") for c in prefix.columns if c != "shingle"]).join(hubs, "shingle")
+    met = met.where("label_a != label_b and least_a <= cap_b and least_b <= cap_a").where(_may_link("a", "b", threshold))
+    return met.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
 def _contested_pairs(prefix: DataFrame, labels: DataFrame, threshold: float, one_each: bool) -> DataFrame:
     """Pairs ``(a, b)`` of contested nodes from different components that share a prefix shingle.
 
@@ -345,26 +373,26 @@ def near_duplicate_classes(
     nodes = member.select("node").distinct()
     texts = _kept(_texts_of(docs, key, text, nodes.select(F.col("node").alias("key")), small))
 
+    def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+        return _labelled(labels, verified(found, texts, size, threshold).select("a", "b"))
+
     first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    links = _kept(verified(first, texts, size, threshold).select("a", "b"))
-    labels = _labelled(nodes, links)
+    labels = joined(_kept(nodes.select("node", F.col("node").alias("label"))), first)
     ends = lambda df: df.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
         labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
-    rest = ends(pairs.join(first, ["a", "b"], "left_anti")).select("a", "b")
-    links = _kept(links.unionByName(verified(rest, texts, size, threshold).select("a", "b")))
-    labels = _labelled(nodes, links)
+    labels = joined(labels, ends(pairs.join(first, ["a", "b"], "left_anti")).select("a", "b"))
 
     seen = member.join(labels, "node")
     contested = seen.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h")
     open_nodes = _kept(seen.join(contested.select("band"), "band", "left_semi").select("node").distinct())
-    open_texts = texts.join(open_nodes.withColumnRenamed("node", "key"), "key", "left_semi")
-    prefix = _contested_prefixes(open_texts, size, threshold)
-    some = _kept(_contested_pairs(prefix, labels, threshold, one_each=True))
-    links = _kept(links.unionByName(verified(some, texts, size, threshold).select("a", "b")))
-    labels = _labelled(nodes, links)
-    more = _contested_pairs(prefix, labels, threshold, one_each=False).join(some, ["a", "b"], "left_anti")
-    links = _kept(links.unionByName(verified(more, texts, size, threshold).select("a", "b")))
-    labels = _labelled(nodes, links)
+    if not open_nodes.isEmpty():
+        open_texts = texts.join(open_nodes.withColumnRenamed("node", "key"), "key", "left_semi")
+        prefix = _contested_prefixes(open_texts, size, threshold)
+        labels = joined(labels, _hub_pairs(prefix, labels, threshold))
+        some = _kept(_contested_pairs(prefix, labels, threshold, one_each=True))
+        labels = joined(labels, some)
+        more = _contested_pairs(prefix, labels, threshold, one_each=False)
+        labels = joined(labels, more.join(some, ["a", "b"], "left_anti"))
 
     out = sketches.select("key", "n_shingles", "f1", "f2").join(copies.select("f1", "f2", "node"), ["f1", "f2"], "left")
     out = out.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))

@@ -131,6 +131,37 @@ def test_components_are_joined_by_one_pair_first(spark):
     assert every.count() == n * n
 
 
+def test_a_group_of_copies_meets_two_hubs(spark):
+    """Copies that meet under many shingles: pairs linear in the nodes, not all of them."""
+    n = 40
+    some = [(i, k, 0.0, 1e9, None, *([None] * prob_minhash.SKETCH)) for i in range(n) for k in range(6)]
+    schema = "node long, shingle long, least double, cap double, total long, " + ", ".join(
+        f"s{k} long" for k in range(prob_minhash.SKETCH))
+    prefix = spark.createDataFrame(some, schema)
+    labels = spark.createDataFrame([(i, i) for i in range(n)], "node long, label long")
+    pairs = {tuple(r) for r in prob_minhash._hub_pairs(prefix, labels, 0.8).collect()}
+    assert n - 1 <= len(pairs) <= 2 * n and all(a > b for a, b in pairs)
+    assert len({x for p in pairs for x in p}) == n
+    one = spark.createDataFrame([(i, 0) for i in range(n)], "node long, label long")
+    assert prob_minhash._hub_pairs(prefix, one, 0.8).count() == 0
+
+
+def test_a_small_edge_list_is_read_in_few_partitions(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+        labels = spark.createDataFrame([(i, i) for i in range(32)], "node long, label long")
+        got = prob_minhash._labelled(labels, edges)
+        assert got.rdd.getNumPartitions() == 1
+        assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(31)} | {(31, 31)}
+        # components that are known already are one node each
+        more = prob_minhash._labelled(got, spark.createDataFrame([(31, 5), (7, 3)], "a long, b long"))
+        assert {tuple(r) for r in more.collect()} == {(i, 0) for i in range(32)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     a, b = r.integers(1, 1 << 62, 60).astype(np.uint64), r.integers(1, 1 << 62, 60).astype(np.uint64)
