@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.schema_safe import own_name
@@ -198,11 +198,15 @@ def _differ(a: str, b: str) -> Column:
 
 
 def _stars(prints: DataFrame, most: int) -> DataFrame:
-    """Links ``(a, b)`` of fingerprints within ``2 * most`` bits, each to the smallest that shares a ball value."""
+    """Links ``(a, b)`` of fingerprints within ``2 * most`` bits, each to the smallest that shares a ball value.
+
+    ``prints(p)`` are distinct, so a value is entered by a ball's size of them at most, whatever the input.  The smallest is
+    found in the order of the values, without a join: a planner takes a side of exploded rows to be as
+    small as what it was exploded from, and would send millions of ball values to the driver.
+    """
     entered = prints.select("p", _ball(F.col("p"), 64, most).alias("value"))
-    hubs = entered.groupBy("value").agg(F.min("p").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return entered.join(hubs.select("value", "hub"), "value").where("p != hub").select(
-        F.col("hub").alias("a"), F.col("p").alias("b")).distinct()
+    hub = F.min("p").over(Window.partitionBy("value"))
+    return entered.select("p", hub.alias("hub")).where("p != hub").select(F.col("hub").alias("a"), F.col("p").alias("b")).distinct()
 
 
 def linked_prints(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -220,10 +224,11 @@ def linked_prints(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     mixed = share.groupBy("segment", "value").agg(
         F.sum("k").alias("n"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")
     ).where("pairs > 0").select("segment", "value", (F.col("pairs") > crowd * F.col("n")).alias("crowded"))
-    entries = cut(table.join(mixed, ["segment", "value"]))
+    # merge joins: ball values are never sent to the driver, however few fingerprints they come from
+    entries = cut(table.join(mixed.hint("merge"), ["segment", "value"]))
     few = entries.where("NOT crowded")
     pairs = few.select("segment", "value", F.col("p").alias("a"), F.col("label").alias("la")).join(
-        few.select("segment", "value", F.col("p").alias("b"), F.col("label").alias("lb")), ["segment", "value"]
+        few.select("segment", "value", F.col("p").alias("b"), F.col("label").alias("lb")).hint("merge"), ["segment", "value"]
     ).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (_differ("a", "b") <= MAX_BITS))
     dense = _stars(entries.where("crowded").select("p").distinct(), MAX_BITS // 2)
     return near.unionByName(pairs.select("a", "b").distinct()).unionByName(dense)

@@ -16,6 +16,7 @@ from strata.llm import fim_frames, simhash, token_alignment
 from strata.llm.fim_frames import Frames, fill_in_middle, frame_texts, plan_cuts
 from strata.llm.simhash import linked_prints, simhash_components
 from strata.llm.token_alignment import Aligner, Fragment, align_tokenizers, compose
+from strata.session import cut
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -296,6 +297,24 @@ def test_links_connect_as_all_pairs_do(spark, crowd):
     assert group(got) == group(want)
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_ball_values_are_not_broadcast(spark, most):
+    r = random.Random(4)
+    centres = [r.getrandbits(63) for _ in range(60)]
+    values = sorted({c ^ (1 << a) ^ (1 << b) for c in centres for a, b in [r.sample(range(63), 2) for _ in range(4)]})
+    links = simhash._stars(cut(spark.createDataFrame([(v,) for v in values], "p long")), most)
+    found = links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    flips = [0, *(1 << a for a in range(64)), *(1 << a | 1 << b for a in range(64) for b in range(a) if most == 2)]
+    at = defaultdict(list)
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    for v in values:
+        for f in flips:
+            at[v ^ f].append(signed(v))
+    assert {tuple(x) for x in found} == {(min(s), v) for s in at.values() for v in s if v != min(s)}
+    assert len(found) == len(set(found)) > 0
+
+
 def test_spans_asked_for_again_stay_and_runs_equal_single_spans(monkeypatch):
     monkeypatch.setattr(token_alignment, "REMEMBERED", 8)
     aligner = Aligner(A, B)
