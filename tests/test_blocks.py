@@ -6,7 +6,8 @@ import pytest
 from strata.functions import prefix
 from strata.functions.blocks import cosine_by_blocks
 from strata.functions.prefix import cosine_at_least
-from strata.functions.similarity import normalise
+from strata.functions.similarity import _mirror, normalise
+from strata.operators.dbscan import dbscan_labels
 
 
 def vectors(rng, n, terms, frequent):
@@ -61,6 +62,38 @@ def test_many_blocks_give_the_pairs_of_one(spark, chosen):
     assert out.keys() == want
 
 
+def test_blocks_are_stored_once_and_not_dealt(spark):
+    """Two blocks meet in a product of stored partitions; before, a copy of each vector was shuffled for each block."""
+    x = vectors(np.random.default_rng(8), 60, 40, 8)
+    out = cosine_by_blocks(normalise(frame(spark, x)), 0.7, block_nodes=9, block_entries=80)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_nodes_in_several_partitions_make_whole_vectors(spark):
+    x = vectors(np.random.default_rng(9), 60, 40, 8)
+    unit = normalise(frame(spark, x)).repartition(5, "term").localCheckpoint()
+    want = pairs(x, 0.7)
+    out = got(cosine_by_blocks(unit, 0.7, block_nodes=9, block_entries=80))
+    assert out.keys() == {k for k in want if k[0] <= k[1]}
+    assert max(abs(out[k] - want[k]) for k in out) < 1e-9
+
+
+@pytest.mark.parametrize("k, size", [(2, 45), (4, 10**6)])
+def test_enough_pairs_for_clusters(spark, k, size):
+    rng = np.random.default_rng(10)
+    x = np.abs(rng.normal(size=(6, 12)))[rng.integers(0, 6, 120)] + 0.35 * rng.random((120, 12))
+    unit = normalise(frame(spark, x))
+    nodes = spark.createDataFrame([(n,) for n in range(120)], "node long")
+    for floor in (0.93,):
+        every = _mirror(cosine_by_blocks(unit, floor - 1e-9, block_nodes=size)).localCheckpoint()
+        some = _mirror(cosine_by_blocks(unit, floor - 1e-9, block_nodes=size, enough=k, reach=1 - floor)).localCheckpoint()
+        assert some.exceptAll(every).count() == 0
+        assert some.count() < every.count()
+        of = [sorted(map(tuple, dbscan_labels(s, nodes, 1 - floor, k).collect())) for s in (every, some)]
+        assert of[0] == of[1]
+
+
 def test_rare_terms_stay_with_prefixes(spark):
     rows = spark.createDataFrame([(f"t{n // 2}", n) for n in range(60)], "k string, node long")
     assert not prefix.lists_most_pairs(rows, 0)
