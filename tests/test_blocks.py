@@ -82,7 +82,7 @@ def test_nodes_in_several_partitions_make_whole_vectors(spark):
 @pytest.mark.parametrize("k, size", [(2, 45), (4, 10**6)])
 def test_enough_pairs_for_clusters(spark, k, size):
     rng = np.random.default_rng(10)
-    x = np.abs(rng.normal(size=(6, 12)))[rng.integers(0, 6, 120)] + 0.35 * rng.random((120, 12))
+    x = np.abs(rng.normal(size=(2, 12)))[rng.integers(0, 2, 120)] + 0.35 * rng.random((120, 12))
     unit = normalise(frame(spark, x))
     nodes = spark.createDataFrame([(n,) for n in range(120)], "node long")
     for floor in (0.93,):
